@@ -25,13 +25,13 @@ def zero_fill(text: Column, width: int) -> Column:
 def _weighted_sum(number: Column, weights: list[int]) -> Column:
     """Sum of digit times weight, the last weight on the last digit. Plain arithmetic, so it stays in generated code."""
     places = len(weights) - 1
-    terms = [(F.floor(number / F.lit(10 ** (places - i))) % 10) * w for i, w in enumerate(weights)]
+    shifted = lambda k: F.call_function("div", number, F.lit(10**k)) if k else number
+    terms = [(shifted(places - i) % 10) * w for i, w in enumerate(weights)]
     return reduce(add, terms)
 
 
-def cnpj_check_digits(base12: Column) -> Column:
-    """The two modulo-11 digits that complete a 12-digit registration, as a number 0..99; NULL for non-digits."""
-    number = base12.try_cast("bigint")
+def cnpj_check_digits(number: Column) -> Column:
+    """The two modulo-11 digits that complete a 12-digit registration: number in, 0..99 out."""
     # Modulo-11 weights of the twelve digits; the first check digit weighs 2 in the second sum.
     first_weights = [5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]
     second_weights = [6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3]
@@ -50,7 +50,7 @@ def cnpj_is_valid(text: Column) -> Column:
         F.when((F.length(bare) != 14) | uniform, F.lit(False))
         .when(bare == ref.CNPJ_ALWAYS_VALID, F.lit(True))
         .when(bare == ref.CNPJ_ALWAYS_INVALID, F.lit(False))
-        .otherwise(cnpj_check_digits(F.substring(bare, 1, 12)) == F.substring(bare, 13, 2).try_cast("int"))
+        .otherwise(cnpj_check_digits(F.substring(bare, 1, 12).try_cast("bigint")) == F.substring(bare, 13, 2).try_cast("int"))
     )
 
 

@@ -10,17 +10,13 @@ PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def _guarded(text: Column) -> Column:
-    return F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double"))
+    """The number, or NULL. Mentions `text` once: these expressions nest, and every mention is evaluated again."""
+    return F.regexp_extract(text, PLAIN_NUMBER, 0).try_cast("double")
 
 
 def _comma_rule(text: Column) -> Column:
-    """Both separators: dots group thousands. Only a comma: it is the decimal point."""
-    has_comma, has_dot = text.contains(","), text.contains(".")
-    return (
-        F.when(has_comma & has_dot, F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-        .when(has_comma, F.replace(text, F.lit(","), F.lit(".")))
-        .otherwise(text)
-    )
+    """A comma is the decimal point and the dots beside it group thousands; without one the text stays."""
+    return F.when(text.contains(","), F.translate(text, ",.", ".")).otherwise(text)
 
 
 def rule_number(text: Column) -> Column:
@@ -42,12 +38,9 @@ def xml_number(text: Column, strict_reference: bool = False) -> Column:
     else:
         joined = _comma_rule(kept)
     # After the first dot further dots are noise.
-    head = F.substring_index(joined, ".", 1)
-    tail = F.replace(F.substr(joined, F.length(head) + 2), F.lit("."), F.lit(""))
-    single_dot = F.when(joined.contains("."), F.concat(head, F.lit("."), tail)).otherwise(joined)
-    scientific = _guarded(F.replace(F.lower(kept), F.lit(","), F.lit(".")))
-    value = F.when(F.lower(kept).contains("e") & scientific.isNotNull(), scientific).otherwise(_guarded(single_dot))
-    return F.coalesce(value, F.lit(0.0))
+    single_dot = F.regexp_replace(joined, r"^([^.]*\.)|\.", "$1")
+    scientific = F.when(F.lower(kept).contains("e"), _guarded(F.translate(kept, ",", ".")))
+    return F.coalesce(scientific, _guarded(single_dot), F.lit(0.0))
 
 
 def display_number(text: Column) -> Column:

@@ -275,7 +275,7 @@ def _item_counts(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def verdicts(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """id, n_errors, n_warnings, calculated_cents, status (error / warning / success)."""
+    """id, n_items, n_errors, n_warnings, calculated_cents, status (error / warning / success)."""
     counts = _item_counts(documents, items)
     joined = documents.join(counts, documents["id"] == counts["document_id"], "left")
     zero = F.lit(0).cast("bigint")
@@ -300,7 +300,7 @@ def verdicts(documents: DataFrame, items: DataFrame) -> DataFrame:
         + F.when(skips_items, zero).otherwise(n("item_warnings"))
         + one(no_items)
     )
-    counted = joined.select("id", errors.alias("n_errors"), warnings.alias("n_warnings"), calculated.alias("calculated_cents"))
+    counted = joined.select("id", n("n_items").alias("n_items"), errors.alias("n_errors"), warnings.alias("n_warnings"), calculated.alias("calculated_cents"))
     status = F.when(F.col("n_errors") > 0, ERROR).when(F.col("n_warnings") > 0, WARNING).otherwise("success")
     return counted.withColumn("status", status)
 

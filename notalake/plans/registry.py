@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import prepare
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -19,7 +22,12 @@ def register(name: str, *operators: str, sql: str | None = None) -> Callable[[Qu
     def keep(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = fn
+
+        @wraps(fn)
+        def prepared(spark: SparkSession, folder: str) -> DataFrame:
+            return fn(prepare(spark), folder)
+
+        QUERIES[name] = prepared
         OPERATORS[name] = operators
         if sql is not None:
             ORACLES[name] = sql

@@ -31,7 +31,7 @@ def check_digits(base12: str) -> str:
 
 
 def cnpj_of(number: str) -> str:
-    base = f"(lpad(CAST({number} + 11222333 AS VARCHAR), 8, '0') || '0001')"
+    base = f"(lpad(CAST({number} + 11220000 AS VARCHAR), 8, '0') || '0001')"
     return f"({base} || {check_digits(base)})"
 
 
@@ -58,7 +58,7 @@ def money(cents: str) -> str:
 HEADERS = f"""o AS (
   SELECT *, o_orderkey AS k, o_custkey % 997 AS issuer_id, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders),
 issuer_numbers AS (SELECT issuer_id, {cnpj_of('issuer_id')} AS full_cnpj FROM (SELECT DISTINCT issuer_id FROM o)),
-recipient_numbers AS (SELECT c_key, {cnpj_of('c_key')} AS full_cnpj FROM (SELECT DISTINCT o_custkey AS c_key FROM o)),
+recipient_numbers AS (SELECT c_key, {cnpj_of('c_key % 9973')} AS full_cnpj FROM (SELECT DISTINCT o_custkey AS c_key FROM o)),
 h AS (
   SELECT k AS id,
     CASE o_orderpriority WHEN '1-URGENT' THEN 'NFe' WHEN '2-HIGH' THEN 'NFCe' WHEN '3-MEDIUM' THEN 'CTe' WHEN '5-LOW' THEN 'MDFe' END AS document_type,

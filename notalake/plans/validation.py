@@ -136,13 +136,13 @@ def cnpj_check(spark: SparkSession, folder: str) -> DataFrame:
 @register(
     "cnpj_check_suppliers", "VAL1",
     sql=f"""WITH s AS (SELECT s_suppkey, lpad(CAST((s_suppkey * 7654321987 + 12345678) % 100000000000000 AS VARCHAR), 14, '0') AS raw,
-  {q.cnpj_of('s_suppkey')} AS made FROM supplier)
+  {q.cnpj_of('s_suppkey % 9973')} AS made FROM supplier)
 SELECT s_suppkey, raw, {q.cnpj_valid('raw')} AS raw_valid, made, {q.cnpj_valid('made')} AS made_valid FROM s""",
 )
 def cnpj_check_suppliers(spark: SparkSession, folder: str) -> DataFrame:
     key = F.col("s_suppkey")
     raw = F.lpad(((key * 7654321987 + 12345678) % 100000000000000).cast("string"), 14, "0")
-    s = table(spark, folder, "supplier").select("s_suppkey", raw.alias("raw"), fv.cnpj_of(key).alias("made"))
+    s = table(spark, folder, "supplier").select("s_suppkey", raw.alias("raw"), fv.cnpj_of(key % 9973).alias("made"))
     return s.select(
         "s_suppkey",
         "raw",
@@ -184,7 +184,7 @@ found AS (SELECT id, severity FROM ({ITEM_ISSUES}) UNION ALL SELECT id, severity
   UNION ALL SELECT id, severity FROM ({TAX_ISSUES})
   UNION ALL SELECT id, 'error' FROM c WHERE n_items > 0 AND NOT totals_valid AND coalesce(document_type, '') NOT IN ('CTe', 'MDFe')
   UNION ALL SELECT id, 'warning' FROM c WHERE n_items = 0 AND coalesce(document_type, '') NOT IN ('CTe', 'MDFe')),
-counted AS (SELECT c.id, count(*) FILTER (severity = 'error') AS n_errors, count(*) FILTER (severity = 'warning') AS n_warnings,
+counted AS (SELECT c.id, any_value(n_items) AS n_items, count(*) FILTER (severity = 'error') AS n_errors, count(*) FILTER (severity = 'warning') AS n_warnings,
   any_value(CASE WHEN coalesce(document_type, '') IN ('CTe', 'MDFe') THEN 0 ELSE calculated_cents END) AS calculated_cents
   FROM c LEFT JOIN found f ON f.id = c.id GROUP BY c.id)
 SELECT *, CASE WHEN n_errors > 0 THEN 'error' WHEN n_warnings > 0 THEN 'warning' ELSE 'success' END AS status FROM counted"""

@@ -26,6 +26,20 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
+# HotSpot does not compile methods above this many bytes of bytecode; a wide rule set fused into one
+# method would run interpreted. Past the limit Spark splits the expressions into small methods instead.
+JIT_METHOD_LIMIT = "8000"
+SPARK_METHOD_LIMIT = "65535"
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Session settings the jobs want, unless the caller chose their own."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(key) == SPARK_METHOD_LIMIT:
+        spark.conf.set(key, JIT_METHOD_LIMIT)
+    return spark
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a scratch folder only where none is set."""
     configured = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)

@@ -11,16 +11,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import reference_data as ref
-from ..functions.codes import cnpj_check_digits
 from .tables import table
 
 TYPE_BY_PRIORITY = {"1-URGENT": "NFe", "2-HIGH": "NFCe", "3-MEDIUM": "CTe", "5-LOW": "MDFe"}
 
 
 def cnpj_of(number: Column) -> Column:
-    """A registration with right check digits for a small integer."""
-    base = F.concat(F.lpad((number + 11222333).cast("string"), 8, "0"), F.lit("0001"))
-    return F.concat(base, F.lpad(cnpj_check_digits(base).cast("string"), 2, "0"))
+    """A registration with right check digits: 1122nnnn0001dd for a number below 10000.
+
+    Only four digits vary, so the sums are a constant plus four terms. Filters on the column are pushed
+    below the projection and repeat the expression, which therefore has to stay small.
+    """
+    place = lambda k: F.call_function("div", number, F.lit(k)) % 10
+    thousands, hundreds, tens, ones = place(1000), place(100), place(10), number % 10
+    digit = lambda total: (11 - total % 11) % 11 % 10
+    first = digit(thousands * 9 + hundreds * 8 + tens * 7 + ones * 6 + 21)
+    second = digit(thousands * 2 + hundreds * 9 + tens * 8 + ones * 7 + first * 2 + 28)
+    base = (number + 11220000) * 10000 + 1
+    return (base * 100 + first * 10 + second).cast("string")
 
 
 def dotted(cnpj: Column) -> Column:
@@ -34,7 +42,7 @@ def headers(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document: identification, parties, total, operation code and taxes."""
     # The registrations are used in several branches below: a projection of their own computes them once.
     o = table(spark, folder, "orders").withColumns(
-        {"issuer_full": cnpj_of(F.col("o_custkey") % 997), "recipient_full": cnpj_of(F.col("o_custkey"))}
+        {"issuer_full": cnpj_of(F.col("o_custkey") % 997), "recipient_full": cnpj_of(F.col("o_custkey") % 9973)}
     )
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     issuer = cust % 997
