@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,9 +38,8 @@ def tax_totals(df: DataFrame, taxes: dict[str, str]) -> DataFrame:
 def status_shares(df: DataFrame, status: Column) -> DataFrame:
     """Status, its count and share. The window runs over the few status rows, not over documents."""
     counts = df.groupBy(status.alias("status")).agg(F.count("*").alias("n_documents"))
-    total = counts.agg(F.sum("n_documents").alias("all_documents"))
-    joined = counts.join(F.broadcast(total), F.lit(True), "left")
-    return joined.select("status", "n_documents", F.round(F.col("n_documents") * 100.0 / F.col("all_documents"), 4).alias("percent"))
+    everything = F.sum("n_documents").over(Window.partitionBy(F.lit(0)))
+    return counts.select("status", "n_documents", F.round(F.col("n_documents") * 100.0 / everything, 4).alias("percent"))
 
 
 def outcome_report(df: DataFrame, success: Column) -> DataFrame:
