@@ -104,12 +104,12 @@ def composition(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(
     "daily_series_filled", "EDA6",
-    sql="""WITH s AS (SELECT CAST(ts AS DATE) AS day, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS t FROM events WHERE event_type = 'purchase' AND user_id < 20 GROUP BY 1)
+    sql="""WITH s AS (SELECT CAST(ts AS DATE) AS day, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS t FROM events WHERE event_type = 'purchase' AND value > 40 GROUP BY 1)
 SELECT strftime(d, '%Y-%m-%d') AS day, coalesce(t, 0) AS total FROM (SELECT unnest(generate_series((SELECT min(day) FROM s), (SELECT max(day) FROM s), INTERVAL 1 DAY)) AS d) LEFT JOIN s ON s.day = CAST(d AS DATE)""",
 )
 def daily_series_filled(spark: SparkSession, folder: str) -> DataFrame:
-    """Purchases of the first users: sparse enough to have days without any."""
-    some = table(spark, folder, "events").filter("event_type = 'purchase' AND user_id < 20")
+    """Large purchases: sparse enough to have days without any."""
+    some = table(spark, folder, "events").filter("event_type = 'purchase' AND value > 40")
     return p.daily_series(some, "ts", F.round(F.col("value") * 100).cast("bigint")).withColumn("day", F.col("day").cast("string"))
 
 
