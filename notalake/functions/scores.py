@@ -19,8 +19,9 @@ def recency_score(created_at: Column, as_of: datetime) -> Column:
     """exp(-days/30); the future counts as today, no date as 0."""
     moment = F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
     seconds = F.timestamp_diff("MICROSECOND", created_at.cast("timestamp_ntz"), moment) / F.lit(1e6)
+    # greatest() skips NULLs, so a missing date has to be told apart first.
     days = F.greatest(seconds / F.lit(86400.0), F.lit(0.0))
-    return F.coalesce(F.exp(-days / F.lit(30.0)), F.lit(0.0))
+    return F.when(created_at.isNull(), F.lit(0.0)).otherwise(F.exp(-days / F.lit(30.0)))
 
 
 def hybrid_score(similarity: Column, value: Column, recency: Column) -> Column:

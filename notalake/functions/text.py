@@ -60,14 +60,13 @@ def split_chunks(text: Column, size: int, overlap: int) -> Column:
 
     The overlap is counted in words (a fifth of `overlap`), so a chunk can be longer than `size`.
     """
+    def cut(separator: str):
+        # A lambda with a second parameter would be handed the element's index.
+        return lambda p: F.when(F.length(p) > size, F.split(p, separator, -1)).otherwise(F.array(p))
+
     pieces = F.array(text)
     for separator in ["\n\n", r"\. ", " "]:
-        pieces = F.flatten(
-            F.transform(
-                pieces,
-                lambda p, sep=separator: F.when(F.length(p) > size, F.split(p, sep, -1)).otherwise(F.array(p)),
-            )
-        )
+        pieces = F.flatten(F.transform(pieces, cut(separator)))
     words = int(overlap / 5)
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("current"))
 

@@ -12,10 +12,9 @@ from .. import reference_data as ref
 def xml_folder(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: file_name, xml, size. Sub-folders are read too."""
     files = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "*.[xX][mM][lL]")
+        spark.read.option("pathGlobFilter", "*.[xX][mM][lL]")
         .option("recursiveFileLookup", True)
-        .text(path)
+        .text(path, wholetext=True)
     )
     return files.select(
         F.col("_metadata.file_name").alias("file_name"),
@@ -49,7 +48,8 @@ def csv_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     reader = spark.read.option("header", True)
     if schema is None:
         return reader.option("inferSchema", True).csv(path)
-    return reader.option("mode", "DROPMALFORMED").schema(schema).csv(path)
+    # A pruned read never looks at the other fields and would let short rows through.
+    return reader.option("mode", "DROPMALFORMED").option("columnPruning", False).schema(schema).csv(path)
 
 
 def csv_text(lines: DataFrame, header: list[str], column: str = "value") -> DataFrame:

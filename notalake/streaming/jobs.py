@@ -17,14 +17,14 @@ EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
 
 
 def event_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """History events as they land in a folder; event time as an instant."""
+    """History events as they land in a folder; event time is local wall-clock time."""
     raw = (
         spark.readStream.schema(EVENTS)
         .option("pathGlobFilter", "events*.parquet")
         .option("maxFilesPerTrigger", files_per_batch)
         .parquet(folder)
     )
-    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+    return raw
 
 
 def history_counts(events: DataFrame, window: str = "1 day", lateness: str = "2 hours") -> DataFrame:
@@ -53,10 +53,9 @@ def run_to_files(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 def xml_stream(spark: SparkSession, folder: str, files_per_batch: int = 10_000) -> DataFrame:
     """One row per new XML file."""
     files = (
-        spark.readStream.option("wholetext", True)
-        .option("pathGlobFilter", "*.xml")
+        spark.readStream.option("pathGlobFilter", "*.[xX][mM][lL]")
         .option("maxFilesPerTrigger", files_per_batch)
-        .text(folder)
+        .text(folder, wholetext=True)
     )
     return files.select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("xml"))
 
