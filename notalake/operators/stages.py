@@ -14,3 +14,13 @@ def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     array is a stage neither passes, costs no shuffle and stays in the same task.
     """
     return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """More tasks for a costly row-by-row job whose input has fewer partitions than there are cores.
+
+    A file of one row group is one task however long the work per row. On input that already has a
+    partition per core, which is every large table, this adds nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

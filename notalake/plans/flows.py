@@ -30,8 +30,8 @@ def history_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Daily counts of a stream that ran until it had caught up; days still open are not emitted."""
     out = _fresh(spark, "history")
     jobs.run_to_files(jobs.history_counts(jobs.event_stream(spark, folder)), out, out + "-ckpt")
-    result = spark.read.schema("window_start timestamp_ntz, event_type string, n_events bigint, total_value double").parquet(out)
-    return result.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "event_type", "n_events", F.round("total_value", 4).alias("total_value"))
+    result = spark.read.schema("window_start timestamp, event_type string, n_events bigint, total_value double").parquet(out)
+    return result.select(F.date_format(jobs.wall_clock(F.col("window_start")), "yyyy-MM-dd").alias("window_start"), "event_type", "n_events", F.round("total_value", 4).alias("total_value"))
 
 
 @register("expiring_dedupe_stream", "STR3", "FLT10", sql="SELECT DISTINCT user_id FROM events")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import reference_data as ref
 from ..functions import text as t
 from ..operators import chunking, vectors
+from ..operators.stages import spread
 from ..sources.tables import table
 from .registry import register
 
@@ -18,7 +19,7 @@ TRIM = r"regexp_replace({}, '^[\s\x{{00a0}}\x{{2000}}-\x{{200a}}\x{{3000}}]+|[\s
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents")
+    return spread(table(spark, folder, "documents"))
 
 
 @register(

@@ -123,7 +123,7 @@ def totals_tolerance(spark: SparkSession, folder: str) -> DataFrame:
   destinatario_doc, {q.cnpj_valid('destinatario_doc')} AS recipient_valid FROM h""",
 )
 def cnpj_check(spark: SparkSession, folder: str) -> DataFrame:
-    h = fv.headers(spark, folder)
+    h = fv.headers(spark, folder, costly=True)
     return h.select(
         "id",
         "emitente_cnpj",
@@ -160,12 +160,12 @@ def item_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("document_rules", "VAL3", "VAL4", "VAL5", "VAL8", "VAL11", sql=f"WITH {q.HEADERS} {HEADER_ISSUES}")
 def document_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return v.issues(fv.headers(spark, folder), v.header_rules(), "id").drop("seq")
+    return v.issues(fv.headers(spark, folder, costly=True), v.header_rules(), "id").drop("seq")
 
 
 @register("tax_rules", "VAL9", sql=f"WITH {q.HEADERS} {TAX_ISSUES}")
 def tax_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return v.issues(fv.headers(spark, folder), v.tax_rules(), "id").drop("seq")
+    return v.issues(fv.headers(spark, folder, costly=True), v.tax_rules(), "id").drop("seq")
 
 
 @register(
@@ -192,7 +192,7 @@ SELECT *, CASE WHEN n_errors > 0 THEN 'error' WHEN n_warnings > 0 THEN 'warning'
 
 @register("document_verdicts", "VAL7", "VAL12", sql=VERDICT_SQL)
 def document_verdicts(spark: SparkSession, folder: str) -> DataFrame:
-    return v.verdicts(fv.headers(spark, folder), fv.items(spark, folder))
+    return v.verdicts(fv.headers(spark, folder, costly=True), fv.items(spark, folder, costly=True))
 
 
 @register(
@@ -233,7 +233,7 @@ SELECT document_id, seq, message, coalesce(error_category, first_category) AS ca
 @register("merged_issues", "VAL14", sql=MERGE_SQL)
 def merged_issues(spark: SparkSession, folder: str) -> DataFrame:
     """Findings of two sources that differ in case, category and details, merged into one list."""
-    found = v.issues(fv.headers(spark, folder), v.header_rules(), "id")
+    found = v.issues(fv.headers(spark, folder, costly=True), v.header_rules(), "id")
     first = found.select(
         F.col("id").alias("document_id"),
         "seq",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import reference_data as ref
 from ..functions import codes, dates, numbers, scores, text
 from ..operators import classify
+from ..operators.stages import spread
 from ..sources import fiscal_view as fv
 from ..sources.tables import table
 from . import sqlviews as q
@@ -28,7 +29,7 @@ w AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE l_partkey % 10 WHEN 0 THE
 
 def spelt_amounts(spark: SparkSession, folder: str) -> DataFrame:
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
-    l = table(spark, folder, "lineitem").select(
+    l = spread(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")).select(
         "l_orderkey",
         "l_linenumber",
         "l_partkey",

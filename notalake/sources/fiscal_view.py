@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import reference_data as ref
+from ..operators.stages import spread
 from .tables import table
 
 TYPE_BY_PRIORITY = {"1-URGENT": "NFe", "2-HIGH": "NFCe", "3-MEDIUM": "CTe", "5-LOW": "MDFe"}
@@ -38,10 +39,14 @@ def dotted(cnpj: Column) -> Column:
     )
 
 
-def headers(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per document: identification, parties, total, operation code and taxes."""
+def headers(spark: SparkSession, folder: str, costly: bool = False) -> DataFrame:
+    """One row per document: identification, parties, total, operation code and taxes.
+
+    `costly` says that much work per row follows, so a small input is spread over the cores first.
+    """
+    orders = table(spark, folder, "orders")
     # The registrations are used in several branches below: a projection of their own computes them once.
-    o = table(spark, folder, "orders").withColumns(
+    o = (spread(orders) if costly else orders).withColumns(
         {"issuer_full": cnpj_of(F.col("o_custkey") % 997), "recipient_full": cnpj_of(F.col("o_custkey") % 9973)}
     )
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
@@ -112,9 +117,10 @@ def headers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def items(spark: SparkSession, folder: str) -> DataFrame:
+def items(spark: SparkSession, folder: str, costly: bool = False) -> DataFrame:
     """One row per document item; money in whole cents."""
     l = table(spark, folder, "lineitem")
+    l = spread(l) if costly else l
     part = F.col("l_partkey")
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     unit = F.floor(cents / F.col("l_quantity")).cast("bigint")

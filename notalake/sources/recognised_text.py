@@ -16,7 +16,7 @@ def _line(label: str, value: Column) -> Column:
 
 def labelled_texts(spark: SparkSession, folder: str) -> DataFrame:
     """id, raw_text: printed documents whose fields carry labels; some labels are missing."""
-    h = fv.headers(spark, folder)
+    h = fv.headers(spark, folder, costly=True)
     key = F.col("id")
     text = key.cast("string")
     amount = lambda cents: F.replace(currency_text(F.coalesce(cents, F.lit(0)) / 100), F.lit("R$ "), F.lit(""))
@@ -53,7 +53,7 @@ def labelled_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 def item_texts(spark: SparkSession, folder: str) -> DataFrame:
     """One printed item table per stored item."""
-    i = fv.items(spark, folder)
+    i = fv.items(spark, folder, costly=True)
     amount = lambda cents: F.replace(currency_text(F.abs(cents) / 100), F.lit("R$ "), F.lit(""))
     row = F.concat_ws(
         " ",
@@ -72,7 +72,7 @@ def item_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 def loose_texts(spark: SparkSession, folder: str) -> DataFrame:
     """id, raw_text: unlabelled lines as a scanner delivers them, in three orders."""
-    h = fv.headers(spark, folder)
+    h = fv.headers(spark, folder, costly=True)
     key = F.col("id")
     text = key.cast("string")
     amount = lambda cents: F.replace(currency_text(F.coalesce(cents, F.lit(0)) / 100), F.lit("R$ "), F.lit(""))

@@ -26,7 +26,7 @@ def access_key(number: Column) -> Column:
 
 def item_documents(spark: SparkSession, folder: str) -> DataFrame:
     """document_id, item_no, xml: a goods document with the stored item and, on some, a freight item."""
-    i = fv.items(spark, folder)
+    i = fv.items(spark, folder, costly=True)
     product = group(
         "prod",
         tag("cProd", F.col("codigo")),
@@ -61,7 +61,7 @@ def item_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def order_documents(spark: SparkSession, folder: str) -> DataFrame:
     """id, xml: each order as the document type it has; a few are broken, foreign or missing."""
-    h = fv.headers(spark, folder)
+    h = fv.headers(spark, folder, costly=True)
     key = F.col("id")
     total = fv.money(F.coalesce(F.col("total_cents"), F.lit(0)))
     cents = lambda c: fv.money(F.coalesce(F.col(c), F.lit(0)))

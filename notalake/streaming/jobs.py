@@ -6,7 +6,7 @@ default (a scheduled run that catches up and stops) and can be restarted after a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -16,15 +16,25 @@ from ..operators.relate import latest
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
 def event_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """History events as they land in a folder; event time is local wall-clock time."""
+    """History events as they land in a folder; event time as an instant."""
     raw = (
         spark.readStream.schema(EVENTS)
         .option("pathGlobFilter", "events*.parquet")
         .option("maxFilesPerTrigger", files_per_batch)
         .parquet(folder)
     )
-    return raw
+    # Event time must be an instant: wall-clock time counts as UTC, whatever the session zone is.
+    return raw.withColumn("ts", F.timestamp_micros(F.timestamp_diff("MICROSECOND", _epoch(), F.col("ts"))))
+
+
+def wall_clock(instant: Column) -> Column:
+    """Back from the instant to wall-clock time."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), _epoch())
 
 
 def history_counts(events: DataFrame, window: str = "1 day", lateness: str = "2 hours") -> DataFrame:
