@@ -145,7 +145,8 @@ def histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
 
 def composition(df: DataFrame, column: str) -> DataFrame:
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    everything = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    # A scalar subquery: the values may be many, so they are not brought into one window.
+    everything = df.agg(F.count("*").alias("n")).scalar()
     return counts.select("value", "n", F.round(F.col("n") * 100.0 / everything, 6).alias("percent"))
 
 

@@ -247,62 +247,59 @@ def item_issues(documents: DataFrame, items: DataFrame) -> DataFrame:
     return issues(kept, item_rules(), "document_id", "item_no")
 
 
-def _item_counts(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """Findings and sums per document, pre-aggregated by (document, operation code) before the join."""
+def _item_sums(items: DataFrame) -> DataFrame:
+    """Findings and sums per (document, operation code): what map tasks send, however many items there are."""
     own = [r for r in item_rules() if r.name != "item_cfop_differs"]
-    partial = items.groupBy("document_id", F.trim("cfop").alias("item_cfop")).agg(
+    return items.groupBy("document_id", F.trim("cfop").alias("item_cfop")).agg(
         F.count("*").alias("n"),
         F.sum("total_cents").alias("cents"),
         F.sum(count_fired(own, ERROR)).alias("errors"),
         F.sum(count_fired(own, WARNING)).alias("warnings"),
     )
-    d = documents.select(F.col("id").alias("document_id"), F.trim("cfop").alias("doc_cfop"))
-    differs = (
-        (F.coalesce(F.col("item_cfop"), F.lit("")) != "")
-        & (F.coalesce(F.col("doc_cfop"), F.lit("")) != "")
-        & (F.col("item_cfop") != F.col("doc_cfop"))
-    )
-    return (
-        partial.join(d, "document_id")
-        .groupBy("document_id")
-        .agg(
-            F.sum("n").alias("n_items"),
-            F.sum("cents").alias("sum_cents"),
-            F.sum("errors").alias("item_errors"),
-            (F.sum("warnings") + F.sum(F.when(differs, F.col("n")).otherwise(0))).alias("item_warnings"),
-        )
-    )
 
 
 def verdicts(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """id, n_items, n_errors, n_warnings, calculated_cents, status (error / warning / success)."""
-    counts = _item_counts(documents, items)
-    joined = documents.join(counts, documents["id"] == counts["document_id"], "left")
+    """id, n_items, n_errors, n_warnings, calculated_cents, status (error / warning / success).
+
+    Header and tax rules are counted before the join, so a document crosses the network as a handful
+    of numbers. Join and final aggregation share one partitioning by document.
+    """
+    document_rules = header_rules() + tax_rules()
+    narrow = documents.select(
+        "id",
+        F.trim("cfop").alias("doc_cfop"),
+        F.coalesce("total_cents", F.lit(0)).cast("bigint").alias("total"),
+        F.upper(F.coalesce("document_type", F.lit(""))).isin(ref.TYPES_WITHOUT_ITEMS).alias("skips_items"),
+        count_fired(document_rules, ERROR).alias("own_errors"),
+        count_fired(document_rules, WARNING).alias("own_warnings"),
+    )
+    sums = _item_sums(items)
+    joined = narrow.join(sums, narrow["id"] == sums["document_id"], "left")
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    differs = ~blank("item_cfop") & ~blank("doc_cfop") & (F.col("item_cfop") != F.col("doc_cfop"))
     zero = F.lit(0).cast("bigint")
-    n = lambda c: F.coalesce(F.col(c), zero)
-    skips_items = F.upper(F.coalesce("document_type", F.lit(""))).isin(ref.TYPES_WITHOUT_ITEMS)
-    has_items = n("n_items") > 0
-    total = n("total_cents")
-    usable = ~skips_items & has_items & (total != 0)
+    total_of = lambda c: F.coalesce(F.sum(c), zero)
+    counted = joined.groupBy("id", "total", "skips_items", "own_errors", "own_warnings").agg(
+        total_of("n").alias("n_items"),
+        total_of("cents").alias("sum_cents"),
+        total_of("errors").alias("item_errors"),
+        (total_of("warnings") + F.coalesce(F.sum(F.when(differs, F.col("n"))), zero)).alias("item_warnings"),
+    )
+    judged, has_items = ~F.col("skips_items"), F.col("n_items") > 0
+    usable = judged & has_items & (F.col("total") != 0)
     calculated = F.when(usable, F.col("sum_cents")).otherwise(zero)
-    mismatch = ~skips_items & has_items & ~(usable & (F.abs(calculated - total) <= 1))
-    no_items = ~skips_items & ~has_items
+    mismatch = judged & has_items & ~(usable & (F.abs(calculated - F.col("total")) <= 1))
     one = lambda c: F.when(c, 1).otherwise(0)
-    errors = (
-        count_fired(header_rules(), ERROR)
-        + count_fired(tax_rules(), ERROR)
-        + F.when(skips_items, zero).otherwise(n("item_errors"))
-        + one(mismatch)
-    )
-    warnings = (
-        count_fired(header_rules(), WARNING)
-        + count_fired(tax_rules(), WARNING)
-        + F.when(skips_items, zero).otherwise(n("item_warnings"))
-        + one(no_items)
+    of_items = lambda c: F.when(judged, F.col(c)).otherwise(zero)
+    result = counted.select(
+        "id",
+        "n_items",
+        (F.col("own_errors") + of_items("item_errors") + one(mismatch)).alias("n_errors"),
+        (F.col("own_warnings") + of_items("item_warnings") + one(judged & ~has_items)).alias("n_warnings"),
+        calculated.alias("calculated_cents"),
     )
-    counted = joined.select("id", n("n_items").alias("n_items"), errors.alias("n_errors"), warnings.alias("n_warnings"), calculated.alias("calculated_cents"))
     status = F.when(F.col("n_errors") > 0, ERROR).when(F.col("n_warnings") > 0, WARNING).otherwise("success")
-    return counted.withColumn("status", status)
+    return result.withColumn("status", status)
 
 
 def merged_issues(findings: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_root
-from ..sources import exports, files, fiscal_view as fv
+from ..sources import exports, files, fiscal_view as fv, xml_text as xt
 from ..sources.tables import table
 from ..streaming import jobs
 from . import sqlviews as q
@@ -42,6 +42,20 @@ def expiring_dedupe_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("event_id bigint, user_id bigint").parquet(out).select("user_id")
 
 
+@register(
+    "xml_ingest_stream", "STR1", "WRT1", "SRC1",
+    sql=f"""WITH {q.HEADERS} SELECT 'doc_' || id || '.xml' AS file_name, coalesce(document_type, 'NFe') AS tipo_documento, numero FROM h WHERE id % 50 < 46""",
+)
+def xml_ingest_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """XML texts arrive as a stream, every batch lands in its own folder, the newest version of each is read."""
+    base = _fresh(spark, "ingest")
+    name = F.concat(F.lit("doc_"), F.col("id").cast("string"), F.lit(".xml"))
+    xt.order_documents(spark, folder).select(name.alias("file_name"), "xml").write.parquet(f"{base}/inbox")
+    arriving = spark.readStream.schema("file_name string, xml string").option("maxFilesPerTrigger", 64).parquet(f"{base}/inbox")
+    jobs.ingest_xml(arriving, f"{base}/documents", f"{base}/rejected", f"{base}/ckpt")
+    return jobs.current_documents(spark, f"{base}/documents").select("file_name", "tipo_documento", "numero")
+
+
 @register(
     "file_routes", "SRC2",
     sql="""WITH f AS (SELECT page_id, url, lower(regexp_extract(split_part(url, '/', -1) || ['.xml', '.PDF', '.jpeg', '.docx', ''][page_id % 5 + 1], '\\.([^./]+)$', 1)) AS e FROM pages)

@@ -225,7 +225,7 @@ def storage_records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @register(
-    "target_columns", "PRJ3",
+    "target_columns", "PRJ3", "SRC6",
     sql=f"{LIST} SELECT id, document_type, issuer_cnpj FROM d",
 )
 def target_columns_query(spark: SparkSession, folder: str) -> DataFrame:

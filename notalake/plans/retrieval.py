@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import reference_data as ref
 from ..functions import text as t
@@ -110,6 +112,32 @@ def chunk_status(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.embedding_status(_docs(spark, folder), rows, "doc_id", F.col("chunk_size") >= 400)
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def length_and_vowels(texts: pd.Series) -> pd.Series:
+    """Stand-in for an embedding model: two numbers per text, nothing for a short one."""
+    return texts.map(lambda s: [float(len(s)), float(s.count("e"))] if len(s) >= 400 else None)
+
+
+@register(
+    "embedded_chunks", "UDF1", "CHK8",
+    sql=rf"""WITH w AS (SELECT doc_id, text, unnest(range(0, greatest(CAST(ceil((length(text) - 1200) / 1000.0) AS BIGINT), 0) + 1)) AS i FROM documents),
+c AS (SELECT doc_id, i, {TRIM("substr(text, i * 1000 + 1, 1200)")} AS content FROM w),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n, length(content)::DOUBLE AS a, (length(content) - length(replace(content, 'e', '')))::DOUBLE AS b FROM c WHERE content <> '')
+SELECT doc_id, n AS chunk_number, round(a / sqrt(a * a + b * b), 6) AS x, round(b / sqrt(a * a + b * b), 6) AS y FROM k WHERE a >= 400""",
+)
+def embedded_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The hook for a caller's model: Arrow batches in, unit vectors out, failed chunks dropped."""
+    rows = chunking.chunk_table(_docs(spark, folder), "doc_id", t.fixed_chunks(F.col("text")))
+    made = vectors.with_embedding(rows, length_and_vowels)
+    norm = F.sqrt(F.col("embedding")[0] * F.col("embedding")[0] + F.col("embedding")[1] * F.col("embedding")[1])
+    return made.select(
+        "doc_id",
+        F.col("chunk_number").cast("bigint").alias("chunk_number"),
+        F.round(F.col("embedding")[0] / norm, 6).alias("x"),
+        F.round(F.col("embedding")[1] / norm, 6).alias("y"),
+    )
+
+
 # ---------------------------------------------------------------- vectors
 # The mean vector of each label stands for a question about that document type.
 

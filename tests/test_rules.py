@@ -123,6 +123,13 @@ def test_merge_upgrades_and_fills(spark):
 
 
 def test_item_shuffle_is_pre_aggregated(spark):
-    """Item rows are summed before the first exchange, so a hot document does not travel row by row."""
-    plan = v._item_counts(headers(spark), items(spark))._jdf.queryExecution().executedPlan().toString()
-    assert "partial_sum" in plan and plan.index("Exchange hashpartitioning(document_id") < plan.rindex("partial_sum")
+    """Item rows are summed before the first exchange, and join and final sums share one partitioning."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = v.verdicts(headers(spark), items(spark))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Exchange hashpartitioning") == 3
+    assert plan.index("Exchange hashpartitioning(document_id") < plan.rindex("partial_sum")
