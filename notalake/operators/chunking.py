@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from .stages import computed_once
 
 
 def assembled_text(document_type: Column, number: Column, issuer: Column, extracted: list[tuple[str, Column]], *bodies: Column) -> Column:
@@ -18,9 +19,11 @@ def assembled_text(document_type: Column, number: Column, issuer: Column, extrac
 
 def chunk_table(df: DataFrame, key: str, chunks: Column, header: Column | None = None) -> DataFrame:
     """key, chunk_number (from 0), total_chunks, content_text, chunk_size."""
-    listed = df.select(key, *([header.alias("_header")] if header is not None else []), chunks.alias("_chunks"))
-    # The array is unfolded once; its size is read from the same column.
-    rows = listed.select("*", F.size("_chunks").alias("total_chunks"), F.posexplode("_chunks").alias("chunk_number", "_text"))
+    kept = df.select("*", *([header.alias("_header")] if header is not None else []))
+    # Unfolding implies a filter on the array, which would be pushed down and cut the text a second time.
+    rows = computed_once(kept, "_chunks", chunks).select(
+        key, *(["_header"] if header is not None else []), F.size("_chunks").alias("total_chunks"), F.posexplode("_chunks").alias("chunk_number", "_text")
+    )
     content = F.concat("_header", "_text") if header is not None else F.col("_text")
     return rows.select(
         key, "chunk_number", "total_chunks", content.alias("content_text"), F.length(content).alias("chunk_size")

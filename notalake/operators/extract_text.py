@@ -14,6 +14,7 @@ from ..functions.codes import contains_any, digits_only
 from ..functions.dates import recognised_date
 from ..functions.numbers import PLAIN_NUMBER
 from ..functions.text import trim_space
+from .stages import computed_once
 
 ANY_CASE = "(?iuU)"
 
@@ -80,8 +81,9 @@ def text_items(df: DataFrame, *keys: str, text: str = "raw_text") -> DataFrame:
     group = lambda i: F.regexp_extract_all("_section", F.lit("(?U)" + ref.ITEM_LINE_PATTERN), F.lit(i))
     names = ["codigo", "descricao", "quantidade", "unidade", "valor_unitario", "valor_total"]
     cut = df.select(*keys, section.alias("_section")).filter("_section <> ''")
-    lists = cut.select(*keys, *[group(i + 1).alias(n) for i, n in enumerate(names)])
-    rows = lists.select(*keys, F.posexplode(F.arrays_zip(*names)).alias("pos", "item"))
+    found = F.arrays_zip(*[group(i + 1).alias(n) for i, n in enumerate(names)])
+    lists = computed_once(cut, "_lists", found)
+    rows = lists.select(*keys, F.posexplode("_lists").alias("pos", "item"))
     money = lambda c: _amount(F.trim(F.replace(F.col(c), F.lit("R$"), F.lit(""))))
     read = rows.select(*keys, "pos", "item.*").select(
         *keys,

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .. import reference_data as ref
 from ..functions.codes import cnpj_is_valid, digits_only, normal_cfop, zero_fill
 from ..sources.fiscal_view import money
+from .stages import computed_once
 
 ERROR, WARNING = "error", "warning"
 
@@ -56,7 +57,8 @@ def issues(df: DataFrame, rules: list[Rule], *keys: str) -> DataFrame:
         ]
     )
     found = F.filter(candidates, lambda x: x.isNotNull())
-    return df.select(*keys, F.explode(found).alias("issue")).select(*keys, "issue.*")
+    listed = computed_once(df, "found", found)
+    return listed.select(*keys, F.explode("found").alias("issue")).select(*keys, "issue.*")
 
 
 def count_fired(rules: list[Rule], severity: str) -> Column:
