@@ -60,8 +60,12 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], bucket: Column, n
     offsets = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     inner = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     local = b.withColumn("_local", F.row_number().over(inner))
-    joined = local.join(offsets, [*keys, "_bucket"])
-    return joined.withColumn(name, (F.col("_offset") + F.col("_local")).cast("bigint")).drop("_bucket", "_local", "_offset")
+    # Null-safe, so rows without a key or a bucket keep their place as well.
+    matched = [*keys, "_bucket"]
+    other = offsets.select(*[F.col(c).alias(f"_o_{c}") for c in matched], "_offset")
+    joined = local.join(other, [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in matched])
+    numbered_rows = joined.withColumn(name, (F.col("_offset") + F.col("_local")).cast("bigint"))
+    return numbered_rows.drop("_bucket", "_local", "_offset", *[f"_o_{c}" for c in matched])
 
 
 def first_source_wins(sources: list[DataFrame], key: str) -> DataFrame:

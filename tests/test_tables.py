@@ -60,6 +60,8 @@ def test_running_numbers_with_a_hot_key(spark):
     for key in range(5):
         mine = sorted((t, i) for k, t, i in rows if k == key)
         assert [got[key, i] for _, i in mine] == list(range(1, len(mine) + 1))
+    gaps = spark.createDataFrame([(None, 5, 1), (None, None, 2), (1, None, 3)], "k int, t int, i int")
+    assert {r["i"]: r["seq"] for r in relate.numbered(gaps, ["k"], ["t", "i"], F.floor(F.col("t") / 50)).collect()} == {1: 2, 2: 1, 3: 1}
 
 
 def test_upsert_and_friends(spark):
