@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ["quality_rules"]
+MODULES = ["quality_rules", "url_rules", "token_files"]
 
 for _name in MODULES:
     import_module(f"notalake.llm.{_name}")
