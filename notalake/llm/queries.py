@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ["quality_rules", "url_rules", "token_files", "packing", "chat_format"]
+MODULES = ["quality_rules", "url_rules", "token_files", "packing", "chat_format", "secret_scan"]
 
 for _name in MODULES:
     import_module(f"notalake.llm.{_name}")
