@@ -6,8 +6,9 @@ bounded per-process memory; everything else is numpy. New pieces are handed over
 separate words, which gives the same ids as one call for each and costs half.
 
 Cuts for a tokenizer that drops white space: every ASCII white space. Cuts for byte-level BPE with
-its usual pattern: before a single space between two characters that are surely not white space;
-there a match always ends, and the next one starts with that space.
+its usual pattern: before a single space or line end between two characters that are surely not white
+space, where a match always ends and the next one starts, and behind such a line end. For both, before
+a mark that follows a letter.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from .arrow_text import IS_SPACE, Texts, byte_strings
+from .arrow_text import IS_SPACE, LOWER, Texts, byte_strings
 
 REMEMBERED = 1_000_000
 REMEMBERED_IDS = 8_000_000
@@ -31,12 +32,37 @@ _LEADS[0xC3:0xE1] = True
 _LEADS[0xE4:0xF5] = True
 _TWO_BYTE = np.zeros(256, bool)
 _TWO_BYTE[0xC3:0xE0] = True
-_SPACE = np.zeros(256, bool)
-_SPACE[0x20] = True
+_SINGLE = np.zeros(256, bool)
+_SINGLE[[0x20, 0x0A]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_ACCENTED = np.zeros(256, bool)  # second bytes of the letters from U+00C0 to U+00FF
+_ACCENTED[0x80:0xC0] = True
+_ACCENTED[[0x97, 0xB7]] = False
+_MARK = np.zeros(256, bool)  # ASCII marks but the apostrophe, with which contractions begin
+_MARK[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'"]] = True
+
+
+def _before_marks(data: np.ndarray) -> np.ndarray:
+    """Places of marks right after a letter: a match of letters ends there. Needs two bytes of text before."""
+    letter = _LETTER[data[1:-1]]
+    letter |= _ACCENTED[data[1:-1]] & (data[:-2] == 0xC3)
+    return np.flatnonzero(letter & _MARK[data[2:]]) + 2
+
+
+def _may_hold_special(data: np.ndarray) -> bool:
+    """Special tokens, written "<|...|>", are taken out before anything else and may hold such places."""
+    return b"<|" in data.tobytes()
 
 
 def word_pieces(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return texts.pieces(IS_SPACE[texts.data])
+    starts, ends, doc = texts.pieces(IS_SPACE[texts.data])
+    if len(texts.data) < 3 or _may_hold_special(texts.data):
+        return starts, ends, doc
+    more = _before_marks(texts.data)
+    more = more[~np.isin(more, texts.offsets)]
+    starts, ends = np.sort(np.concatenate((starts, more))), np.sort(np.concatenate((ends, more)))
+    return starts, ends, np.searchsorted(texts.offsets, starts, "right") - 1
 
 
 def spaced_pieces(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,10 +71,14 @@ def spaced_pieces(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(data) > 2:
         before = _PLAIN[data[:-2]]
         before[1:] |= (data[1:-2] >= 0x80) & _TWO_BYTE[data[:-3]]
-        cut[1:-2] = _SPACE[data[1:-1]] & before & (_PLAIN[data[2:]] | _LEADS[data[2:]])
+        cut[1:-2] = _SINGLE[data[1:-1]] & before & (_PLAIN[data[2:]] | _LEADS[data[2:]])
         # neighbours in another text don't count: no cut at a text's first or last byte
         cut[texts.offsets[1:-1]] = False
         cut[np.maximum(texts.offsets[1:-1] - 1, 0)] = False
+        lines = np.flatnonzero(cut[:-1] & (data == 0x0A))
+        cut[lines + 1] = True
+        if not _may_hold_special(data):
+            cut[_before_marks(data)] = True
     full = texts.offsets[:-1] < texts.offsets[1:]
     cut[texts.offsets[:-1][full]] = True
     cut[len(data)] = False
@@ -60,6 +90,11 @@ def spaced_pieces(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 CUTS = {"words": word_pieces, "spaces": spaced_pieces}
 
 
+def _lowers(tokenizer) -> bool:
+    """Whether the tokenizer lower-cases by itself: then A-Z may be folded before."""
+    return tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str("AZ") == "az"
+
+
 class PieceEncoder:
     def __init__(self, path: str, cuts: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -67,6 +102,7 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cuts = CUTS[cuts]
+        self.folds = cuts == "words" and _lowers(self.tokenizer)
         self._forget()
 
     def _forget(self) -> None:
@@ -94,6 +130,8 @@ class PieceEncoder:
     def __call__(self, column: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the slice, and how many each text has; `end` is put after each text."""
         texts = Texts(column)
+        if self.folds and not _may_hold_special(texts.data):
+            texts.data = LOWER[texts.data]
         starts, ends, doc = self.cuts(texts)
         coded = texts.spans(starts, ends).dictionary_encode()
         place = self._encode(byte_strings(coded.dictionary))[coded.indices.to_numpy(zero_copy_only=False)]
