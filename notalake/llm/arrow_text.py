@@ -101,10 +101,16 @@ class Texts:
         return both.take(pa.array(np.arange(0, 2 * len(starts), 2)))
 
 
+    def code_points(self, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Byte places as code point offsets in their texts."""
+        total = np.concatenate(([0], np.cumsum((self.data & 0xC0) != 0x80)))
+        return total[at] - total[self.offsets[doc]]
+
+
 class Words(Texts):
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, separators: np.ndarray = IS_SPACE):
         super().__init__(column, lower)
-        self.starts, self.ends, self.doc = self.pieces(IS_SPACE[self.data])
+        self.starts, self.ends, self.doc = self.pieces(separators[self.data])
         self.counts = np.bincount(self.doc, minlength=self.n).astype(np.int64)
 
     def encoded(self) -> tuple[np.ndarray, list[bytes]]:
