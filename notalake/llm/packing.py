@@ -147,11 +147,11 @@ class Packer:
         return False
 
     def finish(self) -> Iterator[list[Piece]]:
-        """Everything that still waits; a part-filled sequence in lengths that are powers of two."""
+        """Everything that still waits; the last, part-filled sequence in lengths that are powers of two."""
         while self.waiting:
             sequence = self._fill()
             size = sum(len(p.ids) for p in sequence)
-            if not self.limits.cut or size & (size - 1) == 0:
+            if self.waiting or not self.limits.cut or size & (size - 1) == 0:
                 yield sequence
                 continue
             for bit in reversed(range(size.bit_length())):
