@@ -106,7 +106,11 @@ def parsed(df: DataFrame) -> DataFrame:
 
 
 def quarantine(df: DataFrame, *keys: str) -> DataFrame:
-    return parsed(df).filter(F.col("error").isNotNull()).select(*keys, "error", F.col("xml").alias("raw_text"))
+    return rejects_of(parsed(df), *keys)
+
+
+def rejects_of(parsed_rows: DataFrame, *keys: str) -> DataFrame:
+    return parsed_rows.filter(F.col("error").isNotNull()).select(*keys, "error", F.col("xml").alias("raw_text"))
 
 
 def _any_group(groups: Column, field: str) -> Column:
@@ -143,7 +147,12 @@ def documents(df: DataFrame, *keys: str) -> DataFrame:
 
     Item lists stay inside their row; `items` unfolds them.
     """
-    p = computed_once(parsed(df).filter(F.col("error").isNull()), "itens", _goods_items(F.col("_nf")))
+    return documents_of(parsed(df), *keys)
+
+
+def documents_of(parsed_rows: DataFrame, *keys: str) -> DataFrame:
+    """`documents` out of rows that are parsed already."""
+    p = computed_once(parsed_rows.filter(F.col("error").isNull()), "itens", _goods_items(F.col("_nf")))
     nf, ct, md = F.col("_nf"), F.col("_ct"), F.col("_md")
     kind = F.col("tipo_documento")
     is_note = kind.isin("NFe", "NFCe")

@@ -6,18 +6,10 @@ columns has one result schema.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded_rows, freeze
-
-# Below this many distinct values the built-in exact percentile has a small state; above it the
-# values are counted, range-partitioned and only the partitions that hold a wanted rank are looked into.
-SMALL_DISTINCT = 100_000
-MAX_PROFILED = 10_000
-
+from ..session import freeze
 
 def long_values(df: DataFrame, columns: list[str], kind: str) -> DataFrame:
     """(column, value) with NULLs kept."""
@@ -41,30 +33,12 @@ def numeric_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.array(*parts).alias("s")).select(F.explode("s").alias("s")).select("s.*")
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float], small: int = SMALL_DISTINCT) -> DataFrame:
-    """column, p, value: exact quantiles with linear interpolation."""
-    distinct = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    few = [c for c in columns if distinct[c] <= small]
-    many = [c for c in columns if distinct[c] > small]
-    parts = []
-    if few:
-        levels = F.array(*[F.lit(p) for p in probabilities])
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), levels).alias(c) for c in few])
-        named = F.array(
-            *[
-                F.struct(F.lit(c).alias("column"), F.lit(p).alias("p"), F.col(c)[i].alias("value"))
-                for c in few
-                for i, p in enumerate(probabilities)
-            ]
-        )
-        parts.append(row.select(F.explode(named).alias("q")).select("q.*"))
-    if many:
-        parts.append(_ranked_quantiles(df, many, probabilities))
-    return reduce(DataFrame.unionByName, parts)
+def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> DataFrame:
+    """column, p, value: exact quantiles with linear interpolation, by global rank.
 
-
-def _ranked_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> DataFrame:
-    """Quantiles by global rank. No task sees more than a range partition of distinct values."""
+    Values are counted and range-partitioned, and only partitions that hold a wanted rank are looked
+    into: no task sees more than a range of distinct values, whatever the table.
+    """
     values = long_values(df, columns, "double").filter("value IS NOT NULL")
     counts = values.groupBy("column", "value").agg(F.count("*").alias("n"))
     # Range boundaries are sampled, so the partitioning is written down before it is used twice.
@@ -95,42 +69,38 @@ def _ranked_quantiles(df: DataFrame, columns: list[str], probabilities: list[flo
     return ends.select("column", "p", (F.col("low") + (F.col("high") - F.col("low")) * share).alias("value"))
 
 
-def quantile_values(df: DataFrame, columns: list[str], probabilities: list[float]) -> dict[tuple[str, float], float]:
-    """The quantiles as numbers on the driver: columns times probabilities, never more."""
-    rows = bounded_rows(exact_quantiles(df, columns, probabilities), MAX_PROFILED)
-    if rows is None:
-        raise ValueError("too many columns for one profile")
-    return {(r["column"], r["p"]): r["value"] for r in rows}
+def _quartiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> DataFrame:
+    """One row a column: column, q25, q50, q75 as far as asked for."""
+    at = lambda p: F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"q{round(p * 100)}")
+    return exact_quantiles(df, columns, probabilities).groupBy("column").agg(*[at(p) for p in probabilities])
 
 
-def fences(df: DataFrame, column: str, factor: float = 1.5) -> tuple[float, float]:
-    q = quantile_values(df, [column], [0.25, 0.75])
-    low, high = q[column, 0.25], q[column, 0.75]
+def _fences(low: Column, high: Column, factor: float = 1.5) -> tuple[Column, Column]:
     return low - factor * (high - low), high + factor * (high - low)
 
 
 def outliers(df: DataFrame, column: str) -> DataFrame:
-    """Rows outside 1.5 interquartile ranges; the bounds are numbers, so the filter reaches the scan."""
-    low, high = fences(df, column)
+    """Rows outside 1.5 interquartile ranges; the bounds are scalar subqueries, so nothing meets in the driver."""
+    bounds = _quartiles(df, [column], [0.25, 0.75])
+    low, high = _fences(bounds.select("q25").scalar(), bounds.select("q75").scalar())
     return df.filter((F.col(column) < low) | (F.col(column) > high))
 
 
 def box(df: DataFrame, column: str) -> DataFrame:
     """Five numbers, whiskers and the number of points outside, in one row."""
-    q = quantile_values(df, [column], [0.25, 0.5, 0.75])
-    low, mid, high = (q[column, p] for p in (0.25, 0.5, 0.75))
-    bottom, top = low - 1.5 * (high - low), high + 1.5 * (high - low)
+    marks = _quartiles(df, [column], [0.25, 0.5, 0.75])
+    low, mid, high = (marks.select(q).scalar() for q in ("q25", "q50", "q75"))
+    bottom, top = _fences(low, high)
     inside = F.col(column).between(bottom, top)
-    return df.agg(
-        F.min(column).alias("min"),
-        F.lit(low).alias("q1"),
-        F.lit(mid).alias("median"),
-        F.lit(high).alias("q3"),
-        F.max(column).alias("max"),
-        F.min(F.when(inside, F.col(column))).alias("lower_whisker"),
-        F.max(F.when(inside, F.col(column))).alias("upper_whisker"),
-        F.count_if(F.col(column).isNotNull() & ~inside).alias("n_outliers"),
+    marked = df.select(F.col(column).alias("v"), inside.alias("inside"))
+    sums = marked.agg(
+        F.min("v").alias("min"),
+        F.max("v").alias("max"),
+        F.min(F.when(F.col("inside"), F.col("v"))).alias("lower_whisker"),
+        F.max(F.when(F.col("inside"), F.col("v"))).alias("upper_whisker"),
+        F.count_if(F.col("v").isNotNull() & ~F.col("inside")).alias("n_outliers"),
     )
+    return sums.select("min", low.alias("q1"), mid.alias("median"), high.alias("q3"), "max", "lower_whisker", "upper_whisker", "n_outliers")
 
 
 def histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
@@ -194,16 +164,15 @@ def missing_shares(df: DataFrame) -> DataFrame:
 
 
 def outlier_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, number of values outside the fences: one pass for the quartiles, one for the counts."""
-    q = quantile_values(df, columns, [0.25, 0.75])
-
-    def outside(c: str) -> Column:
-        low, high = q[c, 0.25], q[c, 0.75]
-        return (F.col(c) < low - 1.5 * (high - low)) | (F.col(c) > high + 1.5 * (high - low))
-
-    row = df.agg(*[F.count_if(outside(c)).alias(c) for c in columns])
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n_outliers")) for c in columns])
-    return row.select(F.explode(pairs).alias("o")).select("o.*")
+    """column, number of values outside the fences. Any number of columns: values and quartiles meet by column name.
+
+    The quartiles are one row a column, no more than the plan itself has columns, and are broadcast.
+    """
+    low, high = _fences(F.col("q25"), F.col("q75"))
+    values = long_values(df, columns, "double")
+    joined = values.join(F.broadcast(_quartiles(df, columns, [0.25, 0.75])), "column", "left")
+    outside = (F.col("value") < low) | (F.col("value") > high)
+    return joined.groupBy("column").agg(F.count_if(F.coalesce(outside, F.lit(False))).alias("n_outliers"))
 
 
 def overview(df: DataFrame, numeric: list[str]) -> DataFrame:

@@ -160,35 +160,43 @@ def header_rules() -> list[Rule]:
     ]
 
 
+def states_plain_amount() -> Column:
+    """A cargo document whose ICMS is one amount, not a group with a situation code."""
+    return (F.coalesce(F.col("document_type"), F.lit("")) == "CTe") & F.col("icms_cst").isNull() & F.col("icms_csosn").isNull()
+
+
 def tax_rules() -> list[Rule]:
-    """Taxes of a goods document. Cargo documents that state one plain amount follow `cargo_tax_rules`."""
+    """Taxes of goods documents, and of cargo documents that give their ICMS as a group.
+
+    Without a tax block (`has_taxes` false) ICMS and IPI are missing, both as errors, and nothing else is said.
+    """
+    goods = ~states_plain_amount()
+    given = goods & F.coalesce(F.col("has_taxes"), F.lit(True))
     cst, csosn = zero_fill(F.col("icms_cst"), 2), zero_fill(F.col("icms_csosn"), 3)
-    normal = F.col("icms_cst").isNotNull()
-    simples = ~normal & F.col("icms_csosn").isNotNull()
+    normal = given & F.col("icms_cst").isNotNull()
+    simples = given & F.col("icms_cst").isNull() & F.col("icms_csosn").isNotNull()
     ipi = zero_fill(F.col("ipi_cst"), 2)
+    has_ipi = given & F.col("ipi_cst").isNotNull()
+    number = lambda name: F.coalesce(F.col(name), F.lit(0))
     rules = [
         Rule("icms_cst_invalid", ERROR, normal & ~cst.isin(ref.ICMS_CST), F.concat(F.lit("CST ICMS "), cst, F.lit(" inválido"))),
         Rule(
             "icms_zero",
             WARNING,
-            normal & ~cst.isin(ref.ICMS_CST_ZERO_ALLOWED) & (F.coalesce(F.col("icms_cents"), F.lit(0)) <= 0),
+            normal & ~cst.isin(ref.ICMS_CST_ZERO_ALLOWED) & (number("icms_cents") <= 0),
             F.concat(F.lit("ICMS com valor zerado para CST "), cst),
         ),
         Rule("icms_csosn_invalid", ERROR, simples & ~csosn.isin(ref.CSOSN), F.concat(F.lit("CSOSN "), csosn, F.lit(" inválido"))),
-        Rule("icms_missing", ERROR, ~normal & F.col("icms_csosn").isNull(), F.lit("ICMS não informado")),
-        Rule(
-            "ipi_cst_invalid",
-            ERROR,
-            F.col("ipi_cst").isNotNull() & ~ipi.isin(ref.IPI_CST),
-            F.concat(F.lit("CST IPI "), ipi, F.lit(" inválido")),
-        ),
+        Rule("icms_missing", ERROR, goods & ~normal & ~simples, F.lit("ICMS não informado")),
+        Rule("ipi_cst_invalid", ERROR, has_ipi & ~ipi.isin(ref.IPI_CST), F.concat(F.lit("CST IPI "), ipi, F.lit(" inválido"))),
         Rule(
             "ipi_value_unexpected",
             WARNING,
-            F.col("ipi_cst").isNotNull() & ~ipi.isin(ref.IPI_CST_NO_WARNING) & (F.col("ipi_cents") > 0),
+            has_ipi & ~ipi.isin(ref.IPI_CST_NO_WARNING) & ((number("ipi_rate") > 0) | (number("ipi_cents") > 0)),
             F.concat(F.lit("IPI com valor/alíquota para CST "), ipi),
         ),
-        Rule("ipi_missing", WARNING, F.col("ipi_cst").isNull(), F.lit("IPI não informado")),
+        Rule("ipi_missing", WARNING, given & F.col("ipi_cst").isNull(), F.lit("IPI não informado")),
+        Rule("ipi_missing_with_block", ERROR, goods & ~given, F.lit("IPI não informado")),
     ]
     for tax in ("pis", "cofins"):
         code = zero_fill(F.col(f"{tax}_cst"), 2)
@@ -196,16 +204,16 @@ def tax_rules() -> list[Rule]:
             Rule(
                 f"{tax}_zero",
                 WARNING,
-                code.isin(ref.PIS_COFINS_CST_TAXED) & (F.coalesce(F.col(f"{tax}_cents"), F.lit(0)) <= 0),
+                given & code.isin(ref.PIS_COFINS_CST_TAXED) & ((number(f"{tax}_rate") <= 0) | (number(f"{tax}_cents") <= 0)),
                 F.concat(F.lit(f"{tax.upper()} com alíquota/valor zerado para CST "), code),
             ),
-            Rule(f"{tax}_missing", WARNING, F.col(f"{tax}_cst").isNull(), F.lit(f"{tax.upper()} não informado")),
+            Rule(f"{tax}_missing", WARNING, given & F.col(f"{tax}_cst").isNull(), F.lit(f"{tax.upper()} não informado")),
         ]
     rules.append(
         Rule(
             "icms_st_incomplete",
             WARNING,
-            (F.col("st_cents") > 0) & (F.coalesce(F.col("st_mva"), F.lit(0)) <= 0),
+            given & (F.col("st_cents") > 0) & ((number("st_mva") <= 0) | (number("st_rate") <= 0)),
             F.lit("ICMS ST com valor, mas sem MVA ou alíquota informada"),
         )
     )
@@ -213,8 +221,21 @@ def tax_rules() -> list[Rule]:
 
 
 def cargo_tax_rules() -> list[Rule]:
-    """A cargo document with a plain amount: it only must not be negative."""
-    return [Rule("cte_icms_negative", ERROR, F.col("icms_cents") < 0, F.lit("Valor de ICMS inválido no CT-e"))]
+    """A cargo document with a plain amount: it only must not be negative; an absent one is no finding."""
+    return [Rule("cte_icms_negative", ERROR, states_plain_amount() & (F.col("icms_cents") < 0), F.lit("Valor de ICMS inválido no CT-e"))]
+
+
+def totals_issues(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """id, rule, severity, message: an item sum that differs from the stated total, and documents without items."""
+    kept = documents.filter(~F.upper(F.coalesce("document_type", F.lit(""))).isin(ref.TYPES_WITHOUT_ITEMS))
+    checked = totals_check(kept, item_totals(items))
+    text = lambda c: money(F.col(c)).cast("string")
+    differs = F.concat(F.lit("Divergência nos totais: calculado "), text("calculated_cents"), F.lit(", informado "), text("stated_cents"))
+    rules = [
+        Rule("no_items", WARNING, F.col("n_items") == 0, F.lit("Documento não contém itens")),
+        Rule("totals_differ", ERROR, (F.col("n_items") > 0) & ~F.col("totals_valid"), differs),
+    ]
+    return issues(checked, rules, "id").drop("seq")
 
 
 def item_totals(items: DataFrame) -> DataFrame:
@@ -266,7 +287,7 @@ def verdicts(documents: DataFrame, items: DataFrame) -> DataFrame:
     Header and tax rules are counted before the join, so a document crosses the network as a handful
     of numbers. Join and final aggregation share one partitioning by document.
     """
-    document_rules = header_rules() + tax_rules()
+    document_rules = header_rules() + tax_rules() + cargo_tax_rules()
     narrow = documents.select(
         "id",
         F.trim("cfop").alias("doc_cfop"),

@@ -108,17 +108,24 @@ def nearest(store: DataFrame, queries: DataFrame, k: int, threshold: float = -1.
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def centroids(store: DataFrame, group: str) -> DataFrame:
-    """Mean vector per group. Each task sends one partial sum per group it saw, not its vectors."""
+def other_widths(store: DataFrame, width: int) -> DataFrame:
+    """width, n: vectors that `centroids` leaves out, counted."""
+    return store.filter(F.size("embedding") != width).groupBy(F.size("embedding").alias("width")).agg(F.count("*").alias("n"))
+
+
+def common_width(store: DataFrame) -> int:
+    """The width most vectors have, the larger of equals; 0 for an empty store. One small aggregation."""
+    sizes = store.filter("embedding IS NOT NULL").groupBy(F.size("embedding").alias("w")).count()
+    best = sizes.agg(F.max_by("w", F.struct("count", "w")).alias("w")).first()["w"]
+    return int(best or 0)
+
+
+def centroids(store: DataFrame, group: str, width: int) -> DataFrame:
+    """Mean vector per group, of the vectors of this width. Each task sends one partial sum per group it saw, not its vectors."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
         for batch in batches:
-            lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
-            present = lengths[lengths > 0]
-            if len(present) == 0:
-                continue
-            width = int(present[0])
             rows, matrix = _matrix(batch.column(1), width)
             keys = batch.column(0).to_numpy(zero_copy_only=False)[rows]
             for key in np.unique(keys):
@@ -202,8 +209,8 @@ def two_stage(hits: DataFrame, score: Column, k: int) -> DataFrame:
 def answer_status(queries: DataFrame, hits: DataFrame, store: DataFrame) -> DataFrame:
     """success / no_matches / no_documents per query."""
     counts = hits.groupBy("query_id").agg(F.count("*").alias("n_hits"))
-    empty = store.filter("embedding IS NOT NULL").limit(1).count() == 0
-    status = F.when(F.col("n_hits") > 0, "success").otherwise("no_documents" if empty else "no_matches")
+    stored = store.filter("embedding IS NOT NULL").limit(1).agg(F.count("*").alias("n")).scalar()
+    status = F.when(F.col("n_hits") > 0, "success").when(stored == 0, "no_documents").otherwise("no_matches")
     return queries.select("query_id").join(counts, "query_id", "left").select(
         "query_id", F.coalesce("n_hits", F.lit(0)).cast("bigint").alias("n_hits"), status.alias("status")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,12 +35,19 @@ def history_stream(spark: SparkSession, folder: str) -> DataFrame:
     return result.select(F.date_format(jobs.wall_clock(F.col("window_start")), "yyyy-MM-dd").alias("window_start"), "event_type", "n_events", F.round("total_value", 4).alias("total_value"))
 
 
-@register("expiring_dedupe_stream", "STR3", "FLT10", sql="SELECT DISTINCT user_id FROM events")
+@register(
+    "expiring_dedupe_stream", "STR3", "FLT10",
+    sql="""WITH RECURSIVE o AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+passed AS (SELECT user_id, event_id, ts, n, ts AS last, true AS kept FROM o WHERE n = 1
+  UNION ALL SELECT o.user_id, o.event_id, o.ts, o.n, CASE WHEN o.ts >= p.last + INTERVAL 7 DAY THEN o.ts ELSE p.last END, o.ts >= p.last + INTERVAL 7 DAY
+  FROM passed p JOIN o ON o.user_id = p.user_id AND o.n = p.n + 1)
+SELECT user_id, event_id FROM passed WHERE kept""",
+)
 def expiring_dedupe_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """First event of every user; the time to live covers the month."""
+    """Events of a user that find no entry of the user's: an entry lives for a week."""
     out = _fresh(spark, "first")
-    jobs.run_to_files(jobs.first_within(jobs.event_stream(spark, folder), "user_id", "30 days"), out, out + "-ckpt")
-    return spark.read.schema("event_id bigint, user_id bigint").parquet(out).select("user_id")
+    jobs.run_to_files(jobs.first_within(jobs.event_stream(spark, folder), "user_id", datetime.timedelta(days=7)), out, out + "-ckpt")
+    return spark.read.schema("event_id bigint, user_id bigint").parquet(out).select("user_id", "event_id")
 
 
 @register(
@@ -71,14 +79,15 @@ def file_routes(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(
     "csv_with_bad_rows", "SRC4", "SRC3",
-    sql="SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, c_mktsegment AS segment FROM customer WHERE c_custkey % 4 <> 1",
+    sql="""SELECT CAST(c_custkey AS VARCHAR) AS id, c_name || CASE WHEN c_custkey % 3 = 0 THEN ', Ltda' ELSE '' END AS name, c_mktsegment AS segment FROM customer WHERE c_custkey % 4 <> 1""",
 )
 def csv_with_bad_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """CSV lines, quoted; every fourth has a field too many and is dropped."""
-    quote = lambda c: F.concat(F.lit('"'), F.col(c).cast("string"), F.lit('"'))
+    """CSV lines, quoted, some names with a comma; every fourth line has a field too many and is dropped."""
+    quote = lambda c: F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
+    name = F.concat("c_name", F.when(F.col("c_custkey") % 3 == 0, F.lit(", Ltda")).otherwise(""))
     extra = F.when(F.col("c_custkey") % 4 == 1, F.lit(",x")).otherwise("")
     lines = table(spark, folder, "customer").select(
-        F.concat(F.concat_ws(",", quote("c_custkey"), quote("c_name"), quote("c_mktsegment")), extra).alias("value")
+        F.concat(F.concat_ws(",", quote(F.col("c_custkey")), quote(name), quote(F.col("c_mktsegment"))), extra).alias("value")
     )
     return files.csv_text(lines, ["id", "name", "segment"])
 

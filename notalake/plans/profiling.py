@@ -42,7 +42,7 @@ def column_medians(spark: SparkSession, folder: str) -> DataFrame:
 )
 def ranked_quantiles(spark: SparkSession, folder: str) -> DataFrame:
     """The path for columns with very many distinct values, forced."""
-    found = p.exact_quantiles(table(spark, folder, "orders"), ["o_totalprice", "o_custkey"], [0.1, 0.25, 0.5, 0.75, 0.99], small=0)
+    found = p.exact_quantiles(table(spark, folder, "orders"), ["o_totalprice", "o_custkey"], [0.1, 0.25, 0.5, 0.75, 0.99])
     return found.withColumn("value", F.round("value", 6))
 
 

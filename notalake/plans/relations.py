@@ -294,13 +294,14 @@ def history_timeline(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(
     "analysis_sequence", "WRT4",
-    sql="""WITH mx AS (SELECT user_id, count(*) AS m FROM events WHERE event_type = 'view' GROUP BY 1)
+    sql="""WITH mx AS (SELECT user_id, max(event_id % 1000) AS m FROM events WHERE event_type = 'view' GROUP BY 1)
 SELECT e.user_id AS document_id, event_id, row_number() OVER (PARTITION BY e.user_id ORDER BY ts, event_id) + coalesce(m, 0) AS analysis_id FROM events e LEFT JOIN mx ON mx.user_id = e.user_id WHERE event_type <> 'view'""",
 )
 def analysis_sequence(spark: SparkSession, folder: str) -> DataFrame:
-    """New analyses continue the numbers of the stored ones."""
+    """New analyses continue after the largest number of the stored ones, whose numbers have gaps."""
     e = table(spark, folder, "events").select(F.col("user_id").alias("document_id"), "event_id", "event_type", "ts")
-    stored = e.filter("event_type = 'view'").groupBy("document_id").agg(F.count("*").alias("_max"))
+    analyses = e.filter("event_type = 'view'").select("document_id", (F.col("event_id") % 1000).alias("analysis_id"))
+    stored = analyses.groupBy("document_id").agg(F.max("analysis_id").alias("_max"))
     fresh = relate.numbered(e.filter("event_type <> 'view'"), ["document_id"], ["ts", "event_id"], F.col("ts").cast("date"))
     return fresh.join(stored, "document_id", "left").select(
         "document_id", "event_id", (F.col("seq") + F.coalesce("_max", F.lit(0))).alias("analysis_id")

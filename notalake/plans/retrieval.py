@@ -17,6 +17,7 @@ from ..sources.tables import table
 from .registry import register
 
 AS_OF = datetime(2024, 1, 31, 12, 0, 0)
+WIDTH = 64  # of the vectors in the embeddings table
 TRIM = r"regexp_replace({}, '^[\s\x{{00a0}}\x{{2000}}-\x{{200a}}\x{{3000}}]+|[\s\x{{00a0}}\x{{2000}}-\x{{200a}}\x{{3000}}]+$', '', 'g')".format
 
 
@@ -158,7 +159,7 @@ s AS (SELECT query_id, vec_id, label, round(list_cosine_similarity(qvec, v), 9)
     sql=f"WITH {PROTO} SELECT label AS query_id, CAST(p - 1 AS INTEGER) AS pos, round(m, 9) AS mean FROM mean",
 )
 def type_prototypes(spark: SparkSession, folder: str) -> DataFrame:
-    q = vectors.centroids(_store(spark, folder), "label")
+    q = vectors.centroids(_store(spark, folder), "label", WIDTH)
     return q.select(F.col("query_id").cast("int").alias("query_id"), F.posexplode("vector").alias("pos", "m")).select("query_id", "pos", F.round("m", 9).alias("mean"))
 
 
@@ -168,7 +169,7 @@ def type_prototypes(spark: SparkSession, folder: str) -> DataFrame:
 )
 def knn_topk(spark: SparkSession, folder: str) -> DataFrame:
     store = _store(spark, folder)
-    found = vectors.nearest(store, vectors.centroids(store, "label"), 20)
+    found = vectors.nearest(store, vectors.centroids(store, "label", WIDTH), 20)
     return found.withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -201,7 +202,7 @@ def filtered_knn(spark: SparkSession, folder: str) -> DataFrame:
     docs = _documents(spark, folder)
     allowed = docs.filter("document_type IN ('1-URGENT', '2-HIGH') AND created_at >= TIMESTAMP_NTZ '1994-01-01'")
     chunks = _chunks(spark, folder)
-    found = vectors.search(chunks, vectors.centroids(chunks, "label"), docs.select("document_id", "document_type"), 10, 0.1, allowed)
+    found = vectors.search(chunks, vectors.centroids(chunks, "label", WIDTH), docs.select("document_id", "document_type"), 10, 0.1, allowed)
     return found.select("query_id", "vec_id", "document_id", "document_type", "similarity")
 
 
@@ -213,7 +214,7 @@ def memory_search(spark: SparkSession, folder: str) -> DataFrame:
     """Chat chunks of one session; labels stand for sessions."""
     store = _store(spark, folder)
     chat = store.withColumnRenamed("label", "session_id").filter("session_id = 3")
-    return vectors.nearest(chat, vectors.centroids(store, "label"), 5, 0.05).drop("rank")
+    return vectors.nearest(chat, vectors.centroids(store, "label", WIDTH), 5, 0.05).drop("rank")
 
 
 CONTEXT = f"""{PROTO}, hits AS (SELECT *, {CHUNKS} AS document_id FROM s WHERE sim >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) <= 20),
@@ -226,7 +227,7 @@ hy AS (SELECT *, total_similarity * 0.6 + vs * 0.25 + rs * 0.15 AS hs FROM sc),
 
 def _context(spark: SparkSession, folder: str) -> DataFrame:
     chunks = _chunks(spark, folder)
-    hits = vectors.nearest(chunks, vectors.centroids(chunks, "label"), 20, 0.1).drop("rank")
+    hits = vectors.nearest(chunks, vectors.centroids(chunks, "label", WIDTH), 20, 0.1).drop("rank")
     named = hits.withColumns(
         {"document_id": F.floor(F.col("vec_id") / DOCUMENTS_OF_CHUNKS), "content": F.concat(F.lit("chunk "), F.col("vec_id").cast("string"))}
     )
@@ -271,7 +272,7 @@ SELECT CAST(query_id AS BIGINT) AS query_id, vec_id, round(sc, 9) AS second_scor
 def two_stage_rank(spark: SparkSession, folder: str) -> DataFrame:
     """Vector candidates re-scored by word overlap between the question and the candidate's text."""
     store = _store(spark, folder)
-    hits = vectors.nearest(store, vectors.centroids(store, "label"), 20).drop("rank")
+    hits = vectors.nearest(store, vectors.centroids(store, "label", WIDTH), 20).drop("rank")
     asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     content = table(spark, folder, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     joined = hits.join(asked, "query_id").join(content, "vec_id")
@@ -286,7 +287,7 @@ SELECT CAST(q.query_id AS BIGINT) AS query_id, coalesce(n, 0) AS n_hits, CASE WH
 )
 def answer_status(spark: SparkSession, folder: str) -> DataFrame:
     store = _store(spark, folder)
-    asked = vectors.centroids(store, "label")
+    asked = vectors.centroids(store, "label", WIDTH)
     return vectors.answer_status(asked, vectors.nearest(store, asked, 10, ref.THRESHOLD_ANSWER), store)
 
 
@@ -299,7 +300,7 @@ SELECT CAST(query_id AS BIGINT) AS query_id, n_similar, CAST(confidence AS DOUBL
 def neighbour_consistency(spark: SparkSession, folder: str) -> DataFrame:
     """For the prototype of every type: do the nearest documents have that type?"""
     store = _store(spark, folder)
-    asked = vectors.centroids(store, "label")
+    asked = vectors.centroids(store, "label", WIDTH)
     hits = vectors.nearest(store, asked, 5, ref.THRESHOLD_CONTEXT).join(store.select("vec_id", "label"), "vec_id")
     near = hits.select("query_id", F.col("vec_id").alias("document_id"), F.col("label").cast("bigint").alias("document_type"))
     return vectors.neighbour_consistency(near, asked.select("query_id", F.col("query_id").alias("own_type")))

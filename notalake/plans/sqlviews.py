@@ -92,7 +92,9 @@ h AS (
     CASE WHEN k % 14 = 0 THEN NULL WHEN k % 3 = 0 THEN '02' ELSE '08' END AS cofins_cst,
     CASE WHEN k % 12 < 4 THEN 0 ELSE cents * 7 // 100 END AS cofins_cents,
     CASE WHEN k % 15 = 0 THEN cents * 3 // 100 ELSE 0 END AS st_cents,
-    CASE WHEN k % 30 = 0 THEN 0 ELSE 40 END AS st_mva
+    CASE WHEN k % 30 = 0 THEN 0 ELSE 40 END AS st_mva, CASE WHEN k % 45 = 0 THEN 0 ELSE 18 END AS st_rate,
+    CASE WHEN k % 4 = 1 THEN k % 3 ELSE 5 END AS ipi_rate, CASE WHEN k % 7 = 0 THEN 0 ELSE 2 END AS pis_rate,
+    CASE WHEN k % 5 = 1 THEN 0 ELSE 7 END AS cofins_rate, k % 37 <> 5 AS has_taxes
   FROM o JOIN issuer_numbers i ON i.issuer_id = o.issuer_id JOIN recipient_numbers r ON r.c_key = o.o_custkey)"""
 
 ITEMS = f"""l AS (

@@ -58,19 +58,22 @@ HEADER_SQL = [
     ("issue_date_missing", "warning", "data_emissao IS NULL", "'Data de emissão não informada'"),
 ]
 Z = lambda c: f"CASE WHEN length({c}) < 2 THEN lpad({c}, 2, '0') ELSE {c} END"
+CARGO = "(document_type IS NOT NULL AND document_type = 'CTe' AND icms_cst IS NULL AND icms_csosn IS NULL)"
+BLOCK = f"NOT {CARGO} AND has_taxes"
 TAX_SQL = [
-    ("icms_cst_invalid", "error", f"{Z('icms_cst')} NOT IN ({q.quoted(ref.ICMS_CST)})", f"'CST ICMS ' || {Z('icms_cst')} || ' inválido'"),
-    ("icms_zero", "warning", f"{Z('icms_cst')} NOT IN ('40', '41', '50') AND coalesce(icms_cents, 0) <= 0", f"'ICMS com valor zerado para CST ' || {Z('icms_cst')}"),
-    ("icms_csosn_invalid", "error", f"icms_cst IS NULL AND lpad(icms_csosn, 3, '0') NOT IN ({q.quoted(ref.CSOSN)})", "'CSOSN ' || lpad(icms_csosn, 3, '0') || ' inválido'"),
-    ("icms_missing", "error", "icms_cst IS NULL AND icms_csosn IS NULL", "'ICMS não informado'"),
-    ("ipi_cst_invalid", "error", f"ipi_cst NOT IN ({q.quoted(ref.IPI_CST)})", "'CST IPI ' || ipi_cst || ' inválido'"),
-    ("ipi_value_unexpected", "warning", f"ipi_cst NOT IN ({q.quoted(ref.IPI_CST_NO_WARNING)}) AND ipi_cents > 0", "'IPI com valor/alíquota para CST ' || ipi_cst"),
-    ("ipi_missing", "warning", "ipi_cst IS NULL", "'IPI não informado'"),
-    ("pis_zero", "warning", f"{Z('pis_cst')} IN ('01', '02') AND coalesce(pis_cents, 0) <= 0", f"'PIS com alíquota/valor zerado para CST ' || {Z('pis_cst')}"),
-    ("pis_missing", "warning", "pis_cst IS NULL", "'PIS não informado'"),
-    ("cofins_zero", "warning", f"{Z('cofins_cst')} IN ('01', '02') AND coalesce(cofins_cents, 0) <= 0", f"'COFINS com alíquota/valor zerado para CST ' || {Z('cofins_cst')}"),
-    ("cofins_missing", "warning", "cofins_cst IS NULL", "'COFINS não informado'"),
-    ("icms_st_incomplete", "warning", "st_cents > 0 AND st_mva <= 0", "'ICMS ST com valor, mas sem MVA ou alíquota informada'"),
+    ("icms_cst_invalid", "error", f"{BLOCK} AND {Z('icms_cst')} NOT IN ({q.quoted(ref.ICMS_CST)})", f"'CST ICMS ' || {Z('icms_cst')} || ' inválido'"),
+    ("icms_zero", "warning", f"{BLOCK} AND {Z('icms_cst')} NOT IN ('40', '41', '50') AND coalesce(icms_cents, 0) <= 0", f"'ICMS com valor zerado para CST ' || {Z('icms_cst')}"),
+    ("icms_csosn_invalid", "error", f"{BLOCK} AND icms_cst IS NULL AND lpad(icms_csosn, 3, '0') NOT IN ({q.quoted(ref.CSOSN)})", "'CSOSN ' || lpad(icms_csosn, 3, '0') || ' inválido'"),
+    ("icms_missing", "error", f"NOT {CARGO} AND (NOT has_taxes OR icms_cst IS NULL AND icms_csosn IS NULL)", "'ICMS não informado'"),
+    ("ipi_cst_invalid", "error", f"{BLOCK} AND ipi_cst NOT IN ({q.quoted(ref.IPI_CST)})", "'CST IPI ' || ipi_cst || ' inválido'"),
+    ("ipi_value_unexpected", "warning", f"{BLOCK} AND ipi_cst NOT IN ({q.quoted(ref.IPI_CST_NO_WARNING)}) AND (ipi_rate > 0 OR ipi_cents > 0)", "'IPI com valor/alíquota para CST ' || ipi_cst"),
+    ("ipi_missing", "warning", f"{BLOCK} AND ipi_cst IS NULL", "'IPI não informado'"),
+    ("ipi_missing_with_block", "error", f"NOT {CARGO} AND NOT has_taxes", "'IPI não informado'"),
+    ("pis_zero", "warning", f"{BLOCK} AND {Z('pis_cst')} IN ('01', '02') AND (pis_rate <= 0 OR coalesce(pis_cents, 0) <= 0)", f"'PIS com alíquota/valor zerado para CST ' || {Z('pis_cst')}"),
+    ("pis_missing", "warning", f"{BLOCK} AND pis_cst IS NULL", "'PIS não informado'"),
+    ("cofins_zero", "warning", f"{BLOCK} AND {Z('cofins_cst')} IN ('01', '02') AND (cofins_rate <= 0 OR coalesce(cofins_cents, 0) <= 0)", f"'COFINS com alíquota/valor zerado para CST ' || {Z('cofins_cst')}"),
+    ("cofins_missing", "warning", f"{BLOCK} AND cofins_cst IS NULL", "'COFINS não informado'"),
+    ("icms_st_incomplete", "warning", f"{BLOCK} AND st_cents > 0 AND (st_mva <= 0 OR st_rate <= 0)", "'ICMS ST com valor, mas sem MVA ou alíquota informada'"),
 ]
 JOINED = "(SELECT i.*, h.cfop AS doc_cfop FROM i JOIN h ON h.id = i.document_id WHERE coalesce(h.document_type, '') NOT IN ('CTe', 'MDFe'))"
 ITEM_ISSUES = rule_union(JOINED, "document_id AS id, item_no", ITEM_SQL)
@@ -171,7 +174,7 @@ def tax_rules(spark: SparkSession, folder: str) -> DataFrame:
 @register(
     "cargo_tax_rules", "VAL10",
     sql=f"""WITH {q.HEADERS} SELECT id, 'cte_icms_negative' AS rule, 'error' AS severity, 'Valor de ICMS inválido no CT-e' AS message
-FROM h WHERE document_type = 'CTe' AND icms_cents - 20000 < 0""",
+FROM h WHERE document_type = 'CTe' AND icms_cst IS NULL AND icms_csosn IS NULL AND icms_cents - 20000 < 0""",
 )
 def cargo_tax_rules(spark: SparkSession, folder: str) -> DataFrame:
     """A rebate of 200.00 drives the smaller amounts below zero."""
@@ -179,6 +182,17 @@ def cargo_tax_rules(spark: SparkSession, folder: str) -> DataFrame:
     return v.issues(cargo.withColumn("icms_cents", F.col("icms_cents") - 20000), v.cargo_tax_rules(), "id").drop("seq")
 
 
+@register(
+    "totals_findings", "VAL7",
+    sql=f"""{WITH}, {CHECKED}, k AS (SELECT * FROM c WHERE coalesce(document_type, '') NOT IN ('CTe', 'MDFe'))
+SELECT id, 'no_items' AS rule, 'warning' AS severity, 'Documento não contém itens' AS message FROM k WHERE n_items = 0
+UNION ALL SELECT id, 'totals_differ', 'error', printf('Divergência nos totais: calculado %.2f, informado %.2f', calculated_cents / 100.0, stated_cents / 100.0)
+FROM k WHERE n_items > 0 AND NOT totals_valid""",
+)
+def totals_findings(spark: SparkSession, folder: str) -> DataFrame:
+    return v.totals_issues(fv.headers(spark, folder), fv.items(spark, folder))
+
+
 VERDICT_SQL = f"""{WITH}, {CHECKED},
 found AS (SELECT id, severity FROM ({ITEM_ISSUES}) UNION ALL SELECT id, severity FROM ({HEADER_ISSUES})
   UNION ALL SELECT id, severity FROM ({TAX_ISSUES})

@@ -235,13 +235,13 @@ def sentence_cut(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(
     "query_prefix", "FN19",
-    sql="""WITH t AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'Nota ' WHEN 1 THEN 'qual fatura ' ELSE '' END || left(text, 40) AS question FROM conversations)
+    sql="""WITH t AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'Nota ' WHEN 1 THEN 'qual fatura ' ELSE '' END || text AS question FROM conversations)
 SELECT conv_id, turn, CASE WHEN regexp_matches(lower(question), 'documento|nota|fatura|comprovante') THEN 'contexto fiscal: ' || question ELSE question END AS question FROM t""",
 )
 def query_prefix(spark: SparkSession, folder: str) -> DataFrame:
     """Questions, some of them worded as document searches."""
     lead = F.when(F.col("turn") % 4 == 0, "Nota ").when(F.col("turn") % 4 == 1, "qual fatura ").otherwise("")
-    c = table(spark, folder, "conversations").select("conv_id", "turn", F.concat(lead, F.left("text", F.lit(40))).alias("question"))
+    c = table(spark, folder, "conversations").select("conv_id", "turn", F.concat(lead, "text").alias("question"))
     return c.select("conv_id", "turn", text.prefixed_query(F.col("question")).alias("question"))
 
 

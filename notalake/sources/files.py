@@ -53,11 +53,11 @@ def csv_table(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 
 def csv_text(lines: DataFrame, header: list[str], column: str = "value") -> DataFrame:
-    """CSV lines held in a column: rows whose field count is not the header's are dropped, values are text."""
-    fields = F.split(F.col(column), ",", -1)
-    clean = F.transform(fields, lambda f: F.trim(F.replace(f, F.lit('"'), F.lit(""))))
-    kept = lines.filter((F.size(fields) == len(header)) & (F.trim(F.col(column)) != ""))
-    return kept.select(*[clean[i].alias(name) for i, name in enumerate(header)])
+    """CSV lines held in a column, quoting understood: rows of another width than the header's are dropped, values are trimmed text."""
+    fields = ", ".join(f"_f{i} string" for i in range(len(header)))
+    row = F.from_csv(column, f"{fields}, _bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
+    kept = lines.filter(F.trim(column) != "").select(row.alias("_row")).filter("_row._bad IS NULL")
+    return kept.select(*[F.coalesce(F.trim(f"_row._f{i}"), F.lit("")).alias(name) for i, name in enumerate(header)])
 
 
 def json_store(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

@@ -114,6 +114,11 @@ def headers(spark: SparkSession, folder: str, costly: bool = False) -> DataFrame
         F.when(key % 12 < 4, F.lit(0)).otherwise(F.floor(cents * 7 / 100)).cast("bigint").alias("cofins_cents"),
         F.when(key % 15 == 0, F.floor(cents * 3 / 100)).otherwise(0).cast("bigint").alias("st_cents"),
         F.when(key % 30 == 0, F.lit(0)).otherwise(F.lit(40)).alias("st_mva"),
+        F.when(key % 45 == 0, F.lit(0)).otherwise(F.lit(18)).alias("st_rate"),
+        F.when(key % 4 == 1, key % 3).otherwise(F.lit(5)).cast("bigint").alias("ipi_rate"),
+        F.when(key % 7 == 0, F.lit(0)).otherwise(F.lit(2)).alias("pis_rate"),
+        F.when(key % 5 == 1, F.lit(0)).otherwise(F.lit(7)).alias("cofins_rate"),
+        (key % 37 != 5).alias("has_taxes"),
     )
 
 

@@ -6,9 +6,15 @@ default (a scheduled run that catches up and stops) and can be restarted after a
 
 from __future__ import annotations
 
+import datetime
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import extract_xml
 from ..operators.relate import latest
@@ -44,9 +50,33 @@ def history_counts(events: DataFrame, window: str = "1 day", lateness: str = "2
     return counts.select(F.col("window.start").alias("window_start"), "event_type", "n_events", "total_value")
 
 
-def first_within(events: DataFrame, key: str, time_to_live: str) -> DataFrame:
-    """A cache as a stream: a key passes again only after its time to live; state expires with the watermark."""
-    return events.withWatermark("ts", time_to_live).dropDuplicatesWithinWatermark([key])
+def first_within(events: DataFrame, key: str, time_to_live: datetime.timedelta) -> DataFrame:
+    """A cache as a stream: an event passes if its key has no entry yet or the entry's life is over, and makes a new one.
+
+    The state of a key is the time of its entry; it goes once the watermark is past the entry's life.
+    Events of a batch are taken in the order of time, so for events that arrive in that order the
+    batches' sizes do not matter.
+    """
+    life = np.timedelta64(round(time_to_live.total_seconds() * 1_000_000), "us")
+    order = [c for c in ("ts", "event_id") if c in events.columns]
+
+    def passing(_key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
+        last = np.datetime64(state.get[0], "us") if state.exists else None
+        kept = []
+        for at in rows["ts"].to_numpy().astype("datetime64[us]"):
+            kept.append(last is None or at >= last + life)
+            last = at if kept[-1] else last
+        over = int((last + life).astype(np.int64)) // 1000
+        state.update((int(last.astype(np.int64)),))
+        state.setTimeoutTimestamp(max(over, state.getCurrentWatermarkMs() + 1))
+        yield rows[kept]
+
+    marked = events.withWatermark("ts", "1 second")
+    return marked.groupBy(key).applyInPandasWithState(passing, events.schema, "entry long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to_files(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -70,16 +100,21 @@ def xml_stream(spark: SparkSession, folder: str, files_per_batch: int = 10_000)
     return files.select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("xml"))
 
 
-def ingest_xml(files: DataFrame, table: str, rejected: str, checkpoint: str) -> StreamingQuery:
-    """XML job per micro-batch. A batch owns one folder and overwrites it, so a replayed batch adds nothing twice."""
+def ingest_xml(files: DataFrame, table: str, rejected: str, checkpoint: str, links: str | None = None) -> StreamingQuery:
+    """XML job per micro-batch: documents, what manifests carry (`links`), and rejects, out of one parse.
+
+    A batch owns one folder of each table and overwrites it, so a replayed batch adds nothing twice.
+    """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        docs = extract_xml.documents(batch, "file_name").drop("_unloading", "carga")
-        docs.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
-        bad = extract_xml.quarantine(batch, "file_name")
-        bad.write.mode("overwrite").parquet(f"{rejected}/batch_id={batch_id}")
-        batch.unpersist()
+        parsed = extract_xml.parsed(batch).persist()
+        docs = extract_xml.documents_of(parsed, "file_name").persist()
+        docs.drop("_unloading").withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        if links is not None:
+            extract_xml.linked_documents(docs, "file_name").withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{links}/batch_id={batch_id}")
+        extract_xml.rejects_of(parsed, "file_name").write.mode("overwrite").parquet(f"{rejected}/batch_id={batch_id}")
+        docs.unpersist()
+        parsed.unpersist()
 
     query = files.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import difference, duck
+from notalake.plans.registry import ORACLES, QUERIES
 
 FOLDER = os.environ.get("NOTALAKE_TEST_DATA", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
@@ -16,15 +17,19 @@ def connection():
     return duck(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_agrees_with_sql(spark, connection, name):
-    assert difference(spark, connection, entry.queries()[name], entry.oracle_sql()[name], FOLDER) is None
+    assert difference(spark, connection, QUERIES[name], ORACLES[name], FOLDER) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
-    assert entry.queries()[name](spark, FOLDER).count() > 0
+    assert QUERIES[name](spark, FOLDER).count() > 0
 
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["status", "n_documents", "n_items", "calculated_cents", "stated_cents"]
+
+
+def test_entry_holds_all_queries():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())

@@ -5,13 +5,15 @@ from notalake.operators import validate as v
 HEADER = (
     "id bigint, document_type string, numero string, serie string, data_emissao string, total_cents bigint, emitente_cnpj string, emitente_razao_social string, "
     "has_recipient boolean, destinatario_doc string, cfop string, icms_cst string, icms_csosn string, icms_cents bigint, ipi_cst string, ipi_cents bigint, "
-    "pis_cst string, pis_cents bigint, cofins_cst string, cofins_cents bigint, st_cents bigint, st_mva bigint"
+    "pis_cst string, pis_cents bigint, cofins_cst string, cofins_cents bigint, st_cents bigint, st_mva bigint, st_rate bigint, "
+    "ipi_rate bigint, pis_rate bigint, cofins_rate bigint, has_taxes boolean"
 )
 ITEM = "document_id bigint, item_no int, descricao string, ncm string, cfop string, quantidade bigint, unit_cents bigint, total_cents bigint"
 GOOD = dict(
     id=1, document_type="NFe", numero="12345", serie="1", data_emissao="2025-10-24", total_cents=30000, emitente_cnpj="33.453.678/0001-00",
     emitente_razao_social="Empresa", has_recipient=True, destinatario_doc="11222333000181", cfop="5102", icms_cst="00", icms_csosn=None, icms_cents=5400,
-    ipi_cst="53", ipi_cents=0, pis_cst="01", pis_cents=495, cofins_cst="01", cofins_cents=2280, st_cents=0, st_mva=0,
+    ipi_cst="53", ipi_cents=0, pis_cst="01", pis_cents=495, cofins_cst="01", cofins_cents=2280, st_cents=0, st_mva=0, st_rate=0,
+    ipi_rate=0, pis_rate=2, cofins_rate=7, has_taxes=True,
 )
 GOOD_ITEMS = [(1, 1, "Produto 1", "22030010", "5102", 2, 5000, 10000), (1, 2, "Produto 2", "22041000", "5102", 1, 20000, 20000)]
 
@@ -110,8 +112,31 @@ def test_tax_rules(spark):
     assert check(ipi_cst="99", ipi_cents=5) == {"ipi_value_unexpected"}
     assert check(ipi_cst="88") == {"ipi_cst_invalid"}
     assert check(ipi_cst=None, pis_cst=None, cofins_cst=None) == {"ipi_missing", "pis_missing", "cofins_missing"}
+    assert check(ipi_cst="99", ipi_rate=5) == {"ipi_value_unexpected"}
     assert check(pis_cst="1", pis_cents=0, cofins_cst="06", cofins_cents=0) == {"pis_zero"}
+    assert check(pis_cst="1", pis_cents=5, pis_rate=0) == {"pis_zero"}
     assert check(st_cents=5, st_mva=0) == {"icms_st_incomplete"}
+    assert check(st_cents=5, st_mva=40, st_rate=0) == {"icms_st_incomplete"}
+    assert check(st_cents=5, st_mva=40, st_rate=18) == set()
+    assert check(has_taxes=False) == {"icms_missing", "ipi_missing_with_block"}
+
+
+def test_cargo_with_a_plain_amount_follows_its_own_rule(spark):
+    plain = {"document_type": "CTe", "icms_cst": None, "icms_csosn": None, "ipi_cst": None, "pis_cst": None, "cofins_cst": None}
+    every = v.tax_rules() + v.cargo_tax_rules()
+    check = lambda **c: rules(v.issues(headers(spark, **{**plain, **c}), every, "id"))
+    assert check() == check(icms_cents=None) == check(has_taxes=False) == set()
+    assert check(icms_cents=-1) == {"cte_icms_negative"}
+    assert "ipi_missing" in check(icms_cst="00")
+    assert verdict(spark, icms_cents=-1, **{k: x for k, x in plain.items()})["status"] == "error"
+
+
+def test_totals_are_told(spark):
+    say = lambda rows=GOOD_ITEMS, **c: [(r["severity"], r["message"]) for r in v.totals_issues(headers(spark, **c), items(spark, rows)).collect()]
+    assert say() == []
+    assert say(total_cents=29000) == [("error", "Divergência nos totais: calculado 300.00, informado 290.00")]
+    assert say([(2, 1, "x", "22030010", "5102", 1, 1, 1)]) == [("warning", "Documento não contém itens")]
+    assert say(total_cents=29000, document_type="MDFe") == []
 
 
 def test_merge_upgrades_and_fills(spark):

@@ -1,12 +1,15 @@
+import os
 import random
 from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from notalake.functions.text import clean_wide
 from notalake.operators import chunking, conversations, profile, records, relate, search, vectors
+from notalake.session import checkpoint_root
 from notalake.sources import exports, files
 from notalake.streaming import jobs
 
@@ -114,7 +117,20 @@ def test_nearest_against_brute_force(spark, monkeypatch):
 
 def test_centroids(spark):
     df = spark.createDataFrame([(1, [1.0, 3.0]), (1, [3.0, 5.0]), (2, [0.0, 1.0]), (2, None)], "label int, embedding array<float>")
-    assert {r["query_id"]: list(r["vector"]) for r in vectors.centroids(df, "label").collect()} == {1: [2.0, 4.0], 2: [0.0, 1.0]}
+    assert {r["query_id"]: list(r["vector"]) for r in vectors.centroids(df, "label", 2).collect()} == {1: [2.0, 4.0], 2: [0.0, 1.0]}
+
+
+def test_centroids_leave_other_widths_out_and_count_them(spark):
+    rows = [(1, [9.0, 9.0, 9.0]), (1, [1.0, 3.0]), (1, [3.0, 5.0]), (1, [2.0, 4.0]), (2, [])]
+    df = spark.createDataFrame(rows, "label int, embedding array<float>").coalesce(1)
+    for size in ("10000", "1"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            assert [list(r["vector"]) for r in vectors.centroids(df, "label", 2).collect()] == [[2.0, 4.0]]
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r["width"], r["n"]) for r in vectors.other_widths(df, 2).collect()} == {(3, 1), (0, 1)}
+    assert vectors.common_width(df) == 2
 
 
 def test_consistency_and_status(spark):
@@ -137,13 +153,22 @@ def test_pluggable_embedding(spark):
     assert len(got) == 1 and abs(sum(v * v for v in got[0]["e"]) - 1) < 1e-6
 
 
-def test_quantile_paths_agree(spark):
+def test_quantiles_against_brute_force(spark):
     rng = random.Random(2)
     rows = [(rng.choice([1.0, 1.0, 1.0, rng.random() * 100]), rng.randrange(7) if rng.random() < 0.8 else None) for _ in range(1500)]
     df = spark.createDataFrame(rows, "a double, b int").repartition(6)
-    key = lambda d: {(r["column"], r["p"]): round(r["value"], 9) for r in d.collect()}
     probabilities = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    assert key(profile.exact_quantiles(df, ["a", "b"], probabilities, small=0)) == key(profile.exact_quantiles(df, ["a", "b"], probabilities))
+    got = {(r["column"], r["p"]): r["value"] for r in profile.exact_quantiles(df, ["a", "b"], probabilities).collect()}
+    for name, values in (("a", [r[0] for r in rows]), ("b", [r[1] for r in rows if r[1] is not None])):
+        for p in probabilities:
+            assert abs(got[name, p] - pd.Series(values).quantile(p)) < 1e-9
+
+
+def test_outliers_and_box_without_the_driver(spark):
+    df = spark.createDataFrame([(float(v),) for v in [1, 2, 3, 4, 100]] + [(None,)], "v double")
+    assert [r["v"] for r in profile.outliers(df, "v").collect()] == [100.0]
+    assert tuple(profile.box(df, "v").first()) == (1.0, 2.0, 3.0, 4.0, 100.0, 1.0, 4.0, 1)
+    assert {(r["column"], r["n_outliers"]) for r in profile.outlier_counts(df.withColumn("w", F.lit(None).cast("double")), ["v", "w"]).collect()} == {("v", 1), ("w", 0)}
 
 
 def test_profile_small(spark):
@@ -210,6 +235,54 @@ def test_xml_ingest_stream_survives_replay(spark, tmp_path):
     assert jobs.current_documents(spark, table).count() == 2
 
 
+def test_xml_ingest_keeps_what_manifests_carry(spark, tmp_path):
+    inbox, table, bad, links, ckpt = (str(tmp_path / n) for n in ("inbox", "table", "bad", "links", "ckpt"))
+    (tmp_path / "inbox").mkdir()
+    (tmp_path / "inbox" / "m.xml").write_text(
+        "<MDFe><infMDFe><infDoc><infMunDescarga><infCTe><chCTe>77</chCTe></infCTe></infMunDescarga></infDoc><tot><vCarga>5.50</vCarga><qCarga>2</qCarga></tot></infMDFe></MDFe>"
+    )
+    jobs.ingest_xml(jobs.xml_stream(spark, inbox), table, bad, ckpt, links)
+    assert [(r["file_name"], r["tipo"], r["chave"]) for r in spark.read.parquet(links).collect()] == [("m.xml", "CTe", "77")]
+    assert jobs.current_documents(spark, table).first()["carga"]["qCarga"] == "2"
+
+
+@pytest.mark.parametrize("days,want", [(1, [1, 2, 3, 5]), (7, [1, 3, 5]), (30, [1, 5])])
+@pytest.mark.parametrize("per_batch", [1, 100])
+def test_expiring_entries_whatever_the_batches(spark, tmp_path, days, want, per_batch):
+    start = datetime(2024, 1, 1)
+    rows = [(1, 0, 10), (2, 3, 10), (3, 19, 10), (4, 19.5, 10), (5, 50, 10)] + [(9, 0.5, 11)]
+    for k, (event, day, user) in enumerate(sorted(rows, key=lambda r: r[1])):
+        frame = spark.createDataFrame([(event, start + timedelta(days=day), user, "v", 1.0, "{}")], jobs.EVENTS)
+        frame.coalesce(1).write.parquet(str(tmp_path / "w" / str(k)))
+        part = next((tmp_path / "w" / str(k)).glob("part*.parquet"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        target = tmp_path / "in" / f"events{k}.parquet"
+        target.write_bytes(part.read_bytes())
+        os.utime(target, (1_700_000_000 + k, 1_700_000_000 + k))
+    out = str(tmp_path / "out")
+    stream = jobs.event_stream(spark, str(tmp_path / "in"), per_batch)
+    jobs.run_to_files(jobs.first_within(stream, "user_id", timedelta(days=days)), out, str(tmp_path / "ckpt"))
+    assert sorted(r["event_id"] for r in spark.read.parquet(out).filter("user_id = 10").collect()) == want
+
+
+def test_csv_lines_with_quoted_commas(spark):
+    lines = spark.createDataFrame([('1,"Silva, Ltda"',), ("2,x,y",), ("3",), (" ",), ("4, z ",)], "value string")
+    assert [tuple(r) for r in files.csv_text(lines, ["id", "name"]).collect()] == [("1", "Silva, Ltda"), ("4", "z")]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Cluster:
+        class sparkContext:
+            master = "spark://head:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_root(Cluster)
+
+
 def test_clean_text_is_jvm_side(spark):
     plan = spark.range(1).select(clean_wide(F.col("id").cast("string")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan

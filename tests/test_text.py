@@ -7,36 +7,6 @@ from notalake.functions import text as t
 from notalake.operators import extract_text as x
 
 
-def brute_split(text, size, overlap):
-    pieces = [text]
-    for sep in ("\n\n", ". ", " "):
-        pieces = [q for p in pieces for q in (p.split(sep) if len(p) > size else [p])]
-    out, current = [], ""
-    for piece in pieces:
-        if current == "":
-            current = piece
-        elif len(current) + len(piece) + 1 <= size:
-            current = f"{current} {piece}"
-        else:
-            out.append(current)
-            current = " ".join(current.split(" ")[-(overlap // 5):]) + " " + piece
-    return [c for c in out + [current] if c.strip()]
-
-
-def brute_sentences(text, size, overlap, back):
-    if len(text) <= size:
-        return [text] if text else []
-    out, at = [], 0
-    while at < len(text):
-        end = min(at + size, len(text))
-        if end < len(text):
-            window = [i for i in range(at + size - back, end) if text[i] in ".!?" and text[i + 1] in " \n"]
-            end = window[0] + 1 if window else end
-        out.append(text[at:end].strip())
-        at = end - overlap if end < len(text) else end
-    return [c for c in out if c]
-
-
 def brute_fixed(text, size, overlap):
     out, at = [], 0
     while at < len(text):
@@ -59,9 +29,47 @@ def prose(seed, n):
 TEXTS = ["", "curto", " " * 50] + [prose(s, n) for s, n in enumerate([5, 40, 200, 900, 2500])] + ["x" * 3000, prose(99, 400) + "y" * 1500 + ". " + prose(7, 100)]
 
 
-def test_chunkers_against_brute_force(value):
-    assert [list(c) for c in value(lambda c: t.split_chunks(c, 300, 60), *TEXTS)] == [brute_split(s, 300, 60) for s in TEXTS]
-    assert [list(c) for c in value(lambda c: t.sentence_chunks(c), *TEXTS)] == [brute_sentences(s, 1000, 200, 100) for s in TEXTS]
+def test_split_by_hand(value):
+    words, paragraphs = "alpha beta gamma delta epsilon zeta", "um dois\n\ntres quatro cinco seis"
+    got = [list(c) for c in value(lambda c: t.split_chunks(c, 20, 10), words, paragraphs, "curto", "", "  ")]
+    assert got == [
+        ["alpha beta gamma", "beta gamma delta", "gamma delta epsilon", "delta epsilon zeta"],
+        ["um dois tres quatro", "tres quatro cinco", "quatro cinco seis"],
+        ["curto"],
+        [],
+        [],
+    ]
+
+
+def test_split_keeps_all_words_and_repeats_the_last_ones(value):
+    for text, chunks in zip(TEXTS, value(lambda c: t.split_chunks(c, 300, 60), *TEXTS)):
+        seen = {w for c in chunks for w in re.findall(r"\w+", c)}
+        assert seen == set(re.findall(r"\w+", text))
+        for before, after in zip(chunks, chunks[1:]):
+            assert after.startswith(" ".join(before.split(" ")[-12:]) + " ")
+        longest = max([len(w) for w in text.split(" ")], default=0)
+        assert all(len(c) <= max(300, longest) + 12 * (longest + 1) for c in chunks)
+
+
+def test_sentence_windows_by_hand(value):
+    text = "Um dois tres. Quatro cinco seis sete oito nove."
+    assert [list(c) for c in value(lambda c: t.sentence_chunks(c, 20, 4, 10), text, "Curto.", "")] == [
+        ["Um dois tres.", "res. Quatro cinco se", "o seis sete oito nov", "nove."], ["Curto."], [],
+    ]
+
+
+def test_sentence_windows_cover_the_text(value):
+    distinct = [s for s in TEXTS if len(set(s)) != 1]  # a place is looked up by its text
+    for text, chunks in zip(distinct, value(lambda c: t.sentence_chunks(c), *distinct)):
+        end = 0
+        for chunk in chunks:
+            start = text.find(chunk, max(0, end - 201))
+            assert start >= 0 and not text[end:start].strip() and len(chunk) <= max(1000, len(text) if len(text) <= 1000 else 0)
+            end = start + len(chunk)
+        assert not text[end:].strip()
+
+
+def test_fixed_windows_against_brute_force(value):
     assert [list(c) for c in value(lambda c: t.fixed_chunks(c), *TEXTS)] == [brute_fixed(s, 1200, 200) for s in TEXTS]
 
 
@@ -102,6 +110,6 @@ def test_loose_lines(spark):
 
 
 def test_access_key_and_runs(value):
-    key = "35200681583054000129550010000000012062777161"
+    key = "41230655443322000188650070000345671098765432"
     assert value(x.access_key, " ".join(re.findall("....", key)), "123") == [key, None]
     assert [list(r) for r in value(x.registration_runs, "a 12345678000195 b 11222333000181 c 12345678000195", "")] == [["12345678000195", "11222333000181"], []]
