@@ -48,7 +48,8 @@ def _amount(text: Column) -> Column:
 
 def labelled_fields(df: DataFrame, text: str = "raw_text") -> DataFrame:
     """Adds one column per labelled field. Where two labels feed a field, the first one found wins."""
-    found = df.withColumns({f"_{name}": _found(F.col(text), pattern) for name, pattern in ref.LABEL_PATTERNS.items()})
+    labels = F.struct(*[_found(F.col(text), pattern).alias(f"_{name}") for name, pattern in ref.LABEL_PATTERNS.items()])
+    found = computed_once(df, "_labels", labels).select(*df.columns, "_labels.*")  # each pattern runs once a text
     stated, freight = _amount(F.col("_valor_total")), _amount(F.col("_cte_valor_prestacao"))
     return found.select(
         *df.columns,
@@ -78,10 +79,12 @@ def labelled_fields(df: DataFrame, text: str = "raw_text") -> DataFrame:
 def text_items(df: DataFrame, *keys: str, text: str = "raw_text") -> DataFrame:
     """One row per line of the item section; lines with unreadable amounts are left out."""
     section = F.regexp_extract(F.col(text), ref.ITEM_SECTION_PATTERN, 1)
-    group = lambda i: F.regexp_extract_all("_section", F.lit("(?U)" + ref.ITEM_LINE_PATTERN), F.lit(i))
+    pattern = "(?U)" + ref.ITEM_LINE_PATTERN
     names = ["codigo", "descricao", "quantidade", "unidade", "valor_unitario", "valor_total"]
     cut = df.select(*keys, section.alias("_section")).filter("_section <> ''")
-    found = F.arrays_zip(*[group(i + 1).alias(n) for i, n in enumerate(names)])
+    # one pass over the section; the groups are read from each short match
+    lines = F.regexp_extract_all("_section", F.lit(pattern), F.lit(0))
+    found = F.transform(lines, lambda m: F.struct(*[F.regexp_extract(m, pattern, i + 1).alias(n) for i, n in enumerate(names)]))
     lists = computed_once(cut, "_lists", found)
     rows = lists.select(*keys, F.posexplode("_lists").alias("pos", "item"))
     money = lambda c: _amount(F.trim(F.replace(F.col(c), F.lit("R$"), F.lit(""))))
