@@ -33,6 +33,30 @@ def cascade_delete(children: DataFrame, deleted: DataFrame, key: str) -> DataFra
     return children.join(deleted.select(key).distinct(), key, "left_anti")
 
 
+def cascade_delete_all(children: dict[str, tuple[DataFrame, str]], deleted: DataFrame, key: str) -> dict[str, DataFrame]:
+    """Every child table, given with its name for the key, without the rows of deleted parents."""
+    gone = deleted.select(key).distinct()
+    return {name: df.join(gone.withColumnRenamed(key, column), column, "left_anti") for name, (df, column) in children.items()}
+
+
+def append(df: DataFrame, path: str) -> DataFrame:
+    """Adds rows to the table at `path`, and gives the whole table. A write that fails leaves no rows behind."""
+    df.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def rewritten(df: DataFrame, keep: Column, path: str) -> DataFrame:
+    """A new version of the table with only the rows to keep; the old one stays until its readers are done."""
+    df.filter(F.coalesce(keep, F.lit(False))).write.mode("error").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def with_cached(candidates: DataFrame, cached: DataFrame, digest: str) -> DataFrame:
+    """Each digest of the candidates once, with `cached` saying whether its stored result serves."""
+    known = cached.select(digest).distinct().withColumn("cached", F.lit(True))
+    return candidates.select(digest).distinct().join(known, digest, "left").withColumn("cached", F.coalesce("cached", F.lit(False)))
+
+
 def unseen(candidates: DataFrame, cached: DataFrame, digest: str) -> DataFrame:
     """Only what the cache has no result for, each digest once."""
     return candidates.join(cached.select(digest), digest, "left_anti").dropDuplicates([digest])

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import datetime
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_root
+from ..session import fresh_folder
 from ..sources import exports, files, fiscal_view as fv, xml_text as xt
 from ..sources.tables import table
 from ..streaming import jobs
@@ -17,11 +16,6 @@ from .listing import LIST, listing
 from .registry import register
 
 
-def _fresh(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared location."""
-    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @register(
     "history_stream", "STR2", "WRT3",
     sql="""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, event_type, count(*) AS n_events, round(sum(value), 4) AS total_value FROM events
@@ -29,7 +23,7 @@ WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - I
 )
 def history_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Daily counts of a stream that ran until it had caught up; days still open are not emitted."""
-    out = _fresh(spark, "history")
+    out = fresh_folder(spark, "history")
     jobs.run_to_files(jobs.history_counts(jobs.event_stream(spark, folder)), out, out + "-ckpt")
     result = spark.read.schema("window_start timestamp, event_type string, n_events bigint, total_value double").parquet(out)
     return result.select(F.date_format(jobs.wall_clock(F.col("window_start")), "yyyy-MM-dd").alias("window_start"), "event_type", "n_events", F.round("total_value", 4).alias("total_value"))
@@ -45,7 +39,7 @@ SELECT user_id, event_id FROM passed WHERE kept""",
 )
 def expiring_dedupe_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Events of a user that find no entry of the user's: an entry lives for a week."""
-    out = _fresh(spark, "first")
+    out = fresh_folder(spark, "first")
     jobs.run_to_files(jobs.first_within(jobs.event_stream(spark, folder), "user_id", datetime.timedelta(days=7)), out, out + "-ckpt")
     return spark.read.schema("event_id bigint, user_id bigint").parquet(out).select("user_id", "event_id")
 
@@ -56,7 +50,7 @@ def expiring_dedupe_stream(spark: SparkSession, folder: str) -> DataFrame:
 )
 def xml_ingest_stream(spark: SparkSession, folder: str) -> DataFrame:
     """XML texts arrive as a stream, every batch lands in its own folder, the newest version of each is read."""
-    base = _fresh(spark, "ingest")
+    base = fresh_folder(spark, "ingest")
     name = F.concat(F.lit("doc_"), F.col("id").cast("string"), F.lit(".xml"))
     xt.order_documents(spark, folder).select(name.alias("file_name"), "xml").write.parquet(f"{base}/inbox")
     arriving = spark.readStream.schema("file_name string, xml string").option("maxFilesPerTrigger", 64).parquet(f"{base}/inbox")
@@ -98,7 +92,7 @@ def csv_with_bad_rows(spark: SparkSession, folder: str) -> DataFrame:
 )
 def csv_inferred(spark: SparkSession, folder: str) -> DataFrame:
     """A table written as CSV and read back with inferred types."""
-    path = _fresh(spark, "csv")
+    path = fresh_folder(spark, "csv")
     table(spark, folder, "customer").write.option("header", True).csv(path)
     read = files.csv_table(spark, path)
     return read.groupBy("c_mktsegment").agg(
@@ -112,7 +106,7 @@ def csv_inferred(spark: SparkSession, folder: str) -> DataFrame:
 )
 def listing_csv_export(spark: SparkSession, folder: str) -> DataFrame:
     """The semicolon export, read back as text."""
-    path = _fresh(spark, "export")
+    path = fresh_folder(spark, "export")
     exports.write_csv(listing(spark, folder).select("id", "document_type", "total_value"), path, mark=False)
     read = spark.read.option("sep", ";").option("header", True).schema("id string, document_type string, total_value string").csv(path)
     return read.na.fill("")
@@ -120,7 +114,7 @@ def listing_csv_export(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("listing_json_export", "SNK2", sql=f"{LIST} SELECT id, document_type, issuer_name, total_value FROM d")
 def listing_json_export(spark: SparkSession, folder: str) -> DataFrame:
-    path = _fresh(spark, "json")
+    path = fresh_folder(spark, "json")
     exports.write_json(listing(spark, folder).select("id", "document_type", "issuer_name", "total_value"), path)
     return spark.read.schema("id bigint, document_type string, issuer_name string, total_value double").json(path)
 

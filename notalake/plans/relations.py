@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codes import content_key
-from ..operators import classify, conversations as chat, relate, summary, validate
-from ..sources import fiscal_view as fv
+from ..operators import classify, conversations as chat, extract_xml, relate, summary, validate
+from ..session import fresh_folder
+from ..sources import fiscal_view as fv, xml_text as xt
 from ..sources.tables import table
 from . import sqlviews as q
 from .listing import H
@@ -113,7 +116,9 @@ def vector_store_stats(spark: SparkSession, folder: str) -> DataFrame:
   round(count(*) FILTER (id % 50 < 46) * 100.0::DOUBLE / count(*), 4) AS succeeded_percent, round(count(*) FILTER (id % 50 >= 46) * 100.0::DOUBLE / count(*), 4) AS failed_percent FROM h""",
 )
 def import_report(spark: SparkSession, folder: str) -> DataFrame:
-    return summary.outcome_report(fv.headers(spark, folder), F.col("id") % 50 < 46)
+    """What an import of all XML documents comes to: parsed, typed, or sent to quarantine."""
+    done = extract_xml.parsed(xt.order_documents(spark, folder).select("id", "xml")).select("id", "error")
+    return summary.outcome_report(done, F.col("error").isNull())
 
 
 # ---------------------------------------------------------------- joins
@@ -340,13 +345,26 @@ def history_append(spark: SparkSession, folder: str) -> DataFrame:
         F.when(key % 4 != 0, F.col("user_id")).alias("fiscal_document_id"), F.when(key % 8 != 4, F.col("user_id")).alias("document_id"), "event_type"
     )
     named = e.withColumn("fiscal_document_id", F.coalesce("fiscal_document_id", "document_id")).filter("fiscal_document_id IS NOT NULL")
-    return named.groupBy("fiscal_document_id", "event_type").agg(F.count("*").alias("n_events"))
+    path = fresh_folder(spark, "history-table")
+    relate.append(named.filter("event_type = 'view'"), path)
+    stored = relate.append(named.filter("event_type <> 'view'"), path)
+    return stored.groupBy("fiscal_document_id", "event_type").agg(F.count("*").alias("n_events"))
 
 
-@register("cascade_delete", "WRT5", sql="SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
+@register(
+    "cascade_delete", "WRT5",
+    sql="""WITH gone AS (SELECT doc_id FROM labels WHERE quality = 0)
+SELECT 'events' AS child, user_id AS doc_id, count(*) AS n_rows FROM events WHERE user_id NOT IN (FROM gone) GROUP BY ALL
+UNION ALL SELECT 'conversations', conv_id, count(*) FROM conversations WHERE conv_id NOT IN (FROM gone) GROUP BY ALL
+UNION ALL SELECT 'embeddings', vec_id, count(*) FROM embeddings WHERE vec_id NOT IN (FROM gone) GROUP BY ALL""",
+)
 def cascade_delete(spark: SparkSession, folder: str) -> DataFrame:
-    gone = table(spark, folder, "labels").filter("quality = 0").select(F.col("doc_id").alias("user_id"))
-    return relate.cascade_delete(table(spark, folder, "events").select("event_id", "user_id"), gone, "user_id")
+    """Rejected documents take the rows of all their child tables with them."""
+    gone = table(spark, folder, "labels").filter("quality = 0").select("doc_id")
+    children = {n: (table(spark, folder, n), key) for n, key in (("events", "user_id"), ("conversations", "conv_id"), ("embeddings", "vec_id"))}
+    left = relate.cascade_delete_all(children, gone, "doc_id")
+    counted = [df.groupBy(F.lit(n).alias("child"), F.col(children[n][1]).alias("doc_id")).agg(F.count("*").alias("n_rows")) for n, df in left.items()]
+    return reduce(DataFrame.union, counted)
 
 
 @register(
@@ -375,11 +393,22 @@ def constraint_quarantine(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(
     "purge_expired", "WRT10",
-    sql="SELECT event_type, count(*) FILTER (ts + INTERVAL 30 DAY > TIMESTAMP '2024-02-15') AS kept, count(*) FILTER (ts + INTERVAL 30 DAY <= TIMESTAMP '2024-02-15') AS purged FROM events GROUP BY 1",
+    sql="SELECT event_id, event_type FROM events WHERE ts + INTERVAL 30 DAY > TIMESTAMP '2024-02-15'",
 )
 def purge_expired(spark: SparkSession, folder: str) -> DataFrame:
+    """The table written anew without the rows whose time is over, and read back."""
     alive = F.col("ts") + F.expr("INTERVAL 30 DAYS") > F.lit("2024-02-15 00:00:00").cast("timestamp_ntz")
-    return table(spark, folder, "events").groupBy("event_type").agg(F.count_if(alive).alias("kept"), F.count_if(~alive).alias("purged"))
+    return relate.rewritten(table(spark, folder, "events"), alive, fresh_folder(spark, "purged")).select("event_id", "event_type")
+
+
+@register(
+    "cached_results", "WRT11", "FN12",
+    sql="SELECT DISTINCT sha256(text) AS digest, sha256(text) IN (SELECT sha256(d.text) FROM documents d JOIN labels l ON l.doc_id = d.doc_id) AS cached FROM documents",
+)
+def cached_results(spark: SparkSession, folder: str) -> DataFrame:
+    """Each distinct text once: served from the results of labelled documents, or still to be done."""
+    d = table(spark, folder, "documents").select("doc_id", content_key(F.col("text")).alias("digest"))
+    return relate.with_cached(d, d.join(table(spark, folder, "labels").select("doc_id"), "doc_id", "left_semi"), "digest")
 
 
 @register(

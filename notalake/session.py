@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +54,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     return configured
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared location."""
+    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def freeze(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows survive the loss of the executors that made them."""
     checkpoint_root(df.sparkSession)
