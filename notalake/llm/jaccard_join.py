@@ -3,15 +3,15 @@
 Sets that are equal are one class from the start (a digest of the sorted shingles); all else works on
 classes. The join never lists the pairs inside a group of near copies:
 
-1. Sieve. A class's first shingles in digest order (prefix) are counted over all classes. If two sets
-   are linked they share a stated number of their prefixes, so a class with too few shared ones has
-   no partner and goes. What stays is a superset of everything linked.
-2. Index. The shingles of those classes are counted, and each set is ordered from its rarest shingle.
-   The prefix of n - ceil(t n) + 1 shingles goes into the index lists, in blocks by set size; a
+1. Sieve. Sets are blocked by size, and the shingles of a block's sets fall into parts by their place
+   in digest space. Two linked sets differ in so few shingles that some part is the same in both, so
+   sets whose parts are all their own go, which are most. What stays holds everything linked.
+2. Index lists in blocks. The shingles of the sets that stay are counted, and each set is ordered from
+   its rarest. Its first n - ceil(t n) + 1 shingles go into the index lists, in blocks by set size; a
    shingle's place in its set bounds the overlap that is still possible, so blocks and places that
    cannot reach t are skipped.
-3. Anchors (answers from a similar set's answers). In each block every set is compared with one
-   leader. A linked set hangs on its leader, its distance known. Jaccard distance is a metric, so
+3. Anchors (answers from a similar set's answers). In each list every set is compared with one
+   leader, the one with fewest shingles of its own. A linked set hangs on its leader, its distance known. Jaccard distance is a metric, so
    what lies far from a leader lies far from everything that hangs on it: two anchors' groups are
    looked into only if the anchors' distance is at most (1 - t) plus both radii, first member by
    anchor, then what is left member by member, and only where the groups are not connected yet.
@@ -36,13 +36,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow_text import Words, shingles, slices
+from .arrow_text import Words, mix, shingles, slices
 from .common import stored, table
 from .components import components
 from .registry import query
 
-SHARED_IN_SIEVE = 3
 FILTER_BITS = 27  # of the bitmap that says which documents' sets are wanted again: 16 MB
+BLOCK_RATIO = 1.5  # of the largest sizes of neighbouring blocks
 
 
 @dataclass(frozen=True)
@@ -52,72 +52,136 @@ class Similarity:
     words: int = 3
     percent: int = 90
 
-    def least(self, n: int) -> int:
-        """What a set of n must share with any partner: percent of its own size."""
-        return -(-self.percent * n // 100)
+    def blocks(self, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each block of sizes: its largest size, by how much linked sets can differ, and the number of parts.
+
+        A pair with a set of m shingles in the block and one of at most 100 m / percent differs in at
+        most (100 - percent) m / percent. More parts than that leaves some the same in both; the rest
+        are there for parts in which a set has nothing.
+        """
+        highs = [1]
+        while highs[-1] < largest:
+            highs.append(max(highs[-1] + 1, int(highs[-1] * BLOCK_RATIO)))
+        high = np.array(highs, np.int64)
+        differ = (100 - self.percent) * high // self.percent
+        low = np.concatenate(([1], high[:-1] + 1))
+        bare = (differ + 1) * np.exp(-low / (differ + 1))
+        return high, differ, differ + 1 + np.ceil(bare + 4 * np.sqrt(bare)).astype(np.int64)
 
     def linked(self, shared: Column, a: Column, b: Column) -> Column:
         return 100 * shared >= self.percent * (a + b - shared)
 
 
-def _sets(docs: DataFrame, how: Similarity, keep) -> DataFrame:
-    """doc_id, n, digest (d1, d2) and the values `keep` picks of the sorted set, of texts that are not dropped by it."""
+def _edges(doc: np.ndarray, n: int) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=n))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            part = keep.rows(part)
-            if not part.num_rows:
-                continue
-            words = Words(part.column("text"), lower=True)
-            doc, value = shingles(words, how.words)
-            counts = np.bincount(doc, minlength=words.n)
-            edges = np.concatenate(([0], np.cumsum(counts))).tolist()
-            digests = [xxhash.xxh3_128_intdigest(value[a:b].tobytes()) for a, b in zip(edges, edges[1:])]
-            sizes = np.array([keep.size(int(n)) for n in counts], np.int64)
-            offsets = np.concatenate(([0], np.cumsum(sizes)))
-            take = np.repeat(np.array(edges[:-1], np.int64) - offsets[:-1], sizes) + np.arange(offsets[-1])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id").cast(pa.int64()),
-                    pa.array(counts.astype(np.int64)),
-                    pa.array(np.array([d >> 64 for d in digests], np.uint64).view(np.int64)),
-                    pa.array(np.array([d & (1 << 64) - 1 for d in digests], np.uint64).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(value[take].view(np.int64))),
-                ],
-                ["doc_id", "n", "d1", "d2", "keys"],
-            )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<long>")
+def _digests(value: np.ndarray, edges: np.ndarray) -> list[int]:
+    at = edges.tolist()
+    return [xxhash.xxh3_128_intdigest(value[a:b].tobytes()) for a, b in zip(at, at[1:])]
 
 
-@dataclass(frozen=True)
-class _Heads:
-    """All texts; of each set the prefix that the sieve needs."""
+def _halves(digests: list[int]) -> list[pa.Array]:
+    return [pa.array(np.array([d >> 64 for d in digests], np.uint64).view(np.int64)), pa.array(np.array([d & (1 << 64) - 1 for d in digests], np.uint64).view(np.int64))]
 
-    how: Similarity
 
-    def rows(self, part: pa.RecordBatch) -> pa.RecordBatch:
-        return part
+def _heads(docs: DataFrame, how: Similarity) -> DataFrame:
+    """One row a row: doc_id, n and the set's digest (d1, d2)."""
 
-    def size(self, n: int) -> int:
-        return min(n, n - self.how.least(n) + SHARED_IN_SIEVE)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            doc, value = shingles(Words(part.column("text"), lower=True), how.words)
+            edges = _edges(doc, part.num_rows)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(np.diff(edges)), *_halves(_digests(value, edges))], ["doc_id", "n", "d1", "d2"])
 
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
 
-@dataclass(frozen=True)
-class _Wanted:
-    """Texts whose doc_id may be wanted, by a bitmap of the ids' low bits; whole sets."""
 
-    bitmap: object  # broadcast numpy bytes
-    bits: int
+def part_keys(doc: np.ndarray, value: np.ndarray, n: int, how: Similarity) -> tuple[np.ndarray, np.ndarray]:
+    """(document number, list) for all lists the sets go into: one for each part that is not bare.
 
-    def rows(self, part: pa.RecordBatch) -> pa.RecordBatch:
-        known = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-        ids = part.column("doc_id").fill_null(0).to_numpy() & ((1 << self.bits) - 1)
-        wanted = (self.bitmap.value[ids >> 3] >> (ids & 7).astype(np.uint8)) & 1
-        return part.filter(pa.array(known & (wanted == 1)))
+    A set with more bare parts than the block allows for might share nothing else, so it also goes
+    into a list for each bare part.
+    """
+    sizes = np.bincount(doc, minlength=n)
+    high, differ, parts = how.blocks(int(sizes.max(initial=1)))
+    own = np.searchsorted(high, sizes)
+    docs, keys = [], []
+    for down in (0, 1):
+        block = np.maximum(own - down, 0)
+        joins = (sizes > 0) & (own >= down) & (differ[block] > 0)
+        if down:
+            joins &= how.percent * sizes <= 100 * high[block]
+        count = np.where(joins, parts[block], 0)
+        first = np.cumsum(count) - count
+        mine = joins[doc]
+        d, v = doc[mine], value[mine]
+        slot = first[d] + (v % count[d].astype(np.uint64)).astype(np.int64)
+        total, filled = np.zeros(int(count.sum()), np.uint64), np.zeros(int(count.sum()), bool)
+        np.add.at(total, slot, mix(v))
+        filled[slot] = True
+        owner = np.repeat(np.arange(n), count)
+        place = np.arange(len(total)) - first[owner]
+        bare = np.bincount(owner, weights=~filled, minlength=n)
+        listed = filled | (bare >= parts[block] - differ[block])[owner]
+        salt = mix((block[owner].astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64))
+        docs.append(owner[listed])
+        keys.append(mix(total + salt)[listed])
+    return np.concatenate(docs), np.concatenate(keys)
+
+
+def _listed(docs: DataFrame, how: Similarity) -> DataFrame:
+    """(key, doc_id, n): the lists of all sets; of equal sets in one slice of a task only the first goes on."""
 
-    def size(self, n: int) -> int:
-        return n
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            doc, value = shingles(Words(part.column("text"), lower=True), how.words)
+            edges = _edges(doc, part.num_rows)
+            ids = part.column("doc_id").to_pylist()
+            first: dict[int, int] = {}
+            for k, digest in enumerate(_digests(value, edges)):
+                if ids[k] is not None and (digest not in first or ids[k] < ids[first[digest]]):
+                    first[digest] = k
+            keep = np.zeros(part.num_rows, bool)
+            keep[list(first.values())] = True
+            mine = keep[doc]
+            who, key = part_keys(doc[mine], value[mine], part.num_rows, how)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.array([i or 0 for i in ids], np.int64)[who])], ["key", "doc_id"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, doc_id long")
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of their keys, those whose key comes twice or more; holds back one row only."""
+    held, kept = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        batch = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        key = batch.column("key").to_numpy()
+        same = key[1:] == key[:-1]
+        twice = np.concatenate(([kept and held is not None], same)) | np.concatenate((same, [False]))
+        held, kept = batch.slice(batch.num_rows - 1), bool(twice[-1])
+        yield batch.slice(0, batch.num_rows - 1).filter(pa.array(twice[:-1]))
+    if held is not None and kept:
+        yield held
+
+
+def _sets(docs: DataFrame, how: Similarity, bitmap, bits: int) -> DataFrame:
+    """doc_id, n, digest and whole set of the documents whose id may be wanted, by the bitmap of ids' low bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            known = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            low = part.column("doc_id").cast(pa.int64()).fill_null(0).to_numpy() & ((1 << bits) - 1)
+            part = part.filter(pa.array(known & ((bitmap.value[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1)))
+            if part.num_rows:
+                doc, value = shingles(Words(part.column("text"), lower=True), how.words)
+                edges = _edges(doc, part.num_rows)
+                lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(value.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(np.diff(edges)), *_halves(_digests(value, edges)), lists], ["doc_id", "n", "d1", "d2", "keys"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<long>")
 
 
 def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
@@ -159,56 +223,39 @@ def _distance() -> Column:
     return 1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
 
 
-def _sieved(heads: DataFrame, how: Similarity) -> tuple[DataFrame, DataFrame]:
-    """Classes (d1, d2, rep, n), and those of them that may have a partner, one for a rep.
-
-    A set that shares k shingles with another has at least one of its first n - k + 1 in common, and
-    three of its first n - k + 3; k is at least percent of n for any partner.
-    """
-    classes = stored(heads.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
-    own = heads.join(classes.select("d1", "d2", F.col("rep").alias("doc_id")), ["d1", "d2", "doc_id"], "left_semi")
-    keyed = own.select("d1", "d2", F.col("doc_id").alias("rep"), "n", F.explode("keys").alias("key"))
-    shared = stored(keyed.groupBy("key").count().filter("count > 1").select("key"), "shared-keys")
-    found = keyed.join(shared, "key").groupBy("d1", "d2", "rep", "n").count()
-    asked = F.least(F.lit(SHARED_IN_SIEVE), F.floor((how.percent * F.col("n") + 99) / 100))
-    return classes, found.filter(F.col("count") >= asked).groupBy("rep").agg(F.min(F.struct("d1", "d2", "n")).alias("x")).select("rep", "x.*")
-
-
 def _index(sets: DataFrame, how: Similarity) -> DataFrame:
-    """Index lists: key, rep, n, place (from 0, in the set ordered from its rarest shingle), block of sizes."""
-    each = sets.select("rep", "n", F.explode("keys").alias("key"))
+    """Index lists: key, rep, n, alone (shingles no other set has), place (from 0, in the set ordered from its rarest), block of sizes."""
+    each = sets.select("rep", F.size("keys").cast("long").alias("n"), F.explode("keys").alias("key"))
     common = stored(each.groupBy("key").count().filter("count > 1"), "key-counts")
-    kept = each.join(common, "key")
-    ordered = kept.groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("count", "key"))).alias("keys"))
-    alone = F.col("n") - F.size("keys")  # shingles that no other set has come first and need no list
+    ordered = each.join(common, "key").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("count", "key"))).alias("keys"))
+    alone = F.col("n") - F.size("keys")  # they come first and need no list
     length = F.col("n") - F.ceil(how.percent * F.col("n") / 100) + 1 - alone
     lists = ordered.filter(length > 0).select("rep", "n", alone.alias("alone"), F.posexplode(F.slice("keys", F.lit(1), length.cast("int"))).alias("at", "k"))
     block = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / how.percent) + 1e-9).cast("int")
-    return stored(lists.select("k.key", "rep", "n", (F.col("alone") + F.col("at")).alias("place"), block.alias("block")), "lists")
+    return stored(lists.select("k.key", "rep", "n", "alone", (F.col("alone") + F.col("at")).alias("place"), block.alias("block")), "lists")
 
 
 def links(sets: DataFrame, how: Similarity) -> DataFrame:
-    """Enough confirmed links (a, b) between sets (rep, n, keys) to connect all that are linked, by the steps in the module text."""
+    """Enough confirmed links (a, b) to connect all that are linked, of sets (rep, keys), by the steps in the module text."""
     lists = _index(sets, how)
     one = 1 - how.percent / 100
-    # leaders: the smallest id of a list's block
-    leaders = lists.groupBy("key", "block").agg(F.min("rep").alias("b"))
+    leaders = lists.groupBy("key", "block").agg(F.min_by("rep", F.struct("alone", "rep")).alias("b"))
     hung = lists.join(stored(leaders, "leaders"), ["key", "block"]).filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
     tested = stored(_similarities(hung, sets), "leader-tests")
     good = tested.filter(how.linked(F.col("shared"), F.col("na"), F.col("nb")))
-    anchors = stored(good.groupBy("a").agg(F.min_by(F.struct("b", _distance().alias("d")), "b").alias("x")).select(F.col("a").alias("rep"), F.col("x.b").alias("anchor"), F.col("x.d").alias("d")), "anchors")
+    anchors = stored(good.groupBy("a").agg(F.min_by(F.struct("b", _distance().alias("d")), F.struct(_distance(), "b")).alias("x")).select(F.col("a").alias("rep"), F.col("x.b").alias("anchor"), F.col("x.d").alias("d")), "anchors")
     radius = anchors.groupBy("anchor").agg(F.max("d").alias("r"))
-    # what an anchor's group has in each block: enough to bound size and overlap for any of its members
+    # of each block of a list, the anchors in it, with what bounds size and overlap for any set of an anchor's group
     placed = lists.join(anchors.select("rep", "anchor"), "rep", "left").withColumn("anchor", F.coalesce("anchor", "rep"))
     groups = stored(placed.groupBy("key", "block", "anchor").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("place")).alias("left")), "groups")
-    several = groups.groupBy("key").agg(F.count_distinct("anchor").alias("k")).filter("k > 1").select("key")
+    several = groups.groupBy("key").agg(F.min("anchor").alias("x"), F.max("anchor").alias("y")).filter("x < y").select("key")
     entries = groups.join(stored(several, "several"), "key", "left_semi")
     x = entries.select("key", F.explode(F.array("block", F.col("block") + 1)).alias("at"), F.col("block").alias("xb"), F.col("anchor").alias("a"), F.col("lo").alias("xlo"), F.col("hi").alias("xhi"), F.col("left").alias("xleft"))
     y = entries.select("key", F.col("block").alias("at"), F.col("anchor").alias("b"), F.col("lo").alias("ylo"), F.col("hi").alias("yhi"), F.col("left").alias("yleft"))
     needed = F.ceil((F.col("xlo") + F.col("ylo")) * how.percent / (100 + how.percent) - 1e-9)
     fits = (100 * F.col("xhi") >= how.percent * F.col("ylo")) & (100 * F.col("yhi") >= how.percent * F.col("xlo")) & (F.least("xleft", "yleft") >= needed)
-    met = x.join(y, ["key", "at"]).filter(fits & (F.col("a") != F.col("b")) & ((F.col("xb") < F.col("at")) | (F.col("a") < F.col("b"))))
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    apart_once = (F.col("a") != F.col("b")) & ((F.col("xb") < x["at"]) | (F.col("a") < F.col("b")))
+    pairs = x.join(y, (x["key"] == y["key"]) & (x["at"] == y["at"]) & fits & apart_once).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     across = stored(_similarities(pairs, sets), "anchor-tests")
     links_now = good.select("a", "b").union(across.filter(how.linked(F.col("shared"), F.col("na"), F.col("nb"))).select("a", "b"))
     r = lambda side: radius.select(F.col("anchor").alias(side), F.col("r").alias(f"r{side}"))
@@ -238,13 +285,22 @@ def links(sets: DataFrame, how: Similarity) -> DataFrame:
 
 def grouped(docs: DataFrame, how: Similarity) -> DataFrame:
     """One row a row of `docs`: doc_id, n_shingles, component_id."""
-    heads = stored(_sets(docs, how, _Heads(how)), "heads")
-    classes, likely = _sieved(heads, how)
-    likely = stored(likely, "likely")
     spark = docs.sparkSession
-    wanted = _Wanted(spark.sparkContext.broadcast(_bitmap(likely, FILTER_BITS)), FILTER_BITS)
-    again = _sets(docs, how, wanted).withColumnRenamed("doc_id", "rep")
-    sets = stored(again.join(likely, ["rep", "d1", "d2", "n"], "left_semi").dropDuplicates(["rep"]).select("rep", "n", "keys"), "sets")
+    heads = stored(_heads(docs, how), "heads")
+    classes = stored(heads.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("rows")), "classes")
+    met = stored(_listed(docs, how).repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, doc_id long"), "met")
+    # the class of each listed document; one class a document, should a doc_id come with several texts
+    meeting = met.select("doc_id").distinct()
+    class_of = heads.filter("n > 0").join(meeting, "doc_id", "left_semi").join(classes.select("d1", "d2", "rep"), ["d1", "d2"])
+    class_of = stored(class_of.groupBy("doc_id").agg(F.min(F.struct("rep", "n", "d1", "d2")).alias("x")).select("doc_id", "x.*"), "class-of")
+    listed = met.join(class_of.select("doc_id", "rep"), "doc_id").select("key", "rep").distinct()
+    several = listed.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x < y").select("key")
+    likely = listed.join(stored(several, "several-classes"), "key", "left_semi").select("rep").distinct()
+    own = class_of.groupBy("rep").agg(F.min(F.struct("d1", "d2", "n")).alias("x")).select("rep", "x.*").join(likely, "rep", "left_semi")
+    own = stored(own, "likely")
+    wanted = spark.sparkContext.broadcast(_bitmap(own, FILTER_BITS))
+    again = _sets(docs, how, wanted, FILTER_BITS).withColumnRenamed("doc_id", "rep")
+    sets = stored(again.join(own, ["rep", "d1", "d2", "n"], "left_semi").dropDuplicates(["rep"]).select("rep", "keys"), "sets")
     found = components(links(sets, how))
     labelled = classes.join(found, classes["rep"] == found["node"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     rows = heads.select("doc_id", "n", "d1", "d2")
