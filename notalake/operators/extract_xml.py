@@ -24,7 +24,7 @@ _PRODUCT = "struct<cProd:string,xProd:string,NCM:string,CFOP:string,uCom:string,
 _IDENTITY = (
     "struct<mod:string,serie:string,nNF:string,nCT:string,nMDF:string,dhEmi:string,dEmi:string,tpNF:string,tpEmis:string,"
     "modal:string,tpServ:string,UFIni:string,UFFim:string,xMunIni:string,xMunFim:string,CFOP:string,"
-    f"toma03:{_RECIPIENT},toma:string>"
+    f"toma03:{_RECIPIENT},toma:{_RECIPIENT}>"
 )
 _TOTALS = (
     "struct<ICMSTot:struct<vNF:string,vProd:string,vFrete:string,vSeg:string,vDesc:string,vIPI:string,vICMS:string,"
@@ -158,7 +158,7 @@ def documents_of(parsed_rows: DataFrame, *keys: str) -> DataFrame:
     is_note = kind.isin("NFe", "NFCe")
     ident = F.coalesce(nf["ide"], ct["ide"], md["ide"])
     issuer = F.coalesce(nf["emit"], ct["emit"], md["emit"])
-    payer = ct["ide"]["toma03"]
+    payer = F.coalesce(ct["ide"]["toma03"], ct["ide"]["toma"])
     # A freight document without issuer data falls back to the first name in the document, its payer's.
     fallback = lambda own, other: F.coalesce(own, F.when(kind == "CTe", other))
     receiver = F.coalesce(nf["dest"], payer, md["dest"])

@@ -180,16 +180,33 @@ def document_context(hits: DataFrame, documents: DataFrame, as_of: datetime, per
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= max_documents)
 
 
-def context_text(context: DataFrame) -> DataFrame:
-    """One block of text per query out of its few ranked documents."""
+def context_text(context: DataFrame, hits: DataFrame | None = None, queries: DataFrame | None = None) -> DataFrame:
+    """One block of text per query out of its few ranked documents.
+
+    `hits` (query_id, vec_id, similarity, content) adds the chunks beyond as many as there are documents,
+    200 characters each; `queries` (query_id) adds the ones nothing was found for.
+    """
     block = F.concat(
         F.lit("\nDOCUMENTO "), F.col("rank").cast("string"), F.lit(":\n- Tipo: "), F.coalesce("document_type", F.lit("Não informado")),
+        F.lit("\n- CNPJ Emissor: "), F.coalesce("issuer_cnpj", F.lit("Não informado")),
         F.lit("\n- Similaridade: "), F.format_number("total_similarity", 3),
         F.lit("\n- Conteúdo Relevante: "), F.left("chunks_content", F.lit(500)), F.lit("...\n"), F.lit("-" * 30),
     )
-    gathered = context.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))).alias("blocks"))
+    gathered = context.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))).alias("blocks"), F.count("*").alias("n_documents"))
     heading = "DOCUMENTOS RELEVANTES ENCONTRADOS:\n" + "=" * 50 + "\n"
-    return gathered.select("query_id", F.concat(F.lit(heading), F.array_join(F.transform("blocks", lambda x: x["b"]), "\n")).alias("context"))
+    text = F.concat(F.lit(heading), F.array_join(F.transform("blocks", lambda x: x["b"]), "\n"))
+    out = gathered.select("query_id", text.alias("context"), "n_documents")
+    if hits is not None:
+        order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+        line = F.concat(F.lit("- "), F.left(F.coalesce("content", F.lit("")), F.lit(200)), F.lit("..."))
+        placed = hits.select("query_id", F.row_number().over(order).alias("place"), line.alias("line"))
+        further = placed.join(out.select("query_id", "n_documents"), "query_id", "left").filter(F.col("place") > F.coalesce("n_documents", F.lit(0)))
+        lines = further.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("l"))
+        told = F.concat(F.lit("\nTRECHOS ADICIONAIS ("), F.size("l").cast("string"), F.lit("):\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
+        out = out.join(lines.select("query_id", told.alias("more")), "query_id", "full").withColumn("context", F.concat_ws("\n", "context", "more"))
+    if queries is not None:
+        out = queries.select("query_id").distinct().join(out, "query_id", "left")
+    return out.select("query_id", F.coalesce("context", F.lit("Nenhum documento relevante encontrado.")).alias("context"))
 
 
 def overlap_score(query: Column, content: Column) -> Column:

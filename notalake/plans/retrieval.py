@@ -225,13 +225,16 @@ sc AS (SELECT g.*, o_orderpriority AS document_type, CASE WHEN o_totalprice > 0
 hy AS (SELECT *, total_similarity * 0.6 + vs * 0.25 + rs * 0.15 AS hs FROM sc), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(hs, 9) DESC, document_id) AS rank FROM hy QUALIFY rank <= 3)"""
 
 
-def _context(spark: SparkSession, folder: str) -> DataFrame:
+def _named_hits(spark: SparkSession, folder: str) -> DataFrame:
     chunks = _chunks(spark, folder)
     hits = vectors.nearest(chunks, vectors.centroids(chunks, "label", WIDTH), 20, 0.1).drop("rank")
-    named = hits.withColumns(
+    return hits.withColumns(
         {"document_id": F.floor(F.col("vec_id") / DOCUMENTS_OF_CHUNKS), "content": F.concat(F.lit("chunk "), F.col("vec_id").cast("string"))}
     )
-    return vectors.document_context(named, _documents(spark, folder), AS_OF)
+
+
+def _context(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.document_context(_named_hits(spark, folder), _documents(spark, folder), AS_OF)
 
 
 @register(
@@ -253,12 +256,22 @@ def doc_context_hybrid(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(
     "context_text", "VEC4",
-    sql=f"""WITH {CONTEXT} SELECT CAST(query_id AS BIGINT) AS query_id, 'DOCUMENTOS RELEVANTES ENCONTRADOS:' || chr(10) || repeat('=', 50) || chr(10) ||
-  string_agg(chr(10) || 'DOCUMENTO ' || rank || ':' || chr(10) || '- Tipo: ' || document_type || chr(10) || '- Similaridade: ' || printf('%.3f', total_similarity) || chr(10)
-  || '- Conteúdo Relevante: ' || left(chunks_content, 500) || '...' || chr(10) || repeat('-', 30), chr(10) ORDER BY rank) AS context FROM ranked GROUP BY 1""",
+    sql=f"""WITH {CONTEXT}, blocks AS (SELECT query_id, count(*) AS n, 'DOCUMENTOS RELEVANTES ENCONTRADOS:' || chr(10) || repeat('=', 50) || chr(10) ||
+  string_agg(chr(10) || 'DOCUMENTO ' || rank || ':' || chr(10) || '- Tipo: ' || document_type || chr(10) || '- CNPJ Emissor: ' || 'C' || (document_id % 7) || chr(10)
+  || '- Similaridade: ' || printf('%.3f', total_similarity) || chr(10)
+  || '- Conteúdo Relevante: ' || left(chunks_content, 500) || '...' || chr(10) || repeat('-', 30), chr(10) ORDER BY rank) AS context FROM ranked GROUP BY 1),
+placed AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS place FROM hits),
+more AS (SELECT p.query_id, chr(10) || 'TRECHOS ADICIONAIS (' || count(*) || '):' || chr(10) || string_agg('- chunk ' || vec_id || '...', chr(10) ORDER BY place) AS more
+  FROM placed p LEFT JOIN blocks b ON b.query_id = p.query_id WHERE place > coalesce(n, 0) GROUP BY 1)
+SELECT CAST(coalesce(b.query_id, m.query_id) AS BIGINT) AS query_id, concat_ws(chr(10), context, more) AS context FROM blocks b FULL JOIN more m ON m.query_id = b.query_id
+UNION ALL SELECT -1, 'Nenhum documento relevante encontrado.'""",
 )
 def context_text(spark: SparkSession, folder: str) -> DataFrame:
-    return vectors.context_text(_context(spark, folder))
+    """Context of every prototype, with further chunks; and what is said where nothing was found."""
+    hits = _named_hits(spark, folder)
+    asked = hits.select("query_id").distinct().union(spark.sql("SELECT -1L AS query_id"))
+    context = _context(spark, folder).withColumn("issuer_cnpj", F.concat(F.lit("C"), (F.col("document_id") % 7).cast("string")))
+    return vectors.context_text(context, hits, asked)
 
 
 @register(

@@ -52,6 +52,14 @@ def test_freight_and_manifest(spark):
     assert [(r["tipo"], r["chave"]) for r in linked] == [("CTe", "9")]
 
 
+def test_freight_recipient_from_either_group(spark):
+    bare = CTE.replace("toma03>", "toma>").replace("<toma>0</toma>", "")
+    plain = CTE.replace("<toma03><toma>0</toma><CNPJ>99888777000166</CNPJ><xNome>Transportes Ipê</xNome></toma03>", "<toma>3</toma>")
+    a, b = x.documents(frame(spark, bare, plain), "id").orderBy("id").collect()
+    assert (a["destinatario"]["cnpj"], a["destinatario"]["razao_social"]) == ("99888777000166", "Transportes Ipê")
+    assert (b["numero"], b["total"]) == ("4", 640.0)
+
+
 def test_folder_scan_and_routes(spark, tmp_path):
     (tmp_path / "a.xml").write_text(NFE, encoding="utf-8")
     (tmp_path / "b.XML").write_text(CTE, encoding="utf-8")
