@@ -37,23 +37,36 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> tuple[np.ndarray,
     return good, flat.reshape(-1, width)
 
 
+def _key_type(df: DataFrame, column: str) -> str:
+    """Keys are whole numbers or text (UUIDs); anything else is taken as text."""
+    return "bigint" if df.select(column).dtypes[0][1] in ("tinyint", "smallint", "int", "bigint") else "string"
+
+
+def _keys(column: pa.Array) -> np.ndarray:
+    """Keys in an order-preserving numpy type."""
+    values = column.to_numpy(zero_copy_only=False)
+    return values if values.dtype.kind in "iu" else values.astype(str)
+
+
 def _unit(matrix: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def _scan(store: DataFrame, ids: list, queries: np.ndarray, k: int, threshold: float) -> DataFrame:
+def _scan(store: DataFrame, ids: list, queries: np.ndarray, k: int, threshold: float, types: tuple[str, str]) -> DataFrame:
     """Best k store rows per query and task, at or above the threshold."""
     directions, width = _unit(queries), queries.shape[1]
+    arrow = {"bigint": pa.int64(), "string": pa.string()}
+    empty = np.zeros(0, np.int64 if types[1] == "bigint" else "U1")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_ids = [np.zeros(0, dtype=np.int64) for _ in ids]
+        kept_ids = [empty for _ in ids]
         kept_scores = [np.zeros(0) for _ in ids]
         for batch in batches:
             rows, matrix = _matrix(batch.column(1), width)
             if len(rows) == 0:
                 continue
-            keys = batch.column(0).to_numpy(zero_copy_only=False)[rows]
+            keys = _keys(batch.column(0))[rows]
             found = np.round(_unit(matrix) @ directions.T, PLACES)
             # A full list only admits what is at least as good as its last entry.
             floors = np.array([x[-1] if len(x) == k else threshold for x in kept_scores])
@@ -68,14 +81,14 @@ def _scan(store: DataFrame, ids: list, queries: np.ndarray, k: int, threshold: f
         if sum(counts):
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.repeat(np.array(ids, dtype=np.int64), counts), pa.int64()),
-                    pa.array(np.concatenate(kept_ids), pa.int64()),
+                    pa.array(ids, arrow[types[0]]).take(pa.array(np.repeat(np.arange(len(ids)), counts))),
+                    pa.array(np.concatenate(kept_ids).tolist(), arrow[types[1]]),
                     pa.array(np.concatenate(kept_scores), pa.float64()),
                 ],
                 names=["query_id", "vec_id", "similarity"],
             )
 
-    return store.mapInArrow(best, "query_id bigint, vec_id bigint, similarity double")
+    return store.mapInArrow(best, f"query_id {types[0]}, vec_id {types[1]}, similarity double")
 
 
 def nearest(store: DataFrame, queries: DataFrame, k: int, threshold: float = -1.0) -> DataFrame:
@@ -84,7 +97,9 @@ def nearest(store: DataFrame, queries: DataFrame, k: int, threshold: float = -1.
     `store` has vec_id and embedding, `queries` query_id and vector. Vectors that are missing or of
     another width are left out, zero vectors have similarity 0, ties go to the smaller id.
     """
-    store = store.select(F.col("vec_id").cast("bigint"), "embedding")
+    types = (_key_type(queries, "query_id"), _key_type(store, "vec_id"))
+    store = store.filter("vec_id IS NOT NULL").select(F.col("vec_id").cast(types[1]), "embedding")
+    queries = queries.withColumn("query_id", F.col("query_id").cast(types[0]))
     rows = bounded_rows(queries.select("query_id", "vector"), MAX_QUERIES_PER_PASS)
     if rows is not None:
         passes = [rows]
@@ -97,13 +112,13 @@ def nearest(store: DataFrame, queries: DataFrame, k: int, threshold: float = -1.
     for chosen in passes:
         if not chosen:
             continue
-        ids = [int(r["query_id"]) for r in chosen]
+        ids = [r["query_id"] for r in chosen]
         matrix = np.array([r["vector"] for r in chosen], dtype=np.float64)
-        part = _scan(store, ids, matrix, k, threshold)
+        part = _scan(store, ids, matrix, k, threshold, types)
         found = part if found is None else found.unionByName(part)
     if found is None:
         spark = store.sparkSession
-        return spark.createDataFrame([], "query_id bigint, vec_id bigint, similarity double, rank int")
+        return spark.createDataFrame([], f"query_id {types[0]}, vec_id {types[1]}, similarity double, rank int")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -127,22 +142,24 @@ def centroids(store: DataFrame, group: str, width: int) -> DataFrame:
         sums: dict = {}
         for batch in batches:
             rows, matrix = _matrix(batch.column(1), width)
-            keys = batch.column(0).to_numpy(zero_copy_only=False)[rows]
-            for key in np.unique(keys):
+            keys = _keys(batch.column(0))[rows]
+            for key in np.unique(keys).tolist():
                 part = matrix[keys == key]
-                total, n = sums.get(int(key), (0.0, 0))
-                sums[int(key)] = (total + part.sum(axis=0), n + len(part))
+                total, n = sums.get(key, (0.0, 0))
+                sums[key] = (total + part.sum(axis=0), n + len(part))
         if sums:
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(list(sums), pa.int64()),
+                    pa.array(list(sums), pa.int64() if kind == "bigint" else pa.string()),
                     pa.array([n for _, n in sums.values()], pa.int64()),
                     pa.array([v.tolist() for v, _ in sums.values()], pa.list_(pa.float64())),
                 ],
                 names=["key", "n", "sums"],
             )
 
-    parts = store.select(F.col(group).cast("bigint"), "embedding").mapInArrow(partial, "key bigint, n bigint, sums array<double>")
+    kind = _key_type(store, group)
+    grouped = store.filter(F.col(group).isNotNull()).select(F.col(group).cast(kind), "embedding")
+    parts = grouped.mapInArrow(partial, f"key {kind}, n bigint, sums array<double>")
     cells = parts.select("key", "n", F.posexplode("sums").alias("pos", "part"))
     means = cells.groupBy("key", "pos").agg((F.sum("part") / F.sum("n")).alias("mean"))
     # One array per group of as many entries as a vector is wide.

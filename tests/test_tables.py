@@ -120,6 +120,14 @@ def test_centroids(spark):
     assert {r["query_id"]: list(r["vector"]) for r in vectors.centroids(df, "label", 2).collect()} == {1: [2.0, 4.0], 2: [0.0, 1.0]}
 
 
+def test_text_keys(spark):
+    store = spark.createDataFrame([("b-2", [1.0, 0.0], "x"), ("a-1", [1.0, 0.0], "x"), ("c-3", [0.0, 1.0], "y")], "vec_id string, embedding array<float>, label string")
+    queries = vectors.centroids(store, "label", 2)
+    assert {r["query_id"]: list(r["vector"]) for r in queries.collect()} == {"x": [1.0, 0.0], "y": [0.0, 1.0]}
+    got = [(r["query_id"], r["vec_id"]) for r in vectors.nearest(store, queries, 2, 0.5).orderBy("query_id", "rank").collect()]
+    assert got == [("x", "a-1"), ("x", "b-2"), ("y", "c-3")]
+
+
 def test_centroids_leave_other_widths_out_and_count_them(spark):
     rows = [(1, [9.0, 9.0, 9.0]), (1, [1.0, 3.0]), (1, [3.0, 5.0]), (1, [2.0, 4.0]), (2, [])]
     df = spark.createDataFrame(rows, "label int, embedding array<float>").coalesce(1)
