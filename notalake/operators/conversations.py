@@ -28,6 +28,12 @@ def context_window(messages: DataFrame, read: int = 50, shown: int = 10) -> Data
     )
 
 
+def newest_first(messages: DataFrame, n: int = 10) -> DataFrame:
+    """The n newest messages of every session, newest first; Spark limits each session before the shuffle."""
+    order = Window.partitionBy("session_id").orderBy(F.desc("created_at"), F.desc("message_id"))
+    return messages.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
+
+
 def mentions(cited: DataFrame) -> DataFrame:
     """Distinct suppliers, registrations and types per session, in long form: a session may cite any number."""
     kinds = F.array(

@@ -249,6 +249,15 @@ def context_window(spark: SparkSession, folder: str) -> DataFrame:
     return chat.context_window(messages(spark, folder))
 
 
+@register(
+    "context_newest_first", "WIN8",
+    sql="SELECT conv_id AS session_id, turn AS message_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS place FROM conversations QUALIFY place <= 3",
+)
+def context_newest_first(spark: SparkSession, folder: str) -> DataFrame:
+    """The older form of the context: the last messages, newest first."""
+    return chat.newest_first(messages(spark, folder), 3).select("session_id", "message_id", F.col("place").cast("bigint").alias("place"))
+
+
 @register(
     "session_mentions", "AGG8",
     sql=f"""WITH {CITED} SELECT DISTINCT session_id, kind, value FROM (SELECT session_id, 'supplier' AS kind, issuer_name AS value FROM c UNION ALL SELECT session_id, 'cnpj', issuer_cnpj FROM c
