@@ -8,6 +8,7 @@ works on one slice of a batch, whose size in bytes is bounded by the caller, nev
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -101,10 +102,13 @@ class Texts:
         return both.take(pa.array(np.arange(0, 2 * len(starts), 2)))
 
 
+    @cached_property
+    def _characters(self) -> np.ndarray:
+        return np.concatenate(([0], np.cumsum((self.data & 0xC0) != 0x80)))
+
     def code_points(self, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Byte places as code point offsets in their texts."""
-        total = np.concatenate(([0], np.cumsum((self.data & 0xC0) != 0x80)))
-        return total[at] - total[self.offsets[doc]]
+        return self._characters[at] - self._characters[self.offsets[doc]]
 
 
 class Words(Texts):

@@ -141,10 +141,12 @@ def search_slice(texts: pa.Array, items: Items, how: Search) -> Iterator[tuple[i
     order = np.lexsort((place, item, doc))
     item, offset, doc, place = item[order], offset[order], doc[order], place[order]
     new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]), [True])))
-    for a, b in zip(new.tolist(), new[1:].tolist()):
+    group = np.repeat(np.arange(len(new) - 1), np.diff(new))
+    width = int(offset.max()) + 1
+    distinct = np.bincount(np.unique(group * width + offset) // width, minlength=len(new) - 1)
+    for g in np.flatnonzero(distinct >= items.needed[item[new[:-1]]]).tolist():
+        a, b = int(new[g]), int(new[g + 1])
         k, row = int(item[a]), int(doc[a])
-        if b - a < items.needed[k] or len(np.unique(offset[a:b])) < items.needed[k]:
-            continue
         own, low, high = items.words[k], int(first[row]), int(first[row + 1])
         best = (0.0, 0, 0)
         starts, counts = np.unique(place[a:b] - offset[a:b], return_counts=True)
