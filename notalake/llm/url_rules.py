@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -112,9 +113,13 @@ def ship(spark: SparkSession, content: bytes) -> str:
     target = jvm.org.apache.hadoop.fs.Path(path)
     system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not system.exists(target):
-        out = system.create(target, True)
+        # under another name first: a file of this name is always whole
+        part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+        out = system.create(part, True)
         out.write(content)
         out.close()
+        if not system.rename(part, target):
+            system.delete(part, False)
     spark.sparkContext.addFile(str(system.makeQualified(target).toString()))
     return name
 
