@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .arrow_text import slices
 from .common import table
 from .registry import query
-from .token_pieces import encoder
+from .token_pieces import REMEMBERED, SLICE_BYTES, encoder, release
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long, ids binary"
 
@@ -219,13 +219,18 @@ def pack(examples: DataFrame, limits: Limits, *, with_ids: bool = True) -> DataF
     return examples.select("doc_id", "ids", "loss").mapInArrow(run, PIECE)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, cuts: str, end: int, limits: Limits, *, with_ids: bool = True) -> DataFrame:
-    """Tokenizes and packs whole documents in one pass; every id bears loss."""
+def pack_documents(docs: DataFrame, tokenizer: str, cuts: str, end: int, limits: Limits, *, with_ids: bool = True, lean: bool = False) -> DataFrame:
+    """Tokenizes and packs whole documents in one pass; every id bears loss.
+
+    `lean` takes less memory for more time, and leaves none taken: for a job whose other stages run in
+    the same workers. The rows are the same.
+    """
+    some, remembered = (SLICE_BYTES // 4, REMEMBERED // 3) if lean else (SLICE_BYTES, REMEMBERED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pieces() -> Iterator[Piece]:
-            encode = encoder(tokenizer, cuts)
-            for part in slices(batches, "text"):
+            encode = encoder(tokenizer, cuts, remembered)
+            for part in slices(batches, "text", some):
                 ids, counts = encode(part.column("text"), end)
                 edges = [0, *np.cumsum(counts).tolist()]
                 every = np.ones(int(counts.max()), bool)
@@ -233,21 +238,23 @@ def pack_documents(docs: DataFrame, tokenizer: str, cuts: str, end: int, limits:
                     yield Piece(doc, 0, ids[a:b], every[: b - a], b - a)
 
         yield from _packed(pieces(), limits, with_ids)
+        if lean:
+            release()
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECE)
 
 
-def _byte_packed(docs: DataFrame, with_ids: bool) -> DataFrame:
+def _byte_packed(docs: DataFrame, with_ids: bool, lean: bool) -> DataFrame:
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), "spaces", 0, Limits(), with_ids=with_ids)
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), "spaces", 0, Limits(), with_ids=with_ids, lean=lean)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Pipeline stage: the sequences' pieces with their ids, instead of the documents."""
-    return _byte_packed(docs, True)
+    return _byte_packed(docs, True, True)
 
 
 @query("op7_packing")
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return _byte_packed(table(spark, folder, "documents"), False).drop("ids", "loss_tokens")
+    return _byte_packed(table(spark, folder, "documents"), False, False).drop("ids", "loss_tokens")

@@ -31,7 +31,7 @@ from . import simple8b
 from .arrow_text import slices
 from .common import stored, table
 from .registry import query
-from .token_pieces import encoder
+from .token_pieces import SLICE_BYTES, encoder
 
 MAGIC = b"S8B1"
 SEGMENT = "file int, segment int, first_id long, n_documents long, n_ids long, payload binary"
@@ -61,7 +61,7 @@ def _writer(path: str, cuts: str, end: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, cuts)
         file, first = TaskContext.get().partitionId(), 0
-        for number, part in enumerate(slices(batches, "text")):
+        for number, part in enumerate(slices(batches, "text", SLICE_BYTES)):
             ids, counts = encode(part.column("text"), end)
             doc = part.column("doc_id")
             known = doc.is_valid().to_numpy(zero_copy_only=False)

@@ -13,6 +13,8 @@ a mark that follows a letter.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 from functools import lru_cache
 
@@ -21,9 +23,10 @@ import pyarrow as pa
 
 from .arrow_text import IS_SPACE, LOWER, Texts, byte_strings
 
-REMEMBERED = 1_000_000
-REMEMBERED_IDS = 8_000_000
+REMEMBERED = 500_000
+IDS_A_PIECE = 8
 TOGETHER = 1000
+SLICE_BYTES = 4 << 20  # larger than for other work: the more text, the fewer of its pieces are new
 
 _PLAIN = np.zeros(256, bool)
 _PLAIN[0x21:0x7F] = True
@@ -96,11 +99,12 @@ def _lowers(tokenizer) -> bool:
 
 
 class PieceEncoder:
-    def __init__(self, path: str, cuts: str):
+    def __init__(self, path: str, cuts: str, remembered: int = REMEMBERED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.remembered = remembered
         self.cuts = CUTS[cuts]
         self.folds = cuts == "words" and _lowers(self.tokenizer)
         self._forget()
@@ -113,7 +117,7 @@ class PieceEncoder:
         """Number of each piece in the memory, after adding those that are new."""
         new = [p for p in distinct if p not in self.known]
         if new:
-            if len(self.known) + len(new) > REMEMBERED or len(self.ids) > REMEMBERED_IDS:
+            if len(self.known) + len(new) > self.remembered or len(self.ids) > IDS_A_PIECE * self.remembered:
                 self._forget()
                 new = distinct
             base = len(self.known)
@@ -147,6 +151,16 @@ class PieceEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, cuts: str) -> PieceEncoder:
+def encoder(path: str, cuts: str, remembered: int = REMEMBERED) -> PieceEncoder:
     """One per worker process."""
-    return PieceEncoder(path, cuts)
+    return PieceEncoder(path, cuts, remembered)
+
+
+def release() -> None:
+    """Gives up the encoders and hands free memory back, where other work follows in the same worker process."""
+    encoder.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
