@@ -20,6 +20,7 @@ count code points, the end exclusive.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -116,6 +117,23 @@ def normal(z: Column) -> Column:
     return 1 / (1 + F.exp(-(1.5976 * z + 0.07056 * z * z * z)))
 
 
+#: Chebyshev fit of the logarithm of erfc(x) * exp(x * x) * (1 + x / 2) for x >= 0, by powers of 1 / (1 + x / 2).
+ERFC = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
+
+
+def rarity(z: Column) -> Column:
+    """-log10 of the normal distribution's lower tail, within 1e-6; taken in logs, so it is finite for every z."""
+
+    def power(t: Column) -> Column:
+        out = F.lit(ERFC[-1])
+        for c in reversed(ERFC[:-1]):
+            out = c + t * out
+        return out
+
+    tail = let(1 / (1 + F.abs(z) / (2 * math.sqrt(2))), lambda t: F.ln(t) + power(t) - z * z / 2 - math.log(2))
+    return let(tail, lambda logs: F.when(z <= 0, -logs).otherwise(-F.log1p(-F.exp(logs))) / math.log(10))
+
+
 def _by_encoding(value: Column, of: Callable[[str, float], Column]) -> Column:
     out = None
     for _, look, alphabet, excess in reversed(ENCODINGS):
@@ -155,8 +173,7 @@ def battery(value: Column) -> Column:
 
     def of(body: Column) -> Column:
         places = _by_encoding(value, lambda alphabet, _: F.transform(F.split(body, ""), lambda c: (F.instr(F.lit(alphabet), c) - (len(alphabet) + 1) / 2).cast("double")))
-        z = F.greatest(F.lit(-25.0), F.least(F.lit(25.0), _by_encoding(value, lambda alphabet, excess: _evenness(body, alphabet, excess))))
-        even = let(z, lambda z: -F.log10(normal(z)))
+        even = let(_by_encoding(value, lambda alphabet, excess: _evenness(body, alphabet, excess)), rarity)
         return F.struct(F.char_length(body).alias("length"), even.alias("even"), let(places, _agreement).alias("agree"))
 
     return let(F.regexp_replace(value, "=+$", ""), of)

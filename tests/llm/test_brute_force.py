@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -186,6 +187,27 @@ def test_battery_tells_random_from_plain(spark):
     assert sum(rows[i]["agree"] >= secret_scan.AGREES for i in range(60)) >= 57
 
 
+def test_rarity_is_the_normal_tail(spark):
+    zs = [-35.0, -25.0, -21.5, -10.0, -5.0, -3.2, -1.0, 0.0, 1.0, 4.0, 25.0, 500.0]
+    got = [r[0] for r in spark.createDataFrame([(z,) for z in zs], "z double").select(secret_scan.rarity(secret_scan.F.col("z"))).collect()]
+    for z, have in zip(zs, got):
+        assert have == pytest.approx(-math.log10(math.erfc(-z / math.sqrt(2)) / 2), rel=1e-5, abs=1e-6)
+    assert spark.sql("SELECT -1140D AS z").select(secret_scan.rarity(secret_scan.F.col("z"))).first()[0] > 280_000
+
+
+def test_long_random_strings_are_found(spark):
+    rng = random.Random(8)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    values = ["".join(rng.choice(alphabet + signs) for _ in range(n)) for n in (100, 600, 2_000, 20_000) for signs in ("+/", "-_")]
+    plain = ["".join(rng.choice("etaoinshr") for _ in range(n)) for n in (100, 600, 2_000)]
+    found, name = secret_scan.scan(frame(spark, [f"key {v} end" for v in values + plain]))
+    rows = {r["doc_id"]: r for r in found.withColumn("masked", secret_scan.redact(secret_scan.F.col("text"), secret_scan.F.col(f"{name}.all"))).collect()}
+    for i, v in enumerate(values):
+        assert [tuple(s) for s in rows[i][name]["all"]] == [(4, 3, 4 + len(v))]
+        assert rows[i]["masked"] == f"key {secret_scan.MASK} end"
+    assert all(rows[len(values) + i][name]["all"] == [] for i in range(len(plain)))
+
+
 def units(text):
     words = [(m.start(), m.end()) for m in WORD.finditer(text)]
     out = []
