@@ -38,9 +38,10 @@ passed AS (SELECT user_id, event_id, ts, n, ts AS last, true AS kept FROM o WHER
 SELECT user_id, event_id FROM passed WHERE kept""",
 )
 def expiring_dedupe_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Events of a user that find no entry of the user's: an entry lives for a week."""
+    """Events of a user that find no entry of the user's: an entry lives for a week. The folder is a backlog, so nothing in it is too late."""
     out = fresh_folder(spark, "first")
-    jobs.run_to_files(jobs.first_within(jobs.event_stream(spark, folder), "user_id", datetime.timedelta(days=7)), out, out + "-ckpt")
+    passed = jobs.first_within(jobs.event_stream(spark, folder), "user_id", datetime.timedelta(days=7), lateness=datetime.timedelta(days=36_500))
+    jobs.run_to_files(passed, out, out + "-ckpt")
     return spark.read.schema("event_id bigint, user_id bigint").parquet(out).select("user_id", "event_id")
 
 

@@ -6,6 +6,7 @@ default (a scheduled run that catches up and stops) and can be restarted after a
 
 from __future__ import annotations
 
+import bisect
 import datetime
 from collections.abc import Iterator
 
@@ -50,14 +51,23 @@ def history_counts(events: DataFrame, window: str = "1 day", lateness: str = "2
     return counts.select(F.col("window.start").alias("window_start"), "event_type", "n_events", "total_value")
 
 
-def first_within(events: DataFrame, key: str, time_to_live: datetime.timedelta) -> DataFrame:
-    """A cache as a stream: an event passes if its key has no entry yet or the entry's life is over, and makes a new one.
+def first_within(events: DataFrame, key: str, time_to_live: datetime.timedelta, lateness: datetime.timedelta | None = None) -> DataFrame:
+    """A cache as a stream: an event passes if its key has no entry whose life it meets, and makes a new one.
 
-    The state of a key is the time of its entry; it goes once the watermark is past the entry's life.
     Events of a batch are taken in the order of time, so for events that arrive in that order the
-    batches' sizes do not matter.
+    batches' sizes do not matter. An event that comes behind newer ones of earlier batches passes if
+    it is a whole life away from every entry of its key, before or after; what has passed already
+    stays, so no two events of a key that pass are closer than a life. Spark drops an event that comes
+    more than `lateness` behind the newest of earlier batches; that is never less than the life, which
+    is its default, and a backlog in no order needs the span of its events.
+
+    The state of a key are the times of its entries that an event within the lateness can still meet;
+    it goes once the watermark is past the last entry's life.
     """
-    life = np.timedelta64(round(time_to_live.total_seconds() * 1_000_000), "us")
+    lateness = time_to_live if lateness is None else lateness
+    if lateness < time_to_live:
+        raise ValueError("lateness must not be less than time_to_live")
+    life = round(time_to_live.total_seconds() * 1_000_000)
     order = [c for c in ("ts", "event_id") if c in events.columns]
 
     def passing(_key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -65,18 +75,21 @@ def first_within(events: DataFrame, key: str, time_to_live: datetime.timedelta)
             state.remove()
             return
         rows = pd.concat(list(frames)).sort_values(order, kind="stable")
-        last = np.datetime64(state.get[0], "us") if state.exists else None
+        entries = list(state.get[0]) if state.exists else []
         kept = []
-        for at in rows["ts"].to_numpy().astype("datetime64[us]"):
-            kept.append(last is None or at >= last + life)
-            last = at if kept[-1] else last
-        over = int((last + life).astype(np.int64)) // 1000
-        state.update((int(last.astype(np.int64)),))
-        state.setTimeoutTimestamp(max(over, state.getCurrentWatermarkMs() + 1))
+        for at in rows["ts"].to_numpy().astype("datetime64[us]").astype(np.int64).tolist():
+            place = bisect.bisect_right(entries, at)
+            kept.append((place == 0 or at - entries[place - 1] >= life) and (place == len(entries) or entries[place] - at >= life))
+            if kept[-1]:
+                entries.insert(place, at)
+        passed = state.getCurrentWatermarkMs()
+        entries = [e for e in entries if e + life > passed * 1000] or entries[-1:]
+        state.update((entries,))
+        state.setTimeoutTimestamp(max((entries[-1] + life) // 1000, passed + 1))
         yield rows[kept]
 
-    marked = events.withWatermark("ts", "1 second")
-    return marked.groupBy(key).applyInPandasWithState(passing, events.schema, "entry long", "append", GroupStateTimeout.EventTimeTimeout)
+    marked = events.withWatermark("ts", f"{round(lateness.total_seconds() * 1000)} milliseconds")
+    return marked.groupBy(key).applyInPandasWithState(passing, events.schema, "entries array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to_files(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -273,6 +273,25 @@ def test_expiring_entries_whatever_the_batches(spark, tmp_path, days, want, per_
     assert sorted(r["event_id"] for r in spark.read.parquet(out).filter("user_id = 10").collect()) == want
 
 
+@pytest.mark.parametrize("late_days,want", [(None, [1, 2, 3, 4, 7, 8]), (40, [1, 2, 3, 4, 7, 8, 9])])
+def test_late_events_keep_their_place(spark, tmp_path, late_days, want):
+    start = datetime(2024, 1, 1)
+    arriving = [(1, 20, 10), (2, 27, 10), (3, 28, 12), (4, 22, 11), (5, 24, 10), (6, 28.5, 11), (7, 36, 10), (8, 29.5, 13), (9, 10, 10), (10, 15, 10)]
+    (tmp_path / "in").mkdir()
+    for event, day, user in arriving:
+        frame = spark.createDataFrame([(event, start + timedelta(days=day), user, "v", 1.0, "{}")], jobs.EVENTS)
+        frame.coalesce(1).write.parquet(str(tmp_path / "w" / str(event)))
+        target = tmp_path / "in" / f"events{event}.parquet"
+        target.write_bytes(next((tmp_path / "w" / str(event)).glob("part*.parquet")).read_bytes())
+        os.utime(target, (1_700_000_000 + event, 1_700_000_000 + event))
+    stream = jobs.event_stream(spark, str(tmp_path / "in"), 1)
+    lateness = None if late_days is None else timedelta(days=late_days)
+    jobs.run_to_files(jobs.first_within(stream, "user_id", timedelta(days=7), lateness), str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    assert sorted(r["event_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want
+    with pytest.raises(ValueError, match="lateness"):
+        jobs.first_within(stream, "user_id", timedelta(days=7), timedelta(days=6))
+
+
 def test_csv_lines_with_quoted_commas(spark):
     lines = spark.createDataFrame([('1,"Silva, Ltda"',), ("2,x,y",), ("3",), (" ",), ("4, z ",)], "value string")
     assert [tuple(r) for r in files.csv_text(lines, ["id", "name"]).collect()] == [("1", "Silva, Ltda"), ("4", "z")]
