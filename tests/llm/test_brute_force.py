@@ -349,6 +349,25 @@ def naive_dice(text, templates, least):
     return best
 
 
+def named(text):
+    return [f[1] for f in license_scan.scan_slice(license_scan.pa.array([text]), license_scan.Templates(license_scan.TEMPLATES))]
+
+
+def test_neighbouring_licenses_are_told_apart():
+    templates = license_scan.Templates(license_scan.TEMPLATES)
+    for name, notice in license_scan.TEMPLATES.items():
+        finds = list(license_scan.scan_slice(license_scan.pa.array([f"Ahead of it. {notice.upper()}. Behind it."]), templates))
+        assert [(f[1], f[2]) for f in finds] == [(name, 1.0)]
+    assert named("This work is licensed under the GNU General Public License, version 2") == ["GPL-2.0-line"]
+    assert named("This work is licensed under the GNU Lesser General Public License, version 3.") == ["LGPL-3.0-line"]
+    assert named("This work is licensed under the GNU Affero General Public License, version 3.") == ["AGPL-3.0-line"]
+    gnu = license_scan.TEMPLATES["LGPL-3.0-or-later-program"].replace("this program", "foolib")
+    assert named(gnu)[0].startswith("LGPL-3.0-or-later")
+    assert named(license_scan.TEMPLATES["AGPL-3.0-or-later"].replace("this program", "foo")) == ["AGPL-3.0-or-later"]
+    bsd = license_scan.TEMPLATES["BSD-3-Clause"].replace("the copyright holder nor", "Foo Bar Inc. nor").replace("met redis", "met: 1. Redis").replace("disclaimer redis", "disclaimer. 2. Redis").replace("neither", "3. Neither")
+    assert named(bsd) == ["BSD-3-Clause"]
+
+
 def test_license_scan(spark):
     templates = {"one": "permission is granted to copy and use this work by anyone", "two": "licensed under two", "three": "released under the third license of all"}
     rng = random.Random(8)
