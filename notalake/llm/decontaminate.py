@@ -9,8 +9,9 @@ an item, the item's words are aligned with the words around them; the score is t
 Test items are taken in blocks of at most `max_words` words, so what is sent to the executors has a
 bound whatever the benchmark's size; each block meets all documents. Documents are never shuffled.
 
-Defined results: null or empty documents hit nothing; items of fewer than `min_words` words are not
-searched, since they cannot be told from chance; repeated items and rows are reported each; an empty
+Defined results: null or empty documents hit nothing; of items of fewer than `min_words` words only whole
+and unedited copies count, since edited ones cannot be told from chance; items of fewer words than a gram
+are not searched (`unsearched` lists them); repeated items and rows are reported each; an empty
 benchmark or table gives no pairs; other columns are not used, and kept by `clean`.
 """
 
@@ -40,7 +41,7 @@ class Search:
     spread: int = 4  # neighbouring grams of which the rarest is a seed
     seed_share: float = 0.15  # of an item's seeds that a document must hold, two at least
     least: float = 0.6  # score that counts as a copy
-    min_words: int = 8
+    min_words: int = 8  # shorter items must be met word for word
     max_words: int = 2_000_000  # of test items in one block
 
 
@@ -60,11 +61,12 @@ class Items:
         at, value = words.windows(hashes, how.gram)
         doc = words.doc[at]
         for k, (item, _) in enumerate(rows):
-            if words.counts[k] >= max(how.min_words, how.gram):
+            if words.counts[k] >= how.gram:
                 self.ids.append(item)
                 self.words.append(hashes[first[k] : first[k + 1]])
                 grams.append(value[np.searchsorted(doc, k) : np.searchsorted(doc, k, "right")])
         self.grams = grams
+        self.whole = np.array([len(w) < how.min_words for w in self.words], bool)
         self.distinct = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
 
     def seeded(self, counts: np.ndarray, how: Search) -> None:
@@ -82,7 +84,8 @@ class Items:
         self.seeds, self.heads = np.unique(value, return_index=True)
         self.heads = np.append(self.heads, len(rows))
         self.seed_item, self.seed_place = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-        self.needed = np.maximum(np.minimum(2, self.n_seeds), np.ceil(how.seed_share * self.n_seeds)).astype(np.int64)
+        some = np.maximum(np.minimum(2, self.n_seeds), np.ceil(how.seed_share * self.n_seeds)).astype(np.int64)
+        self.needed = np.where(self.whole, self.n_seeds, some)
 
 
 def _found(sorted_values: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,6 +153,12 @@ def search_slice(texts: pa.Array, items: Items, how: Search) -> Iterator[tuple[i
         own, low, high = items.words[k], int(first[row]), int(first[row + 1])
         best = (0.0, 0, 0)
         starts, counts = np.unique(place[a:b] - offset[a:b], return_counts=True)
+        if items.whole[k]:
+            starts = starts[(starts >= low) & (starts + len(own) <= high)]
+            same = np.flatnonzero((hashes[starts[:, None] + np.arange(len(own))] == own).all(axis=1))
+            if not len(same):
+                continue
+            counts = np.bincount(same[:1], minlength=len(starts))
         exact = int(starts[np.argmax(counts)])
         if exact >= low and exact + len(own) <= high and (hashes[exact : exact + len(own)] == own).all():
             best = (1.0, exact, exact + len(own) - 1)
@@ -165,6 +174,17 @@ def search_slice(texts: pa.Array, items: Items, how: Search) -> Iterator[tuple[i
             yield row, k, best[0], int(span[0]), int(span[1])
 
 
+def unsearched(benchmark: DataFrame, how: Search = Search()) -> DataFrame:
+    """item_id of the test items that have too few words to be searched."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            few = _words(part.column("text")).counts < how.gram
+            yield pa.RecordBatch.from_arrays([part.column("item_id").cast(pa.int64()).filter(pa.array(few))], ["item_id"])
+
+    return benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "item_id long")
+
+
 def _blocks(benchmark: DataFrame, how: Search) -> Iterator[list[tuple[int, str]]]:
     """The test items in blocks of bounded size; one job each, only that block's items come to the driver."""
     sized = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))

@@ -464,6 +464,21 @@ def test_decontaminate(spark):
     assert decontaminate.clean(docs, items.limit(0)).count() == len(texts)
 
 
+def test_short_items_are_met_word_for_word(spark):
+    bench = [(1, "Who was first?"), (2, "Where do the swallows spend winter?"), (3, "one two three four five six seven"), (4, "la la la"), (5, "too short"), (6, None), (7, "a b a b a b a")]
+    texts = [
+        "He asked: who was FIRST, and left", "who was the first", "where do the swallows spend  Winter", "where do the swallows spend summer",
+        "x one two three four five six seven", "one two three four five six eight seven", "la la", "sing la la la la", None, "a b a b a b", "a b a a b a b a b a b", "who was", "first",
+        "swallows spend winter where do the swallows spend the winter where do the swallows",
+    ]
+    docs, items = frame(spark, texts), spark.createDataFrame(bench, "item_id long, text string")
+    rows = decontaminate.copies(docs, items).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == {(0, 1), (2, 2), (4, 3), (7, 4), (10, 7)} and {r["score"] for r in rows} == {1.0}
+    assert next(texts[0][r["start"] : r["stop"]] for r in rows if r["doc_id"] == 0) == "who was FIRST"
+    assert {r["doc_id"] for r in decontaminate.clean(docs, items).collect()} == set(range(len(texts))) - {0, 2, 4, 7, 10}
+    assert sorted(r["item_id"] for r in decontaminate.unsearched(items).collect()) == [5, 6]
+
+
 def test_alignment_score_is_that_of_plain_dynamic_programming():
     rng = np.random.default_rng(11)
     for _ in range(30):
