@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow_text import Words, mix, shingles, slices
-from .common import stored, table
+from .common import free_name, stored, table
 from .components import components
 from .registry import query
 
@@ -283,13 +283,41 @@ def links(sets: DataFrame, how: Similarity) -> DataFrame:
     return links_now.union(more)
 
 
+def _clash(heads: DataFrame) -> bool:
+    """Whether some doc_id comes with several sets."""
+    sets = heads.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("x"), F.max(F.struct("d1", "d2")).alias("y"))
+    return not sets.filter("x <> y").isEmpty()
+
+
+def _by_row(docs: DataFrame, how: Similarity) -> tuple[DataFrame, DataFrame, str]:
+    """`docs` with a number for each row that has a doc_id; of each row number, doc_id, n_shingles and component (of numbers); and the number's name."""
+    name = free_name(docs, "row")
+    number = F.monotonically_increasing_id()
+    # a partition's numbers start at a multiple of 2 ** 33; changed by the partition's own bits they stay apart, and low bits differ
+    mixed = number.bitwiseXOR((F.shiftright(number, 33) * 38_953_801).bitwiseAND((1 << FILTER_BITS) - 1))
+    numbered = stored(docs.withColumn(name, mixed).withColumn(name, F.when(F.col("doc_id").isNotNull(), F.col(name))), "numbered")
+    rows = numbered.select(F.col(name).alias("doc_id"), "text")
+    found = _grouped(rows, how, stored(_heads(rows, how), "heads")).withColumnRenamed("doc_id", "row")
+    ids = numbered.select(F.col(name).alias("row"), "doc_id").filter("row IS NOT NULL")
+    return numbered, stored(found.join(ids, "row", "left").select("row", "doc_id", "n_shingles", F.col("component_id").alias("component")), "by-row"), name
+
+
 def grouped(docs: DataFrame, how: Similarity) -> DataFrame:
     """One row a row of `docs`: doc_id, n_shingles, component_id."""
-    spark = docs.sparkSession
     heads = stored(_heads(docs, how), "heads")
+    if not _clash(heads):
+        return _grouped(docs, how, heads)
+    _, found, _ = _by_row(docs, how)
+    least = found.filter("row IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "component", "left").select("doc_id", "n_shingles", "component_id")
+
+
+def _grouped(docs: DataFrame, how: Similarity, heads: DataFrame) -> DataFrame:
+    """As `grouped`, for tables where a doc_id has one set."""
+    spark = docs.sparkSession
     classes = stored(heads.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("rows")), "classes")
     met = stored(_listed(docs, how).repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, doc_id long"), "met")
-    # the class of each listed document; one class a document, should a doc_id come with several texts
+    # the class of each listed document
     meeting = met.select("doc_id").distinct()
     class_of = heads.filter("n > 0").join(meeting, "doc_id", "left_semi").join(classes.select("d1", "d2", "rep"), ["d1", "d2"])
     class_of = stored(class_of.groupBy("doc_id").agg(F.min(F.struct("rep", "n", "d1", "d2")).alias("x")).select("doc_id", "x.*"), "class-of")
@@ -311,7 +339,14 @@ def grouped(docs: DataFrame, how: Similarity) -> DataFrame:
 
 def keep_first(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Pipeline stage: of each group of near duplicates (five words, 0.8 or more) the smallest doc_id stays, once."""
-    found = stored(grouped(docs, Similarity(words=5, percent=80)), "near-copies")
+    how = Similarity(words=5, percent=80)
+    heads = stored(_heads(docs, how), "heads")
+    if _clash(heads):
+        numbered, by_row, name = _by_row(docs, how)
+        first = by_row.filter("row IS NOT NULL AND n_shingles > 0").groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("x"))
+        gone = by_row.filter("row IS NOT NULL AND n_shingles > 0").select("row").join(first.select(F.col("x.row").alias("row")), "row", "left_anti")
+        return numbered.join(gone.withColumnRenamed("row", name), name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = stored(_grouped(docs, how, heads), "near-copies")
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     repeated = found.filter("n_shingles > 0 AND doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")

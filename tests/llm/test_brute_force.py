@@ -421,6 +421,16 @@ def test_jaccard_groups(spark, words, percent, seed):
     assert {tuple(r) for r in got.collect()} == brute_groups(rows, words, percent)
 
 
+def test_texts_that_share_a_doc_id(spark):
+    near = [f"n{k}" for k in range(60)]
+    texts = [(1, " ".join(near)), (7, " ".join([*near[:59], "other"])), (7, "quite another text that nothing else is like " * 2), (7, "a third text alone in the table with its own words"), (9, "a third text alone in the table with its own words"), (7, None), (None, "no id")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"] or 0), r["n_shingles"], r["component_id"]) for r in jaccard_join.grouped(docs, jaccard_join.Similarity(3, 80)).collect() if r["n_shingles"] and r["doc_id"])
+    assert got == [(1, 58, 1), (7, 8, 7), (7, 9, 7), (7, 58, 1), (9, 9, 7)]
+    left = [tuple(r) for r in jaccard_join.keep_first(spark, docs, "").collect()]
+    assert sorted(left, key=str) == sorted((texts[k] for k in (0, 2, 3, 5, 6)), key=str)
+
+
 def test_parts_meet_for_every_linked_pair():
     """Any two sets with the wanted similarity have a list in common."""
     how = jaccard_join.Similarity(3, 80)
