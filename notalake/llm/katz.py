@@ -11,8 +11,8 @@ without), goes to what was not seen there:
     alpha(v) = (1 - sum of p(w | v) over the w seen after v) / (1 - sum of p(w) over the same w)
 
 so each distribution sums to one exactly. How many words were never seen is estimated from the words
-seen once and twice (n1 n1 / (2 n2), Chao's estimate, one at least). A text is its words and one end; the end is also what the
-first word follows.
+seen once and twice (n1 n1 / (2 n2), Chao's estimate, one at least). A text is its words and one end;
+the end is also what the first word follows.
 
 Work is dealt by context: a token goes with its context to a group of bounded weight (`word_codes`),
 which counts the context's bigrams, stores them, and resolves the tokens whose bigram was seen. What
@@ -49,7 +49,7 @@ END = digest(b"")  # words are never empty
 
 @dataclass(frozen=True)
 class Model:
-    budget: int = 3 << 20  # tokens in one group
+    budget: int = 1 << 21  # tokens in one group
     buffer: int = 1 << 20  # tokens a task deals out at a time
     coded: int = CODED_WORDS
 
@@ -213,62 +213,85 @@ def _resolved(shared):
 
         return pa.RecordBatch.from_arrays([column(a, t) for a, t in zip(names, kinds)], names)
 
-    def sums(ids: tuple[np.ndarray, ...], **values) -> tuple[tuple[np.ndarray, ...], dict[str, np.ndarray]]:
-        """Values added up by equal ids."""
-        order = np.lexsort(ids[::-1])
-        ids = tuple(i[order] for i in ids)
-        new = np.ones(len(order), bool)
-        new[1:] = np.any([i[1:] != i[:-1] for i in ids], axis=0)
+    def runs(*columns: np.ndarray) -> np.ndarray:
+        """Where a row differs from the one before it."""
+        new = np.ones(len(columns[0]), bool)
+        new[1:] = False
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        return new
+
+    def texts_of(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of each token's text, and by number the text's doc and key. Tokens of a text lie together, mostly."""
+        new = runs(doc, key)
         heads = np.flatnonzero(new)
-        return tuple(i[heads] for i in ids), {k: np.add.reduceat(x[order], heads) for k, x in values.items()}
+        d, k = doc[heads], key[heads]
+        order = np.lexsort((k, d))
+        d, k = d[order], k[order]
+        first = runs(d, k)
+        number = np.empty(len(heads), np.int32)
+        number[order] = np.cumsum(first) - 1
+        return np.repeat(number, np.diff(np.append(heads, len(doc)))), d[first], k[first]
+
+    def by_pair(ids: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Different (id, text), and how often."""
+        order = np.lexsort((text, ids))
+        ids, text = ids[order], text[order]
+        heads = np.flatnonzero(runs(ids, text))
+        return ids[heads], text[heads], np.diff(np.append(heads, len(ids)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uni: Unigrams = shared.value
-        for _, (v, w, doc, key) in by_group(batches, 4):
+        for _, columns in by_group(batches, 4):
+            text, t_doc, t_key = texts_of(*columns[2:])
+            v, w = columns[:2]
+            columns.clear()
             order = np.lexsort((w, v))
-            v, w, doc, key = v[order], w[order], doc[order], key[order]
-            train = (key & np.uint64(1)) == 0
-            new_v = np.concatenate(([True], v[1:] != v[:-1]))
-            new = new_v | np.concatenate(([True], w[1:] != w[:-1]))
+            v, w, text = v[order], w[order], text[order]
+            del order
+            train = ((t_key & np.uint64(1)) == 0)[text]
+            new_v = runs(v)
+            new = new_v | runs(w)
             heads = np.flatnonzero(new)  # of the bigrams
-            count = np.add.reduceat(train.astype(np.int64), heads)
-            of = np.cumsum(new) - 1  # each token's bigram
+            count = np.add.reduceat(train, heads, dtype=np.int64)
+            of = (np.cumsum(new) - 1).astype(np.int32)  # each token's bigram
             v_heads = np.flatnonzero(new_v)
-            local = np.add.reduceat(train.astype(np.int64), v_heads)
+            local = np.add.reduceat(train, v_heads, dtype=np.int64)
             split = uni.codes.split(v[v_heads])
-            known = uni.codes.known(v[v_heads])
-            whole = np.where(split, known, local)  # c(v)
-            context = (np.cumsum(new_v) - 1)[heads]  # each bigram's
+            whole = np.where(split, uni.codes.known(v[v_heads]), local)  # c(v)
+            context = np.cumsum(new_v[heads]) - 1  # each bigram's
             bv, bw, seen = v[heads], w[heads], count > 0
             coded = bw < LOOSE
             p = np.zeros(len(heads))
             p[coded] = uni.p(uni.codes.known(bw[coded]))
+            del v, w, train, new, new_v
 
             yield rows("bigrams", 1, bigrams=[pack([bv[seen], bw[seen], count[seen].astype(np.uint64)])])
             yield rows("classes", 1, **{c: [int((count == r).sum())] for r, c in enumerate(CLASSES, 1)})
 
             # each token: seen after its context, else alpha (where the context was seen) and p(w)
             log = np.where(seen, np.log10(np.maximum(count, 1)) - np.log10(whole[context] + 1), np.where(coded, np.log10(np.where(coded, p, 1)), 0.0))
-            by_r = {c: (count == r).astype(np.int64)[of] for r, c in enumerate(CLASSES[:CUTOFF], 1)}
-            (d, k), total = sums((doc, key), x=log[of], **by_r)
-            yield rows("scores", len(d), doc=d, key=k, **total)
-            ask = (~seen & (whole[context] > 0))[of]
-            if ask.any():
-                (a, d, k), total = sums((v[ask], doc[ask], key[ask]), n=np.ones(int(ask.sum()), np.int64))
-                yield rows("asks", len(a), v=a, doc=d, key=k, n1=total["n"])
-            other = (~seen & ~coded)[of]
-            if other.any():
-                (a, d, k), total = sums((w[other], doc[other], key[other]), n=np.ones(int(other.sum()), np.int64))
-                yield rows("unknown", len(a), w=a, doc=d, key=k, n1=total["n"])
+            by_r = np.where(count <= CUTOFF, count, 0).astype(np.int64)[of]
+            by_r += text.astype(np.int64) * (CUTOFF + 1)
+            by_r = np.bincount(by_r, minlength=len(t_doc) * (CUTOFF + 1)).reshape(-1, CUTOFF + 1)
+            yield rows("scores", len(t_doc), doc=t_doc, key=t_key, x=np.bincount(text, weights=log[of], minlength=len(t_doc)), **{c: by_r[:, r] for r, c in enumerate(CLASSES[:CUTOFF], 1)})
+            ask = np.flatnonzero((~seen & (whole[context] > 0))[of])
+            if len(ask):
+                a, t, n = by_pair(bv[of[ask]], text[ask])
+                yield rows("asks", len(a), v=a, doc=t_doc[t], key=t_key[t], n1=n)
+            other = np.flatnonzero((~seen & ~coded)[of])
+            if len(other):
+                a, t, n = by_pair(bw[of[other]], text[other])
+                yield rows("unknown", len(a), w=a, doc=t_doc[t], key=t_key[t], n1=n)
+            del of, text
 
             # contexts that are asked for, here or in another group
-            wanted = split | np.logical_or.reduceat(~seen, np.searchsorted(heads, v_heads))
-            wanted &= whole > 0
+            first = np.searchsorted(heads, v_heads)
+            wanted = (split | np.logical_or.reduceat(~seen, first)) & (whole > 0)
             if wanted.any():
-                first = np.searchsorted(heads, v_heads)
                 add = lambda x: np.add.reduceat(np.where(seen, x, 0), first)[wanted]
                 by_r = {c: add(count == r) for r, c in enumerate(CLASSES[:CUTOFF], 1)}
-                yield rows("contexts", int(wanted.sum()), v=v[v_heads][wanted], w=whole[wanted], x=add(np.where(coded, p, 0.0)), n6=add(np.where(count > CUTOFF, count, 0)), **by_r)
+                yield rows("contexts", int(wanted.sum()), v=bv[first][wanted], w=whole[wanted], x=add(np.where(coded, p, 0.0)), n6=add(np.where(count > CUTOFF, count, 0)), **by_r)
                 after = seen & ~coded & wanted[context]
                 if after.any():
                     yield rows("after", int(after.sum()), v=bv[after], w=bw[after])

@@ -9,6 +9,7 @@ them by the words that follow.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -137,14 +138,18 @@ def pack(columns: list[np.ndarray]) -> bytes:
     return b"".join(out)
 
 
-def unpack(blob: bytes, columns: int) -> list[np.ndarray]:
-    n, at, out = int(np.frombuffer(blob, np.uint64, 1)[0]), 8, []
-    for _ in range(columns):
-        width = blob[at]
-        wide = np.zeros((n, 8), np.uint8)
-        wide[:, :width] = np.frombuffer(blob, np.uint8, width * n, at + 1).reshape(width, n).T
-        out.append(wide.reshape(-1).view(np.uint64))
-        at += 1 + width * n
+def unpack(packed: list[bytes], columns: int) -> list[np.ndarray]:
+    """The columns of blobs, one after the other."""
+    sizes = [int(np.frombuffer(blob, np.uint64, 1)[0]) for blob in packed]
+    out = [np.zeros(sum(sizes), np.uint64) for _ in range(columns)]
+    first = 0
+    for blob, n in zip(packed, sizes):
+        at = 8
+        for column in out:
+            width = blob[at]
+            column[first : first + n].view(np.uint8).reshape(-1, 8)[:, :width] = np.frombuffer(blob, np.uint8, width * n, at + 1).reshape(width, n).T
+            at += 1 + width * n
+        first += n
     return out
 
 
@@ -158,15 +163,17 @@ def blobs(group: np.ndarray, columns: list[np.ndarray], most: int = 1 << 16) ->
     return pa.RecordBatch.from_arrays([pa.array(group[[a for a, _ in spans]].astype(np.int64)), pa.array(packed, pa.binary())], ["grp", "blob"])
 
 
-def by_group(batches, columns: int):
-    """Of (grp, blob) rows in the order of their groups, each group's columns; one group is held at a time."""
+def by_group(batches: Iterable[pa.RecordBatch], columns: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Of (grp, blob) rows in the order of their groups, each group's columns; one group is held at a time, packed until it is whole."""
     held, parts = None, []
     for batch in batches:
         for g, blob in zip(batch.column("grp").to_pylist(), batch.column("blob")):
             if g != held and parts:
-                yield held, [np.concatenate(c) for c in zip(*parts)]
-                parts = []
+                whole, parts = unpack(parts, columns), []
+                yield held, whole
+                del whole
             held = g
-            parts.append(unpack(blob.as_buffer().to_pybytes(), columns))
+            parts.append(blob.as_buffer().to_pybytes())
     if parts:
-        yield held, [np.concatenate(c) for c in zip(*parts)]
+        whole, parts = unpack(parts, columns), []
+        yield held, whole
