@@ -4,7 +4,8 @@ Codes are what tasks send each other instead of words. At most `limit` words get
 threshold on their counts, so what is broadcast has a fixed bound; all other words travel as 64-bit
 digests and mean the same. Groups are dealt by the same table: light words share a group up to its
 budget of occurrences, a word above the budget has several groups and its windows are dealt among
-them by the words that follow.
+them by the words that follow. A word above a quarter of it has a group of its own, so shared groups
+hold at most a quarter more than the budget.
 """
 
 from __future__ import annotations
@@ -108,7 +109,7 @@ def codes(words: DataFrame, *, budget: int, least: int = 1, limit: int = CODED_W
     order = np.lexsort((digests, -counts))
     digests, counts = digests[order], counts[order]
     ways = np.maximum(-(-counts // budget), 1)
-    light = ways == 1
+    light = counts <= budget // 4
     before = np.cumsum(np.where(light, counts, 0)) - np.where(light, counts, 0)
     shared = before // budget
     n_shared = int(shared[light].max(initial=-1)) + 1
