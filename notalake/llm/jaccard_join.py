@@ -6,10 +6,10 @@ classes. The join never lists the pairs inside a group of near copies:
 1. Sieve. Sets are blocked by size, and the shingles of a block's sets fall into parts by their place
    in digest space. Two linked sets differ in so few shingles that some part is the same in both, so
    sets whose parts are all their own go, which are most. What stays holds everything linked.
-2. Index lists in blocks. The shingles of the sets that stay are counted, and each set is ordered from
-   its rarest. Its first n - ceil(t n) + 1 shingles go into the index lists, in blocks by set size; a
-   shingle's place in its set bounds the overlap that is still possible, so blocks and places that
-   cannot reach t are skipped.
+2. Index lists in blocks. The shingles of the sets that stay are counted in a sketch of fixed size, and
+   each set is ordered from its rarest by it. Its first n - ceil(t n) + 1 shingles go into the index
+   lists, in blocks by set size; a shingle's place in its set bounds the overlap that is still possible,
+   so blocks and places that cannot reach t are skipped. Any one order of all shingles loses no link.
 3. Anchors (answers from a similar set's answers). In each list every set is compared with one
    leader, the one with fewest shingles of its own. A linked set hangs on its leader, its distance known. Jaccard distance is a metric, so
    what lies far from a leader lies far from everything that hangs on it: two anchors' groups are
@@ -32,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,8 @@ from .components import components
 from .registry import query
 
 FILTER_BITS = 27  # of the bitmap that says which documents' sets are wanted again: 16 MB
+SLICE_KEYS = 1 << 19  # that are ordered at a time
+SKETCH_CELLS, SKETCH_PARTS = 1 << 19, 64  # of shingle counts: 4 MB
 BLOCK_RATIO = 1.5  # of the largest sizes of neighbouring blocks
 
 
@@ -223,16 +226,73 @@ def _distance() -> Column:
     return 1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
 
 
+def _rows_of(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Row slices whose lists together have about `limit` entries; one longer list is a slice by itself."""
+    for batch in batches:
+        total = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < batch.num_rows:
+            end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + limit, "right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """How many shingles fall into each of a fixed number of cells: a sketch of their counts, added up from the tasks' own.
+
+    It only chooses an order. Any one order of all shingles gives the same links; a truer one gives shorter lists.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SKETCH_CELLS, np.uint32)
+        for batch in batches:
+            keys = pc.list_flatten(batch.column("keys")).to_numpy().view(np.uint64)
+            total += np.bincount((keys % np.uint64(SKETCH_CELLS)).astype(np.int64), minlength=SKETCH_CELLS).astype(np.uint32)
+        parts = total.reshape(SKETCH_PARTS, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["part", "cells"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, cells in zip(batch.column("part").to_pylist(), batch.column("cells").to_pylist()):
+                total[part] = total.get(part, 0) + np.frombuffer(cells, np.uint32).astype(np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "cells"])
+
+    out = np.zeros((SKETCH_PARTS, SKETCH_CELLS // SKETCH_PARTS), np.uint64)
+    for r in sets.select("keys").mapInArrow(counted, "part int, cells binary").repartition(SKETCH_PARTS, "part").mapInArrow(added, "part int, cells binary").collect():
+        out[r["part"]] = np.frombuffer(r["cells"], np.uint64)
+    return out.reshape(-1)
+
+
 def _index(sets: DataFrame, how: Similarity) -> DataFrame:
-    """Index lists: key, rep, n, alone (shingles no other set has), place (from 0, in the set ordered from its rarest), block of sizes."""
-    each = sets.select("rep", F.size("keys").cast("long").alias("n"), F.explode("keys").alias("key"))
-    common = stored(each.groupBy("key").count().filter("count > 1"), "key-counts")
-    ordered = each.join(common, "key").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("count", "key"))).alias("keys"))
-    alone = F.col("n") - F.size("keys")  # they come first and need no list
-    length = F.col("n") - F.ceil(how.percent * F.col("n") / 100) + 1 - alone
-    lists = ordered.filter(length > 0).select("rep", "n", alone.alias("alone"), F.posexplode(F.slice("keys", F.lit(1), length.cast("int"))).alias("at", "k"))
-    block = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / how.percent) + 1e-9).cast("int")
-    return stored(lists.select("k.key", "rep", "n", "alone", (F.col("alone") + F.col("at")).alias("place"), block.alias("block")), "lists")
+    """Index lists: key, rep, n, alone (listed shingles of the set that no other set lists), place (from 0, in the set ordered from its rarest), block of sizes.
+
+    Sets are ordered and cut where they lie, so only what goes into lists is shuffled; lists of one set are left out.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(_rarity(sets))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity = shared.value
+        for batch in _rows_of(batches, "keys", SLICE_KEYS):
+            n = pc.list_value_length(batch.column("keys")).to_numpy(zero_copy_only=False).astype(np.int64)
+            keys = pc.list_flatten(batch.column("keys")).to_numpy().view(np.uint64)
+            owner = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((keys, rarity[(keys % np.uint64(SKETCH_CELLS)).astype(np.int64)], owner))
+            place = np.arange(len(keys)) - np.repeat(np.cumsum(n) - n, n)
+            length = n + how.percent * n // -100 + 1
+            listed = place < length[owner]
+            owner, place = owner[listed], place[listed]
+            block = np.floor(np.log(n) / math.log(100 / how.percent) + 1e-9).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[order][listed].view(np.int64)), batch.column("rep").take(pa.array(owner)), pa.array(n[owner]), pa.array(length[owner]), pa.array(place), pa.array(block[owner])],
+                ["key", "rep", "n", "length", "place", "block"],
+            )
+
+    lists = sets.select("rep", "keys").mapInArrow(cut, "key long, rep long, n long, length long, place long, block int")
+    several = lists.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x < y").select("key")
+    common = stored(lists.join(stored(several, "several-sets"), "key", "left_semi"), "shared-lists")
+    met = common.groupBy("rep").agg(F.count("*").alias("met"))
+    return stored(common.join(met, "rep").select("key", "rep", "n", (F.col("length") - F.col("met")).alias("alone"), "place", "block"), "lists")
 
 
 def links(sets: DataFrame, how: Similarity) -> DataFrame:
