@@ -3,7 +3,7 @@
 Each task multiplies its Arrow batches of vectors with the matrix of query vectors and keeps, per
 query, its own best k rows. What is shuffled is at most k rows per query and task, whatever the size
 of the store, and no pair of vectors is ever written out. The queries travel in the task closure,
-so their number is checked; more queries than that are answered in passes over the store.
+so their number is checked; more queries than that are joined in blocks (`vector_blocks`).
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from ..functions import scores
 from ..session import bounded_rows
 
 # 2048 vectors of 768 doubles are 12 MB.
-MAX_QUERIES_PER_PASS = 2048
+MAX_CLOSURE_QUERIES = 2048
 # Similarities are compared at this many places, so equal vectors tie and ids decide.
 PLACES = 9
 
@@ -53,8 +53,8 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def _scan(store: DataFrame, ids: list, queries: np.ndarray, k: int, threshold: float, types: tuple[str, str]) -> DataFrame:
-    """Best k store rows per query and task, at or above the threshold."""
+def _scan(store: DataFrame, ids: list, queries: np.ndarray, k: int, threshold: float, types: tuple[str, str], carry: tuple[str, str] | None) -> DataFrame:
+    """Best k store rows per query and task, at or above the threshold; the store's third column comes along as `carry` (name, type)."""
     directions, width = _unit(queries), queries.shape[1]
     arrow = {"bigint": pa.int64(), "string": pa.string()}
     empty = np.zeros(0, np.int64 if types[1] == "bigint" else "U1")
@@ -62,6 +62,7 @@ def _scan(store: DataFrame, ids: list, queries: np.ndarray, k: int, threshold: f
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_ids = [empty for _ in ids]
         kept_scores = [np.zeros(0) for _ in ids]
+        kept_more: list[list] = [[] for _ in ids]
         for batch in batches:
             rows, matrix = _matrix(batch.column(1), width)
             if len(rows) == 0:
@@ -76,49 +77,47 @@ def _scan(store: DataFrame, ids: list, queries: np.ndarray, k: int, threshold: f
                 all_ids = np.concatenate([kept_ids[j], keys[hits]])
                 all_scores = np.concatenate([kept_scores[j], found[hits, j]])
                 order = np.lexsort((all_ids, -all_scores))[:k]
+                if carry:
+                    more = kept_more[j] + batch.column(2).take(pa.array(rows[hits])).to_pylist()
+                    kept_more[j] = [more[i] for i in order.tolist()]
                 kept_ids[j], kept_scores[j] = all_ids[order], all_scores[order]
         counts = [len(x) for x in kept_ids]
         if sum(counts):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, arrow[types[0]]).take(pa.array(np.repeat(np.arange(len(ids)), counts))),
-                    pa.array(np.concatenate(kept_ids).tolist(), arrow[types[1]]),
-                    pa.array(np.concatenate(kept_scores), pa.float64()),
-                ],
-                names=["query_id", "vec_id", "similarity"],
-            )
+            columns = [
+                pa.array(ids, arrow[types[0]]).take(pa.array(np.repeat(np.arange(len(ids)), counts))),
+                pa.array(np.concatenate(kept_ids).tolist(), arrow[types[1]]),
+                pa.array(np.concatenate(kept_scores), pa.float64()),
+            ]
+            if carry:
+                columns.append(pa.array([x for more in kept_more for x in more], arrow[carry[1]]))
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "similarity", *([carry[0]] if carry else [])])
 
-    return store.mapInArrow(best, f"query_id {types[0]}, vec_id {types[1]}, similarity double")
+    schema = f"query_id {types[0]}, vec_id {types[1]}, similarity double" + (f", `{carry[0]}` {carry[1]}" if carry else "")
+    return store.mapInArrow(best, schema)
 
 
-def nearest(store: DataFrame, queries: DataFrame, k: int, threshold: float = -1.0) -> DataFrame:
+def nearest(store: DataFrame, queries: DataFrame, k: int, threshold: float = -1.0, carry: str | None = None) -> DataFrame:
     """query_id, vec_id, similarity, rank: the k nearest store vectors of every query, exactly.
 
     `store` has vec_id and embedding, `queries` query_id and vector. Vectors that are missing or of
-    another width are left out, zero vectors have similarity 0, ties go to the smaller id.
+    another width are left out, zero vectors have similarity 0, ties go to the smaller id. `carry`
+    names a key column of the store that the result shall have as well.
     """
+    from . import vector_blocks
+
     types = (_key_type(queries, "query_id"), _key_type(store, "vec_id"))
-    store = store.filter("vec_id IS NOT NULL").select(F.col("vec_id").cast(types[1]), "embedding")
+    more = (carry, _key_type(store, carry)) if carry else None
+    store = store.filter("vec_id IS NOT NULL").select(F.col("vec_id").cast(types[1]), "embedding", *([F.col(carry).cast(more[1])] if carry else []))
     queries = queries.withColumn("query_id", F.col("query_id").cast(types[0]))
-    rows = bounded_rows(queries.select("query_id", "vector"), MAX_QUERIES_PER_PASS)
-    if rows is not None:
-        passes = [rows]
-    else:
-        # More queries: hash them into passes small enough for a closure. Each pass reads the store again.
-        n = 2 * (queries.count() // MAX_QUERIES_PER_PASS + 1)
-        slot = F.pmod(F.xxhash64("query_id"), F.lit(n))
-        passes = [queries.filter(slot == i).select("query_id", "vector").collect() for i in range(n)]
-    found = None
-    for chosen in passes:
-        if not chosen:
-            continue
-        ids = [r["query_id"] for r in chosen]
-        matrix = np.array([r["vector"] for r in chosen], dtype=np.float64)
-        part = _scan(store, ids, matrix, k, threshold, types)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        spark = store.sparkSession
-        return spark.createDataFrame([], f"query_id {types[0]}, vec_id {types[1]}, similarity double, rank int")
+    rows = bounded_rows(queries.select("query_id", "vector"), MAX_CLOSURE_QUERIES)
+    if rows is None:
+        width = int(queries.agg(F.mode(F.size("vector"), True).alias("w")).first()["w"])
+        found = vector_blocks.nearest_blocks(store, queries, k, threshold, width)
+        return found.join(store.select("vec_id", carry), "vec_id") if carry else found
+    if not rows:
+        schema = f"query_id {types[0]}, vec_id {types[1]}, similarity double, " + (f"`{carry}` {more[1]}, " if carry else "") + "rank int"
+        return store.sparkSession.createDataFrame([], schema)
+    found = _scan(store, [r["query_id"] for r in rows], np.array([r["vector"] for r in rows], dtype=np.float64), k, threshold, types, more)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -170,9 +169,7 @@ def centroids(store: DataFrame, group: str, width: int) -> DataFrame:
 def search(store: DataFrame, queries: DataFrame, documents: DataFrame, k: int, threshold: float, allowed: DataFrame | None = None) -> DataFrame:
     """Filtered search: chunks of allowed documents only, the best k, with the columns of their document."""
     eligible = store if allowed is None else store.join(allowed.select("document_id"), "document_id", "left_semi")
-    hits = nearest(eligible, queries, k, threshold)
-    chunks = store.select("vec_id", "document_id")
-    return hits.join(chunks, "vec_id").join(documents, "document_id")
+    return nearest(eligible, queries, k, threshold, carry="document_id").join(documents, "document_id")
 
 
 def document_context(hits: DataFrame, documents: DataFrame, as_of: datetime, per_document: int = 2, max_documents: int = 3) -> DataFrame:

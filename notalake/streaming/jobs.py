@@ -35,8 +35,12 @@ def event_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000)
         .option("maxFilesPerTrigger", files_per_batch)
         .parquet(folder)
     )
-    # Event time must be an instant: wall-clock time counts as UTC, whatever the session zone is.
-    return raw.withColumn("ts", F.timestamp_micros(F.timestamp_diff("MICROSECOND", _epoch(), F.col("ts"))))
+    return raw.withColumn("ts", instant(F.col("ts")))
+
+
+def instant(wall: Column) -> Column:
+    """Event time must be an instant: wall-clock time counts as UTC, whatever the session zone is."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", _epoch(), wall))
 
 
 def wall_clock(instant: Column) -> Column:

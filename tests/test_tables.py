@@ -107,7 +107,7 @@ def test_nearest_against_brute_force(spark, monkeypatch):
     s = spark.createDataFrame(store, "vec_id bigint, embedding array<float>").repartition(5)
     qs = spark.createDataFrame(queries, "query_id bigint, vector array<double>")
     for limit in (2048, 2):
-        monkeypatch.setattr(vectors, "MAX_QUERIES_PER_PASS", limit)
+        monkeypatch.setattr(vectors, "MAX_CLOSURE_QUERIES", limit)
         for k, threshold in ((5, -1.0), (400, 0.3)):
             got = {}
             for r in vectors.nearest(s, qs, k, threshold).orderBy("query_id", "rank").collect():
