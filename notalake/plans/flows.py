@@ -50,13 +50,33 @@ def expiring_dedupe_stream(spark: SparkSession, folder: str) -> DataFrame:
     sql=f"""WITH {q.HEADERS} SELECT 'doc_' || id || '.xml' AS file_name, coalesce(document_type, 'NFe') AS tipo_documento, numero FROM h WHERE id % 50 < 46""",
 )
 def xml_ingest_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """XML texts arrive as a stream, every batch lands in its own folder, the newest version of each is read."""
+    """XML texts arrive as a stream, every batch rewrites the buckets it touches, the newest version of each is read."""
+    return jobs.current_documents(spark, f"{_ingested(spark, folder)}/documents").select("file_name", "tipo_documento", "numero")
+
+
+def _ingested(spark: SparkSession, folder: str) -> str:
+    """Where the documents, links and rejects of a stream over all XML documents are."""
     base = fresh_folder(spark, "ingest")
     name = F.concat(F.lit("doc_"), F.col("id").cast("string"), F.lit(".xml"))
     xt.order_documents(spark, folder).select(name.alias("file_name"), "xml").write.parquet(f"{base}/inbox")
     arriving = spark.readStream.schema("file_name string, xml string").option("maxFilesPerTrigger", 64).parquet(f"{base}/inbox")
-    jobs.ingest_xml(arriving, f"{base}/documents", f"{base}/rejected", f"{base}/ckpt")
-    return jobs.current_documents(spark, f"{base}/documents").select("file_name", "tipo_documento", "numero")
+    jobs.ingest_xml(arriving, f"{base}/documents", f"{base}/rejected", f"{base}/ckpt", f"{base}/links")
+    return base
+
+
+@register(
+    "ingested_links", "STR1", "XML6", "JOIN9",
+    sql=f"""WITH {q.HEADERS}, g AS (SELECT id, coalesce(document_type, 'NFe') AS tipo FROM h WHERE id % 50 < 46), m AS (SELECT id AS manifest_id, id + unnest([1, 2, 7]) AS linked_id FROM g WHERE tipo = 'MDFe')
+SELECT 'doc_' || manifest_id || '.xml' AS file_name, lpad(CAST(linked_id AS VARCHAR), 44, '0') AS chave, '5.00' AS valor, n.id IS NOT NULL AS is_stored
+FROM m LEFT JOIN (SELECT id FROM g WHERE tipo IN ('NFe', 'NFCe')) n ON n.id = linked_id""",
+)
+def ingested_links(spark: SparkSession, folder: str) -> DataFrame:
+    """What the manifests of the stream carry, and whether the note behind each key was ingested as well."""
+    base = _ingested(spark, folder)
+    links = spark.read.schema("file_name string, chave string, valor string").parquet(f"{base}/links")
+    notes = jobs.current_documents(spark, f"{base}/documents").filter(F.col("tipo_documento").isin("NFe", "NFCe"))
+    known = notes.select(F.col("chave_id").alias("chave"), F.lit(True).alias("known")).dropDuplicates(["chave"])
+    return links.join(known, "chave", "left").select("file_name", "chave", "valor", F.coalesce("known", F.lit(False)).alias("is_stored"))
 
 
 @register(

@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import extract_xml
-from ..operators.relate import latest
+from ..operators import bucket_store, extract_xml
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -117,18 +116,20 @@ def xml_stream(spark: SparkSession, folder: str, files_per_batch: int = 10_000)
     return files.select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("xml"))
 
 
-def ingest_xml(files: DataFrame, table: str, rejected: str, checkpoint: str, links: str | None = None) -> StreamingQuery:
+def ingest_xml(files: DataFrame, table: str, rejected: str, checkpoint: str, links: str, buckets: int = 64) -> StreamingQuery:
     """XML job per micro-batch: documents, what manifests carry (`links`), and rejects, out of one parse.
 
-    A batch owns one folder of each table and overwrites it, so a replayed batch adds nothing twice.
+    Documents go to a bucketed table, newest version of a file last. Of the others a batch owns one folder
+    and overwrites it. A replayed batch adds nothing twice; a new checkpoint needs new tables.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         parsed = extract_xml.parsed(batch).persist()
         docs = extract_xml.documents_of(parsed, "file_name").persist()
-        docs.drop("_unloading").withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
-        if links is not None:
-            extract_xml.linked_documents(docs, "file_name").withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{links}/batch_id={batch_id}")
+        rows = docs.drop("_unloading").withColumn("batch", F.lit(batch_id).cast("bigint"))
+        bucket_store.create(batch.sparkSession, table, rows.schema, ["file_name"], buckets)
+        bucket_store.upsert(rows, table, [F.desc("batch")], batch_id)
+        extract_xml.linked_documents(docs, "file_name").withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{links}/batch_id={batch_id}")
         extract_xml.rejects_of(parsed, "file_name").write.mode("overwrite").parquet(f"{rejected}/batch_id={batch_id}")
         docs.unpersist()
         parsed.unpersist()
@@ -139,5 +140,5 @@ def ingest_xml(files: DataFrame, table: str, rejected: str, checkpoint: str, lin
 
 
 def current_documents(spark: SparkSession, table: str) -> DataFrame:
-    """The newest version of every file ever ingested: upserts are resolved when read."""
-    return latest(spark.read.parquet(table), ["file_name"], F.desc("batch"))
+    """The newest version of every file ever ingested, as its bucket holds it."""
+    return bucket_store.current(spark, table)
