@@ -49,7 +49,7 @@ END = digest(b"")  # words are never empty
 
 @dataclass(frozen=True)
 class Model:
-    budget: int = 3 << 19  # tokens in one group
+    budget: int = 1 << 20  # tokens in one group
     buffer: int = 1 << 20  # tokens a task deals out at a time
     coded: int = CODED_WORDS
 
