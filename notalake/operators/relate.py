@@ -39,9 +39,46 @@ def cascade_delete_all(children: dict[str, tuple[DataFrame, str]], deleted: Data
     return {name: df.join(gone.withColumnRenamed(key, column), column, "left_anti") for name, (df, column) in children.items()}
 
 
-def append(df: DataFrame, path: str) -> DataFrame:
-    """Adds rows to the table at `path`, and gives the whole table. A write that fails leaves no rows behind."""
-    df.write.mode("append").parquet(path)
+def cascade_levels(levels: list[tuple[str, DataFrame, str, str]], deleted: DataFrame, key: str) -> dict[str, DataFrame]:
+    """Tables below one another without what hangs on deleted rows, at any depth.
+
+    levels, from the top: (name, table, its own key, its key to the level above). Only keys go from level
+    to level; the plan has one anti-join a table.
+    """
+    gone, left = deleted.select(F.col(key).alias("_gone")).distinct(), {}
+    for name, df, own, above in levels:
+        left[name] = df.join(gone, F.col(above) == F.col("_gone"), "left_anti")
+        gone = df.join(gone, F.col(above) == F.col("_gone"), "left_semi").select(F.col(own).alias("_gone")).distinct()
+    return left
+
+
+def left_join_split(left: DataFrame, right: DataFrame, key: str, apart: list[str], least: int = 1_000_000) -> DataFrame:
+    """`left` LEFT JOIN `right` on `key`, with the right rows of a heavy key split over many tasks.
+
+    AQE can split a hot key only on the side that is kept, so here the heavy keys are found first: more
+    than `least` rows and more than a ten-thousandth of all, so there are never more than ten thousand
+    of them. Their right rows are dealt by `apart`, columns that tell rows apart, their left rows are repeated
+    once a part; a heavy key always has a match, so that join is an inner one. All other keys join as usual.
+    """
+    counts = right.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    least = max(least, right.count() // 10_000)
+    heavy = F.broadcast(counts.filter(F.col("_n") > least).select(key, F.ceil(F.col("_n") / least).cast("int").alias("_ways")))
+    usual = left.join(heavy, key, "left_anti").join(right.join(heavy, key, "left_anti"), key, "left")
+    repeated = left.join(heavy, key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_ways") - 1))).drop("_ways")
+    dealt = right.join(heavy, key).withColumn("_part", F.pmod(F.xxhash64(*apart), F.col("_ways")).cast("int")).drop("_ways")
+    return usual.unionByName(repeated.join(dealt, [key, "_part"]).drop("_part"))
+
+
+def append(df: DataFrame, path: str, batch: str | None = None) -> DataFrame:
+    """Adds rows to the table at `path`, and gives the whole table.
+
+    A write that fails leaves no rows behind. With a `batch` name the rows have a folder of their own, and
+    an append that is repeated under the same name, after a failure of what comes later, adds nothing twice.
+    """
+    if batch is None:
+        df.write.mode("append").parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -51,9 +88,15 @@ def rewritten(df: DataFrame, keep: Column, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_cached(candidates: DataFrame, cached: DataFrame, digest: str) -> DataFrame:
-    """Each digest of the candidates once, with `cached` saying whether its stored result serves."""
-    known = cached.select(digest).distinct().withColumn("cached", F.lit(True))
+def with_cached(candidates: DataFrame, cached: DataFrame, digest: str, *results: str) -> DataFrame:
+    """Each digest of the candidates once, with `cached` saying whether a stored result serves, and the results themselves.
+
+    Where the cache has several rows of a digest, the results are those of one row, the least.
+    """
+    if results:
+        known = cached.groupBy(digest).agg(F.min(F.struct(*results)).alias("_r"), F.lit(True).alias("cached")).select(digest, "cached", "_r.*")
+    else:
+        known = cached.select(digest).distinct().withColumn("cached", F.lit(True))
     return candidates.select(digest).distinct().join(known, digest, "left").withColumn("cached", F.coalesce("cached", F.lit(False)))
 
 

@@ -6,18 +6,14 @@ from functools import reduce
 from operator import and_, or_
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import reference_data as ref
 from ..functions.codes import digits_only
-from ..session import bounded_rows
 
 EXACT_FACETS = {"id", "fiscal_document_id", "session_id"}
 REGISTRATION_FACETS = {"issuer_cnpj", "recipient_cnpj"}
-# Beyond this many skipped rows a page is located by day counts instead of being sorted from the start.
-SHALLOW_OFFSET = 10_000
-MAX_DAYS = 100_000
 
 
 def facet_filter(df: DataFrame, **facets: Any) -> DataFrame:
@@ -83,43 +79,56 @@ def ordering(order_by: str, direction: str = "desc") -> Column:
 def page(
     df: DataFrame, number: int = 1, size: int = 10, order_by: str = "created_at", direction: str = "desc", tie: str = "id"
 ) -> DataFrame:
-    """One page. A tie-break makes pages disjoint.
+    """One page, as a top-k of each task. A tie-break makes pages disjoint.
 
-    A shallow page is a top-k per partition. For a deep page ordered by time, the days before it are
-    counted first (one small row per day) and only the days that hold the page are sorted.
+    Each task sends the rows up to the page's end, so this is for the first pages of a list; a list that
+    is paged through has a `rank_index`, or goes on from its last row (`page_after`).
     """
     size = size if size > 0 else 10
+    return df.orderBy(ordering(order_by, direction), tie).offset((number - 1) * size).limit(size)
+
+
+def rank_index(df: DataFrame, path: str, order_by: str = "created_at", direction: str = "desc", tie: str = "id", ranges: int = 64) -> None:
+    """Writes the list in order, in `ranges` folders of about the same number of rows, with the rows before each.
+
+    The order includes the tie-break, so rows with one sort key spread over folders as well.
+    """
+    order = (ordering(order_by, direction), F.asc_nulls_first(tie))
+    dealt = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    dealt.withColumn("range_no", F.spark_partition_id()).write.mode("overwrite").partitionBy("range_no").parquet(f"{path}/rows")
+    spark = df.sparkSession
+    counts = spark.read.parquet(f"{path}/rows").groupBy("range_no").agg(F.count("*").alias("n_rows"))
+    before = F.coalesce(F.sum("n_rows").over(Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row a range
+    counts.select("range_no", "n_rows", before.alias("rows_before")).coalesce(1).write.mode("overwrite").parquet(f"{path}/ranges")
+
+
+def ranked_page(
+    spark: SparkSession, path: str, number: int = 1, size: int = 10, order_by: str = "created_at", direction: str = "desc", tie: str = "id"
+) -> DataFrame:
+    """A page of a `rank_index`, at any depth: only the folders that hold it are opened."""
+    size = size if size > 0 else 10
     offset = (number - 1) * size
-    if offset > SHALLOW_OFFSET and order_by in ("created_at", "updated_at"):
-        found = _skip_days(df, order_by, direction, offset, size)
-        if found is not None:
-            df, offset = found
-    return df.orderBy(ordering(order_by, direction), tie).offset(offset).limit(size)
-
-
-def _skip_days(df: DataFrame, column: str, direction: str, offset: int, size: int) -> tuple[DataFrame, int] | None:
-    day = F.col(column).cast("date")
-    counts = bounded_rows(df.groupBy(day.alias("day")).count(), MAX_DAYS)
-    if counts is None:
-        return None
-    descending = direction.lower() == "desc"
-    counts.sort(key=lambda r: (r["day"] is not None, r["day"] or 0) if not descending else (r["day"] is None, r["day"] or 0), reverse=descending)
-    if not descending:
-        counts.sort(key=lambda r: r["day"] is None)
-    wanted, passed, skipped = [], 0, 0
-    for row in counts:
-        if passed + row["count"] <= offset:
-            skipped += row["count"]
-        elif passed < offset + size:
-            wanted.append(row["day"])
-        passed += row["count"]
-    if not wanted:
-        return df.limit(0), 0
-    days = [d for d in wanted if d is not None]
-    keep = day.between(F.lit(min(days)), F.lit(max(days))) if days else F.lit(False)
-    if None in wanted:
-        keep = keep | F.col(column).isNull()
-    return df.filter(keep), offset - skipped
+    held = (F.col("rows_before") < offset + size) & (F.col("rows_before") + F.col("n_rows") > offset)
+    opened = spark.read.parquet(f"{path}/ranges").filter(held).collect()  # at most one row a range
+    rows = spark.read.parquet(f"{path}/rows")
+    inside = rows.filter(F.col("range_no").isin([r["range_no"] for r in opened])).drop("range_no")
+    skipped = offset - min((r["rows_before"] for r in opened), default=offset)
+    return inside.orderBy(ordering(order_by, direction), F.asc_nulls_first(tie)).offset(skipped).limit(size)
+
+
+def page_after(
+    df: DataFrame, last_key: Any, last_tie: Any, size: int = 10, order_by: str = "created_at", direction: str = "desc", tie: str = "id"
+) -> DataFrame:
+    """The page that follows the row with this sort key and tie-break; no row before it is sorted."""
+    column = order_by if order_by in ref.SORTABLE else "created_at"
+    key, descending = F.col(column), direction.lower() == "desc"
+    if last_key is None:
+        follows = (key.isNull() & (F.col(tie) > F.lit(last_tie))) | (key.isNotNull() if descending else F.lit(False))
+    else:
+        beyond = key < F.lit(last_key) if descending else (key > F.lit(last_key)) | key.isNull()
+        follows = beyond | ((key == F.lit(last_key)) & (F.col(tie) > F.lit(last_tie)))
+    return df.filter(follows).orderBy(ordering(order_by, direction), tie).limit(size if size > 0 else 10)
 
 
 def page_totals(df: DataFrame, number: int, size: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..operators import records, search, validate
+from ..session import fresh_folder
 from ..sources import fiscal_view as fv
 from ..sources.tables import table, target_columns
 from . import sqlviews as q
@@ -69,11 +70,35 @@ def facet_filter_page(spark: SparkSession, folder: str) -> DataFrame:
 ORDER BY created_at DESC NULLS FIRST, id LIMIT 100 OFFSET 12000""",
 )
 def deep_page(spark: SparkSession, folder: str) -> DataFrame:
-    """A page far down the list: whole days before it are skipped by their counts."""
-    found = search.page(listing(spark, folder), 121, 100, "created_at", "desc")
+    """A page far down the list: only the ranges that hold it are opened."""
+    path = fresh_folder(spark, "pages")
+    search.rank_index(listing(spark, folder), path, "created_at", "desc")
+    found = search.ranked_page(spark, path, 121, 100, "created_at", "desc")
     return found.select("id", F.date_format("created_at", "yyyy-MM-dd").alias("created_on"))
 
 
+@register(
+    "deep_page_by_type", "WIN4", "WIN5",
+    sql=f"""{LIST} SELECT id, document_type FROM d ORDER BY document_type NULLS LAST, id LIMIT 50 OFFSET 11000""",
+)
+def deep_page_by_type(spark: SparkSession, folder: str) -> DataFrame:
+    """A deep page under a sort key of a handful of values: the tie-break spreads their rows over ranges."""
+    path = fresh_folder(spark, "pages")
+    search.rank_index(listing(spark, folder), path, "document_type", "asc", ranges=16)
+    return search.ranked_page(spark, path, 221, 50, "document_type", "asc").select("id", "document_type")
+
+
+@register(
+    "next_page", "WIN5",
+    sql=f"""{LIST}, p AS (SELECT id, total_value, row_number() OVER (ORDER BY total_value DESC NULLS FIRST, id) AS n FROM d) SELECT id, total_value FROM p WHERE n > 40 AND n <= 70""",
+)
+def next_page(spark: SparkSession, folder: str) -> DataFrame:
+    """The thirty rows after the second page of twenty, from that page's last row."""
+    docs = listing(spark, folder)
+    last = search.page(docs, 2, 20, "total_value").select("total_value", "id").tail(1)[0]
+    return search.page_after(docs, last["total_value"], last["id"], 30, "total_value").select("id", "total_value")
+
+
 @register(
     "facet_page_totals", "AGG11",
     sql=f"{LIST} SELECT count(*) AS total, CAST(2 AS BIGINT) AS page, CAST(25 AS BIGINT) AS page_size, CAST(ceil(count(*) / 25.0) AS BIGINT) AS total_pages FROM d WHERE {FACET_SQL}",

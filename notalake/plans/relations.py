@@ -171,6 +171,18 @@ def documents_with_insights(spark: SparkSession, folder: str) -> DataFrame:
     return d.join(s, "doc_id", "left").join(e, "doc_id", "left")
 
 
+@register(
+    "documents_with_hot_insights", "JOIN4",
+    sql="""WITH e AS (SELECT CASE WHEN event_id % 2 = 0 THEN 3 ELSE user_id END AS doc_id, event_id AS insight_id, event_type AS insight_type FROM events)
+SELECT d.doc_id, insight_id, insight_type FROM documents d LEFT JOIN e ON e.doc_id = d.doc_id""",
+)
+def documents_with_hot_insights(spark: SparkSession, folder: str) -> DataFrame:
+    """One document has half of all insights: their rows are split, its own row is repeated."""
+    key = F.when(F.col("event_id") % 2 == 0, F.lit(3).cast("bigint")).otherwise(F.col("user_id"))
+    e = table(spark, folder, "events").select(key.alias("doc_id"), F.col("event_id").alias("insight_id"), F.col("event_type").alias("insight_type"))
+    return relate.left_join_split(table(spark, folder, "documents").select("doc_id"), e, "doc_id", ["insight_id"], least=1000)
+
+
 @register("id_list_lookup", "JOIN7", "SET2", sql="SELECT o_orderkey AS id, o_totalprice FROM orders WHERE o_orderkey IN (SELECT user_id FROM events)")
 def id_list_lookup(spark: SparkSession, folder: str) -> DataFrame:
     ids = table(spark, folder, "events").select(F.col("user_id").alias("id"))
@@ -376,6 +388,22 @@ def cascade_delete(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.union, counted)
 
 
+@register(
+    "cascade_levels", "WRT5",
+    sql="""WITH n AS (SELECT n_nationkey FROM nation WHERE n_regionkey = 2), c AS (SELECT c_custkey FROM customer WHERE c_nationkey IN (FROM n)), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (FROM c))
+SELECT 'customer' AS level, c_custkey AS key, count(*) AS n_rows FROM customer WHERE c_nationkey NOT IN (FROM n) GROUP BY ALL
+UNION ALL SELECT 'orders', o_orderkey, count(*) FROM orders WHERE o_custkey NOT IN (FROM c) GROUP BY ALL
+UNION ALL SELECT 'lineitem', l_orderkey, count(*) FROM lineitem WHERE l_orderkey NOT IN (FROM o) GROUP BY ALL""",
+)
+def cascade_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """The nations of a region go, and with them their customers, those customers' orders and their lines."""
+    gone = table(spark, folder, "nation").filter("n_regionkey = 2").select("n_nationkey")
+    keys = {"customer": ("c_custkey", "c_nationkey"), "orders": ("o_orderkey", "o_custkey"), "lineitem": ("l_orderkey", "l_orderkey")}
+    left = relate.cascade_levels([(n, table(spark, folder, n), own, above) for n, (own, above) in keys.items()], gone, "n_nationkey")
+    counted = [df.groupBy(F.lit(n).alias("level"), F.col(keys[n][0]).alias("key")).agg(F.count("*").alias("n_rows")) for n, df in left.items()]
+    return reduce(DataFrame.union, counted)
+
+
 @register(
     "status_update", "WRT6",
     sql="SELECT d.doc_id, coalesce(CASE quality WHEN 1 THEN 'completed' WHEN 0 THEN 'failed' END, 'pending') AS embedding_status FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
@@ -420,6 +448,17 @@ def cached_results(spark: SparkSession, folder: str) -> DataFrame:
     return relate.with_cached(d, d.join(table(spark, folder, "labels").select("doc_id"), "doc_id", "left_semi"), "digest")
 
 
+@register(
+    "cached_answers", "WRT11", "FN12",
+    sql="""WITH c AS (SELECT sha256(d.text) AS digest, min({'q': quality, 't': toxic}) AS r FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1)
+SELECT DISTINCT sha256(text) AS digest, r IS NOT NULL AS cached, r.q AS quality, r.t AS toxic FROM documents LEFT JOIN c ON c.digest = sha256(text)""",
+)
+def cached_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Each distinct text once, with the stored result of a labelled document of the same content where there is one."""
+    d = table(spark, folder, "documents").select("doc_id", content_key(F.col("text")).alias("digest"))
+    return relate.with_cached(d, d.join(table(spark, folder, "labels"), "doc_id"), "digest", "quality", "toxic")
+
+
 @register(
     "unseen_only", "WRT11", "FN12",
     sql="SELECT DISTINCT sha256(text) AS digest FROM documents WHERE sha256(text) NOT IN (SELECT sha256(d.text) FROM documents d JOIN labels l ON l.doc_id = d.doc_id)",

@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 
 from .. import reference_data as ref
 from ..functions import text as t
-from ..operators import chunking, vectors
+from ..operators import chunking, embedding, vectors
 from ..operators.stages import spread
+from ..session import fresh_folder
 from ..sources.tables import table
 from .registry import register
 
@@ -139,6 +140,30 @@ def embedded_chunks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def counting_model():
+    """A stand-in model, opened once a worker: length and number of e, nothing for a short text."""
+    return lambda texts: [[float(len(t)), float(t.count("e"))] if len(t) >= 400 else None for t in texts]
+
+
+@register(
+    "embedded_once", "UDF1", "WRT11", "FN12",
+    sql=rf"""WITH w AS (SELECT doc_id, text, unnest(range(0, greatest(CAST(ceil((length(text) - 1200) / 1000.0) AS BIGINT), 0) + 1)) AS i FROM documents),
+c AS (SELECT doc_id, i, {TRIM("substr(text, i * 1000 + 1, 1200)")} AS content FROM w),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n, length(content)::DOUBLE AS a, (length(content) - length(replace(content, 'e', '')))::DOUBLE AS b FROM c WHERE content <> ''),
+s AS (SELECT count(DISTINCT content) AS n FROM k)
+SELECT doc_id, k.n AS chunk_number, CASE WHEN a >= 400 THEN round(CAST(CAST(a / sqrt(a * a + b * b) AS FLOAT) AS DOUBLE), 4) END AS x, CASE WHEN a >= 400 THEN round(CAST(CAST(b / sqrt(a * a + b * b) AS FLOAT) AS DOUBLE), 4) END AS y, CAST(s.n AS BIGINT) AS texts_embedded FROM k, s""",
+)
+def embedded_once(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks with vectors out of a written cache: the model sees a text once, whichever document and run it comes in."""
+    rows = chunking.chunk_table(_docs(spark, folder), "doc_id", t.fixed_chunks(F.col("text")))
+    cache = fresh_folder(spark, "vectors")
+    embedding.embedded(rows.filter("doc_id % 2 = 0"), "content_text", counting_model, cache, "even")
+    made = embedding.embedded(rows, "content_text", counting_model, cache, "all")
+    entries = spark.read.schema(embedding.CACHE).parquet(cache).agg(F.count("*").alias("n")).scalar()
+    part = lambda i: F.round(F.get("embedding", F.lit(i)).cast("double"), 4)
+    return made.select("doc_id", F.col("chunk_number").cast("bigint").alias("chunk_number"), part(0).alias("x"), part(1).alias("y"), entries.alias("texts_embedded"))
+
+
 # ---------------------------------------------------------------- vectors
 # The mean vector of each label stands for a question about that document type.
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from notalake.functions.text import clean_wide
-from notalake.operators import chunking, conversations, profile, records, relate, search, vectors
+from notalake.operators import embedding, chunking, conversations, profile, records, relate, search, vectors
 from notalake.session import checkpoint_root
 from notalake.sources import exports, files
 from notalake.streaming import jobs
@@ -31,14 +31,71 @@ def test_facets(spark):
     assert ids(search.exact_filter(df, document_type="NFe", missing=1)) == [r[0] for r in rows if r[1]]
 
 
-def test_deep_pages_equal_shallow_ones(spark, monkeypatch):
+@pytest.mark.parametrize("column,direction", [("created_at", "desc"), ("created_at", "asc"), ("total_value", "desc"), ("total_value", "asc"), ("document_type", "asc")])
+def test_pages_at_any_depth(spark, tmp_path, column, direction):
+    """By top-k, by rank index and by keyset: the same rows, nulls and equal keys among them."""
     df, _ = docs(spark)
-    for direction in ("desc", "asc"):
-        expected = [r["id"] for r in df.orderBy(search.ordering("created_at", direction), "id").collect()]
-        monkeypatch.setattr(search, "SHALLOW_OFFSET", -1)
-        got = [r["id"] for n in range(1, 9) for r in search.page(df, n, 7, "created_at", direction).collect()]
-        assert got == expected[: len(got)] and len(got) == 56
-        assert search.page(df, 100, 7, "created_at", direction).count() == 0
+    expected = [r["id"] for r in df.orderBy(search.ordering(column, direction), "id").collect()]
+    search.rank_index(df, str(tmp_path), column, direction, ranges=9)
+    size, last = 7, (-(-len(expected) // 7))
+    for n in (1, 2, 5, last, last + 1):
+        want = expected[(n - 1) * size : n * size]
+        assert [r["id"] for r in search.page(df, n, size, column, direction).collect()] == want
+        assert [r["id"] for r in search.ranked_page(spark, str(tmp_path), n, size, column, direction).collect()] == want
+    for n in (0, 14, 15, 16, 30):
+        row = df.filter(F.col("id") == expected[n]).first()
+        assert [r["id"] for r in search.page_after(df, row[column], row["id"], size, column, direction).collect()] == expected[n + 1 : n + 1 + size]
+    deep = search.ranked_page(spark, str(tmp_path), 5, size, column, direction)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [range_no" in deep
+
+
+def test_heavy_keys_of_an_outer_join_are_split(spark):
+    left = spark.createDataFrame([(i, f"d{i}") for i in range(50)] + [(3, "twice"), (None, "none")], "k bigint, name string")
+    rows = [(3 if i % 2 else i % 40, i) for i in range(4000)] + [(None, -1), (99, -2)]
+    right = spark.createDataFrame(rows, "k bigint, event bigint").repartition(4)
+    got = relate.left_join_split(left, right, "k", ["event"], least=200)
+    want = left.join(right, "k", "left")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        split = relate.left_join_split(left, right, "k", ["event"], least=25).groupBy(F.spark_partition_id()).count()
+        sizes = sorted(r["count"] for r in split.collect())
+        assert sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_deletes_go_down_all_levels(spark):
+    session = spark.createDataFrame([(1,), (2,)], "s int")
+    message = spark.createDataFrame([(10, 1), (11, 2), (12, 1)], "m int, s int")
+    chunk = spark.createDataFrame([(100, 10), (101, 11), (102, 12), (103, None)], "c int, m int")
+    part = spark.createDataFrame([(100,), (101,), (102,), (103,)], "c int")
+    left = relate.cascade_levels([("message", message, "m", "s"), ("chunk", chunk, "c", "m"), ("part", part, "c", "c")], session.filter("s = 1"), "s")
+    assert {n: sorted(tuple(r)[0] for r in df.collect()) for n, df in left.items()} == {"message": [11], "chunk": [101, 103], "part": [101, 103]}
+
+
+def test_texts_are_embedded_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def model():
+        def run(texts):
+            seen.add(len(texts))
+            return [[3.0 * len(t), 4.0 * len(t)] if t else None for t in texts]
+
+        return run
+
+    rows = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "id int, t string").repartition(2)
+    first = embedding.embedded(rows("a", "b", "a", "", None), "t", model, str(tmp_path), "one")
+    got = {r["id"]: r["embedding"] for r in first.collect()}
+    assert [round(x, 6) for x in got[0]] == [0.6, 0.8] and got[0] == got[2] and got[3] is None and got[4] is None and len(got) == 5
+    assert seen.value == 3
+    for _ in range(2):  # the second time replaces its own entries
+        second = embedding.embedded(rows("b", "c", "", "c"), "t", model, str(tmp_path), "two")
+        assert sum(r["embedding"] is not None for r in second.collect()) == 3
+    assert seen.value == 5
+    assert spark.read.schema(embedding.CACHE).parquet(str(tmp_path)).count() == 4
 
 
 def test_nulls_lead_descending_pages(spark):
