@@ -103,10 +103,20 @@ def item_rules() -> list[Rule]:
     ]
 
 
-def header_rules() -> list[Rule]:
-    """Rules of the document itself: type, parties, operation code, identification."""
+def resolved_type(document_type: Column, other_type: Column, text: Column, key: Column) -> Column:
+    """The type of a document that may not state it: its other type field, then names in its text, then in its key."""
+    named = lambda c: F.coalesce(*[F.when(F.lower(c).contains(t), F.lit(t.upper())) for t in ("nfe", "cte", "mdfe")])
+    stated = lambda c: F.nullif(F.upper(c), F.lit(""))
+    return F.coalesce(stated(document_type), stated(other_type), named(text), named(key), F.lit("DESCONHECIDO"))
+
+
+def header_rules(typed: bool = False) -> list[Rule]:
+    """Rules of the document itself: type, parties, operation code, identification.
+
+    With `typed`, the type that is judged is the column `resolved_type`.
+    """
     kind = F.upper(F.coalesce(F.col("document_type"), F.lit("")))
-    resolved = F.when(kind == "", F.lit("DESCONHECIDO")).otherwise(kind)
+    resolved = F.col("resolved_type") if typed else F.when(kind == "", F.lit("DESCONHECIDO")).otherwise(kind)
     cnpj, recipient = F.trim("emitente_cnpj"), F.trim("destinatario_doc")
     is_company = F.length(digits_only(recipient)) > 11
     return [
@@ -165,18 +175,27 @@ def states_plain_amount() -> Column:
     return (F.coalesce(F.col("document_type"), F.lit("")) == "CTe") & F.col("icms_cst").isNull() & F.col("icms_csosn").isNull()
 
 
-def tax_rules() -> list[Rule]:
+def tax_rules(forms: bool = False) -> list[Rule]:
     """Taxes of goods documents, and of cargo documents that give their ICMS as a group.
 
     Without a tax block (`has_taxes` false) ICMS and IPI are missing, both as errors, and nothing else is said.
+    With `forms`, columns `icms_form`, `ipi_form`, `pis_form` and `cofins_form` say of a tax without a code
+    whether it is a `number` or a `group`. A number as ICMS ends the check of the block, unless it is 0; an
+    ICMS group without a code is no finding; other taxes without a code count as code 00.
     """
     goods = ~states_plain_amount()
-    given = goods & F.coalesce(F.col("has_taxes"), F.lit(True))
+    block = F.coalesce(F.col("has_taxes"), F.lit(True))
+    form = lambda tax: F.col(f"{tax}_form") if forms else F.lit(None).cast("string")
+    coded = lambda tax: F.col(f"{tax}_cst").isNotNull()
+    amount = lambda tax: F.coalesce(F.col(f"{tax}_cents"), F.lit(0))
+    uncoded = lambda tax: ~coded(tax) & F.coalesce((form(tax) == "group") | ((form(tax) == "number") & (amount(tax) != 0)), F.lit(False))
+    icms_uncoded = uncoded("icms") & F.col("icms_csosn").isNull()
+    given = goods & block & ~(icms_uncoded & (F.coalesce(form("icms"), F.lit("")) == "number"))
     cst, csosn = zero_fill(F.col("icms_cst"), 2), zero_fill(F.col("icms_csosn"), 3)
     normal = given & F.col("icms_cst").isNotNull()
     simples = given & F.col("icms_cst").isNull() & F.col("icms_csosn").isNotNull()
-    ipi = zero_fill(F.col("ipi_cst"), 2)
-    has_ipi = given & F.col("ipi_cst").isNotNull()
+    ipi = F.coalesce(zero_fill(F.col("ipi_cst"), 2), F.lit("00"))
+    has_ipi = given & (coded("ipi") | uncoded("ipi"))
     number = lambda name: F.coalesce(F.col(name), F.lit(0))
     rules = [
         Rule("icms_cst_invalid", ERROR, normal & ~cst.isin(ref.ICMS_CST), F.concat(F.lit("CST ICMS "), cst, F.lit(" inválido"))),
@@ -187,7 +206,7 @@ def tax_rules() -> list[Rule]:
             F.concat(F.lit("ICMS com valor zerado para CST "), cst),
         ),
         Rule("icms_csosn_invalid", ERROR, simples & ~csosn.isin(ref.CSOSN), F.concat(F.lit("CSOSN "), csosn, F.lit(" inválido"))),
-        Rule("icms_missing", ERROR, goods & ~normal & ~simples, F.lit("ICMS não informado")),
+        Rule("icms_missing", ERROR, goods & ~normal & ~simples & ~(block & icms_uncoded), F.lit("ICMS não informado")),
         Rule("ipi_cst_invalid", ERROR, has_ipi & ~ipi.isin(ref.IPI_CST), F.concat(F.lit("CST IPI "), ipi, F.lit(" inválido"))),
         Rule(
             "ipi_value_unexpected",
@@ -195,8 +214,8 @@ def tax_rules() -> list[Rule]:
             has_ipi & ~ipi.isin(ref.IPI_CST_NO_WARNING) & ((number("ipi_rate") > 0) | (number("ipi_cents") > 0)),
             F.concat(F.lit("IPI com valor/alíquota para CST "), ipi),
         ),
-        Rule("ipi_missing", WARNING, given & F.col("ipi_cst").isNull(), F.lit("IPI não informado")),
-        Rule("ipi_missing_with_block", ERROR, goods & ~given, F.lit("IPI não informado")),
+        Rule("ipi_missing", WARNING, given & ~coded("ipi") & ~uncoded("ipi"), F.lit("IPI não informado")),
+        Rule("ipi_missing_with_block", ERROR, goods & ~block, F.lit("IPI não informado")),
     ]
     for tax in ("pis", "cofins"):
         code = zero_fill(F.col(f"{tax}_cst"), 2)
@@ -207,7 +226,7 @@ def tax_rules() -> list[Rule]:
                 given & code.isin(ref.PIS_COFINS_CST_TAXED) & ((number(f"{tax}_rate") <= 0) | (number(f"{tax}_cents") <= 0)),
                 F.concat(F.lit(f"{tax.upper()} com alíquota/valor zerado para CST "), code),
             ),
-            Rule(f"{tax}_missing", WARNING, given & F.col(f"{tax}_cst").isNull(), F.lit(f"{tax.upper()} não informado")),
+            Rule(f"{tax}_missing", WARNING, given & ~coded(tax) & ~uncoded(tax), F.lit(f"{tax.upper()} não informado")),
         ]
     rules.append(
         Rule(
@@ -285,9 +304,11 @@ def verdicts(documents: DataFrame, items: DataFrame) -> DataFrame:
     """id, n_items, n_errors, n_warnings, calculated_cents, status (error / warning / success).
 
     Header and tax rules are counted before the join, so a document crosses the network as a handful
-    of numbers. Join and final aggregation share one partitioning by document.
+    of numbers. Join and final aggregation share one partitioning by document. `resolved_type` and the
+    forms of taxes without codes are used where `documents` has those columns.
     """
-    document_rules = header_rules() + tax_rules() + cargo_tax_rules()
+    typed, forms = "resolved_type" in documents.columns, "icms_form" in documents.columns
+    document_rules = header_rules(typed) + tax_rules(forms) + cargo_tax_rules()
     narrow = documents.select(
         "id",
         F.trim("cfop").alias("doc_cfop"),

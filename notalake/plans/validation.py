@@ -171,6 +171,63 @@ def tax_rules(spark: SparkSession, folder: str) -> DataFrame:
     return v.issues(fv.headers(spark, folder, costly=True), v.tax_rules(), "id").drop("seq")
 
 
+FORMS_SQL = """h AS (SELECT * REPLACE (CASE WHEN id % 3 <> 0 THEN icms_cst END AS icms_cst, CASE WHEN id % 3 <> 0 THEN icms_csosn END AS icms_csosn,
+    CASE WHEN id % 5 <> 0 THEN ipi_cst END AS ipi_cst, CASE WHEN id % 7 <> 0 THEN pis_cst END AS pis_cst),
+  CASE WHEN id % 3 = 0 THEN CASE WHEN id % 2 = 0 THEN 'number' ELSE 'group' END END AS icms_form, CASE WHEN id % 5 = 0 THEN CASE WHEN id % 4 < 2 THEN 'number' ELSE 'group' END END AS ipi_form,
+  CASE WHEN id % 7 = 0 THEN CASE WHEN id % 2 = 0 THEN 'number' ELSE 'group' END END AS pis_form FROM plain_h)"""
+FORM_GIVEN = "coalesce({0}_form = 'group' OR {0}_form = 'number' AND coalesce({0}_cents, 0) <> 0, false)".format
+UNCODED = f"(icms_cst IS NULL AND icms_csosn IS NULL AND {FORM_GIVEN('icms')})"
+FORM_BLOCK = f"(NOT {CARGO} AND has_taxes AND NOT coalesce({UNCODED} AND icms_form = 'number', false))"
+IPI_GIVEN = f"(ipi_cst IS NOT NULL OR {FORM_GIVEN('ipi')})"
+FORM_RULES = {
+    "icms_missing": f"NOT {CARGO} AND (NOT has_taxes OR icms_cst IS NULL AND icms_csosn IS NULL AND NOT {UNCODED})",
+    "ipi_missing": f"{FORM_BLOCK} AND NOT {IPI_GIVEN}",
+    "ipi_value_unexpected": f"{FORM_BLOCK} AND {IPI_GIVEN} AND coalesce(ipi_cst, '00') NOT IN ({q.quoted(ref.IPI_CST_NO_WARNING)}) AND (ipi_rate > 0 OR ipi_cents > 0)",
+    "pis_missing": f"{FORM_BLOCK} AND pis_cst IS NULL AND NOT {FORM_GIVEN('pis')}",
+    "ipi_missing_with_block": f"NOT {CARGO} AND NOT has_taxes",
+}
+FORM_SQL = [(n, s, FORM_RULES.get(n, c.replace(BLOCK, FORM_BLOCK)), m.replace("|| ipi_cst", "|| coalesce(ipi_cst, '00')")) for n, s, c, m in TAX_SQL]
+
+
+@register("tax_forms", "VAL9", sql=f"WITH {q.HEADERS.replace('h AS (', 'plain_h AS (', 1)}, {FORMS_SQL} {rule_union('h', 'id', FORM_SQL)}")
+def tax_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """Taxes given as plain numbers, or as groups without a code, beside those with codes."""
+    i = F.col("id")
+    form = lambda number: F.when(number, F.lit("number")).otherwise(F.lit("group"))
+    h = fv.headers(spark, folder, costly=True).withColumns(
+        {
+            "icms_form": F.when(i % 3 == 0, form(i % 2 == 0)),
+            "ipi_form": F.when(i % 5 == 0, form(i % 4 < 2)),
+            "pis_form": F.when(i % 7 == 0, form(i % 2 == 0)),
+            "cofins_form": F.lit(None).cast("string"),
+            "icms_cst": F.when(i % 3 != 0, F.col("icms_cst")),
+            "icms_csosn": F.when(i % 3 != 0, F.col("icms_csosn")),
+            "ipi_cst": F.when(i % 5 != 0, F.col("ipi_cst")),
+            "pis_cst": F.when(i % 7 != 0, F.col("pis_cst")),
+        }
+    )
+    return v.issues(h, v.tax_rules(forms=True), "id").drop("seq")
+
+
+@register(
+    "types_resolved", "VAL3",
+    sql=f"""WITH {q.HEADERS}, s AS (SELECT id, document_type, CASE WHEN id % 4 = 1 THEN 'cte' WHEN id % 4 = 2 THEN '' END AS other, CASE WHEN id % 5 < 2 THEN 'Chave: MDFe do Cliente' WHEN id % 5 = 2 THEN 'DANFE NFe' END AS text,
+  CASE WHEN id % 7 = 0 THEN 'CTe0001' WHEN id % 7 = 1 THEN 'MDFe1' END AS chave FROM h),
+r AS (SELECT id, CASE WHEN document_type IS NOT NULL THEN upper(document_type) WHEN other <> '' THEN upper(other) WHEN contains(lower(text), 'nfe') THEN 'NFE' WHEN contains(lower(text), 'cte') THEN 'CTE'
+  WHEN contains(lower(text), 'mdfe') THEN 'MDFE' WHEN contains(lower(chave), 'nfe') THEN 'NFE' WHEN contains(lower(chave), 'cte') THEN 'CTE' WHEN contains(lower(chave), 'mdfe') THEN 'MDFE' ELSE 'DESCONHECIDO' END AS resolved FROM s)
+SELECT id, resolved, CASE WHEN resolved NOT IN ('NFE', 'CTE', 'MDFE', 'NFCE') THEN 'Tipo de documento não reconhecido: ' || resolved || '. Algumas validações podem não ser aplicáveis.' END AS warning FROM r""",
+)
+def types_resolved(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents without a type: another type field, names in the text, names in the key, in this order."""
+    i = F.col("id")
+    other = F.when(i % 4 == 1, F.lit("cte")).when(i % 4 == 2, F.lit(""))
+    text = F.when(i % 5 < 2, F.lit("Chave: MDFe do Cliente")).when(i % 5 == 2, F.lit("DANFE NFe"))
+    key = F.when(i % 7 == 0, F.lit("CTe0001")).when(i % 7 == 1, F.lit("MDFe1"))
+    h = fv.headers(spark, folder, costly=True).withColumn("resolved_type", v.resolved_type(F.col("document_type"), other, text, key))
+    found = v.issues(h, [r for r in v.header_rules(typed=True) if r.name == "type_unrecognised"], "id")
+    return h.select("id", F.col("resolved_type").alias("resolved")).join(found.select("id", F.col("message").alias("warning")), "id", "left")
+
+
 @register(
     "cargo_tax_rules", "VAL10",
     sql=f"""WITH {q.HEADERS} SELECT id, 'cte_icms_negative' AS rule, 'error' AS severity, 'Valor de ICMS inválido no CT-e' AS message

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import extract_xml as x
+from ..operators import extract_xml as x, xml_records
+from ..session import fresh_folder
 from ..sources import xml_text as xt
 from . import sqlviews as q
 from .registry import register
@@ -133,3 +134,26 @@ def xml_minimum_structure(spark: SparkSession, folder: str) -> DataFrame:
     return docs.groupBy("document_type").agg(
         F.count("*").alias("n_documents"), F.sum(F.size("itens")).alias("n_items"), F.count_if("has_emitente").alias("with_issuer")
     )
+
+
+@register(
+    "xml_verdicts", "XML3", "VAL2", "VAL6", "VAL12", "PRJ1",
+    sql="""WITH l AS (SELECT l_orderkey AS id, l_linenumber AS n, CAST(l_quantity AS DECIMAL(10, 4)) + l_linenumber * CAST(0.0625 AS DECIMAL(5, 4)) AS q, l_linenumber * CAST(1.2345 AS DECIMAL(5, 4)) AS u FROM lineitem),
+t AS (SELECT *, CAST(round(CAST(q AS DECIMAL(14, 4)) * CAST(u AS DECIMAL(14, 4)), 2) AS DECIMAL(18, 2)) + CASE WHEN n = 3 THEN 0.05 ELSE 0.00 END AS t FROM l),
+s AS (SELECT id, count(*) AS n_items, sum(t) AS total, count(*) FILTER (n = 3) AS off FROM t GROUP BY id),
+o AS (SELECT o_orderkey AS id, coalesce(n_items, 0) AS n_items, coalesce(total, 0) AS total, coalesce(off, 0) + CASE WHEN o_orderkey % 10 = 0 AND n_items > 0 THEN 1 ELSE 0 END
+    + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN n_items IS NULL THEN 1 ELSE 0 END AS n_errors,
+  CASE WHEN n_items IS NULL THEN 1 ELSE n_items END + 3 AS n_warnings, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders LEFT JOIN s ON s.id = o_orderkey)
+SELECT id, 'nota_' || id || '.xml' AS file_name, 'NFe' AS document_type, CAST(id AS VARCHAR) AS document_number, round(CAST(total + CASE WHEN id % 10 = 0 THEN 1 ELSE 0 END AS DOUBLE), 2) AS total_value,
+  CAST(CASE WHEN n_items > 0 THEN total * 100 ELSE 0 END AS BIGINT) AS calculated_cents, CAST(n_errors AS BIGINT) AS n_errors, CAST(n_warnings AS BIGINT) AS n_warnings, CAST(n_items AS BIGINT) AS item_count,
+  CASE WHEN n_errors > 0 THEN 'error' ELSE 'warning' END AS validation_status, n_errors > 0 AS has_issues FROM o""",
+)
+def xml_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    """XML notes of several items and fractional quantities, parsed once, stored, judged, and shaped into records."""
+    path = fresh_folder(spark, "notes")
+    x.documents(xt.order_notes(spark, folder), "id", "file_name").drop("_unloading").write.parquet(path)
+    found = xml_records.stored_records(spark.read.parquet(path), "id", "file_name")
+    return found.select(
+        "id", "file_name", "document_type", "document_number", F.round("total_value", 2).alias("total_value"), "calculated_cents",
+        F.col("n_errors").cast("bigint").alias("n_errors"), F.col("n_warnings").cast("bigint").alias("n_warnings"), "item_count", "validation_status", "has_issues",
+    )

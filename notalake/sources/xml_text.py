@@ -164,3 +164,46 @@ def order_documents(spark: SparkSession, folder: str) -> DataFrame:
         .when(key % 50 != 47, good)
     )
     return computed_once(h, "xml", xml).drop("_part")
+
+
+def order_notes(spark: SparkSession, folder: str) -> DataFrame:
+    """id, file_name, xml: each order as a note with all its items; quantities with fractions, the third line's total five cents off.
+
+    Every tenth note states a total that is one real too high, every fifth no taxes.
+    """
+    h = fv.headers(spark, folder, costly=True).select("id", "created_at", fv.cnpj_of(F.col("issuer_id")).alias("issuer_cnpj"))
+    n = F.col("l_linenumber").cast("decimal(4,0)")
+    quantity = (F.col("l_quantity").cast("decimal(10,4)") + n * F.lit("0.0625").cast("decimal(5,4)")).cast("decimal(14,4)")
+    price = (n * F.lit("1.2345").cast("decimal(5,4)")).cast("decimal(14,4)")
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").select(F.col("l_orderkey").alias("id"), "l_linenumber", quantity.alias("q"), price.alias("u"))
+    off = F.when(F.col("l_linenumber") == 3, F.lit("0.05")).otherwise(F.lit("0.00")).cast("decimal(4,2)")
+    lines = lines.withColumn("t", (F.round(F.col("q") * F.col("u"), 2) + off).cast("decimal(18,2)"))
+    item = group(
+        "det",
+        group(
+            "prod",
+            tag("cProd", F.col("l_linenumber")),
+            tag("xProd", F.lit("Produto")),
+            tag("NCM", F.lit("84713012")),
+            tag("CFOP", F.lit("5102")),
+            tag("qCom", F.col("q")),
+            tag("vUnCom", F.col("u")),
+            tag("vProd", F.col("t")),
+        ),
+    )
+    # an order has a handful of lines
+    held = lines.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "t", item.alias("det")))).alias("dets"), F.sum("t").alias("sum"))
+    both = h.join(held, "id", "left")
+    key = F.col("id")
+    total = F.coalesce("sum", F.lit(0)) + F.when(key % 10 == 0, F.lit(1)).otherwise(F.lit(0))
+    moment = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss")
+    body = group(
+        "infNFe",
+        group("ide", tag("mod", F.lit("55")), tag("serie", F.lit("1")), tag("nNF", key), tag("dhEmi", moment)),
+        group("emit", tag("CNPJ", F.col("issuer_cnpj")), tag("xNome", F.lit("Emitente"))),
+        F.coalesce(F.array_join(F.transform("dets", lambda d: d["det"]), ""), F.lit("")),
+        group("total", group("ICMSTot", F.when(key % 5 != 0, tag("vICMS", F.lit("18.00"))).otherwise(""), tag("vNF", total.cast("decimal(18,2)")))),
+        attributes=F.concat(F.lit('Id="NFe'), access_key(key), F.lit('"')),
+    )
+    name = F.concat(F.lit("nota_"), key.cast("string"), F.lit(".xml"))
+    return both.select("id", name.alias("file_name"), group("NFe", body).alias("xml"))
