@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as t
 from .stages import computed_once
 
 
@@ -30,6 +29,21 @@ def chunk_table(df: DataFrame, key: str, chunks: Column, header: Column | None =
     )
 
 
+def chunk_records(df: DataFrame, chunks: Column, fields: dict[str, Column], configured_size: int) -> DataFrame:
+    """One row a chunk with all it is stored with: number, content under its header, sizes, and the document's fields.
+
+    `fields` gives document_id, document_type, file_name, issuer_cnpj and document_number; what is missing is ''.
+    """
+    named = {name: F.coalesce(value.cast("string"), F.lit("")) for name, value in fields.items()}
+    wanted = ("document_id", "document_type", "file_name", "issuer_cnpj", "document_number")
+    rows = df.select(*[named[n].alias(n) for n in wanted], chunks.alias("_text"))
+    rows = computed_once(rows, "_chunks", F.col("_text")).select(*wanted, F.size("_chunks").alias("total_chunks"), F.posexplode("_chunks").alias("chunk_number", "_part"))
+    content = F.concat(metadata_header(F.col("document_type"), F.col("issuer_cnpj")), F.col("_part"))
+    return rows.select(
+        *wanted, "chunk_number", "total_chunks", content.alias("content_text"), F.length(content).alias("chunk_size"), F.lit(configured_size).alias("configured_size")
+    )
+
+
 def metadata_header(document_type: Column, issuer: Column) -> Column:
     empty = lambda c: F.coalesce(c, F.lit(""))
     return F.concat(F.lit("[Tipo de Documento: "), empty(document_type), F.lit(", CNPJ Emissor: "), empty(issuer), F.lit("]\n"))
@@ -43,6 +57,3 @@ def embedding_status(documents: DataFrame, chunks: DataFrame, key: str, embedded
     return documents.select(key).join(counts, key, "left").select(
         key, all_of.alias("n_chunks"), done.alias("n_embedded"), status.alias("embedding_status")
     )
-
-
-wide_cleaning, narrow_cleaning = t.clean_wide, t.clean_narrow

@@ -191,6 +191,13 @@ def overview(df: DataFrame, numeric: list[str]) -> DataFrame:
     )
 
 
+def preview(df: DataFrame, *order: str, n: int = 5) -> DataFrame:
+    """The first rows under `order`, as position, column, value (text): a top-k of each task."""
+    first = df.orderBy(*order).limit(n).select(F.row_number().over(Window.orderBy(*order)).alias("position"), *df.columns)  # n rows by now
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in df.columns])
+    return first.select("position", F.explode(pairs).alias("p")).select("position", "p.*")
+
+
 def insight_lines(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
     """Sentences about every column."""
     two = lambda c: F.replace(F.format_number(c, 2), F.lit(","), F.lit(""))

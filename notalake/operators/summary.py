@@ -51,3 +51,56 @@ def outcome_report(df: DataFrame, success: Column) -> DataFrame:
         F.round(F.try_divide(F.col("succeeded") * 100.0, "total"), 4).alias("succeeded_percent"),
         F.round(F.try_divide(F.col("failed") * 100.0, "total"), 4).alias("failed_percent"),
     )
+
+
+def document_value(extracted: Column) -> Column:
+    """The value in a VARIANT record: `total`, else `valor_total`, else `value`; NULL where the first that is there is no number."""
+    first = F.coalesce(*[F.try_variant_get(extracted, f"$.{name}", "variant") for name in ("total", "valor_total", "value")])
+    return F.try_variant_get(first, "$", "double")
+
+
+def financial_lines(df: DataFrame, document_type: Column, total: Column, taxes: dict[str, Column], status: Column) -> DataFrame:
+    """part, position, line: a report on documents, their value, types, taxes and verdicts.
+
+    One pass over the documents; what is ordered afterwards is one row a type, a tax or a status. Types and
+    taxes come by falling count and amount, a tax without an amount does not come.
+    """
+    base = df.select(document_type.alias("type"), status.alias("status"), total.alias("total"), *[c.alias(n) for n, c in taxes.items()])
+    sets = base.groupingSets([["type"], ["status"], []], "type", "status").agg(
+        F.count("*").alias("n"), F.sum("total").alias("total"), *[F.sum(n).alias(n) for n in taxes], F.grouping("type").alias("_t"), F.grouping("status").alias("_s")
+    )
+    count = F.col("n").cast("string")
+    plain = lambda c: F.replace(F.format_number(c, 2), F.lit(","), F.lit(""))
+    whole, by_type, by_status = (F.col("_t") + F.col("_s") == 2), F.col("_t") == 0, F.col("_s") == 0
+    line = lambda part, weight, *text: F.struct(F.lit(part).alias("part"), weight.cast("double").alias("weight"), F.concat(*text).alias("line"))
+    none = F.lit(0)
+    amounts = [F.when(F.col(n) != 0, line(5, -F.col(n), F.lit(f"  - {n}: R$ "), plain(F.col(n)))) for n in taxes]
+    some = F.coalesce(*[F.when(F.col(n) != 0, F.lit(True)) for n in taxes], F.lit(False))
+    of_whole = F.array(
+        line(0, none, F.lit("Total de documentos analisados: "), count),
+        line(1, none, F.lit("Valor total dos documentos: R$ "), F.format_number(F.coalesce("total", F.lit(0.0)), 2)),
+        line(2, none, F.lit("Distribuição por tipo de documento:")),
+        F.when(some, line(4, none, F.lit("Resumo de impostos:"))),
+        *amounts,
+        line(6, none, F.lit("Status de validação:")),
+    )
+    lines = (
+        F.when(whole, F.when(F.col("n") > 0, F.array_compact(of_whole)))
+        .when(by_type, F.array(line(3, -F.col("n"), F.lit("  - "), F.col("type"), F.lit(": "), count, F.lit(" documentos"))))
+        .when(by_status, F.array(line(7, none, F.lit("  - "), F.col("status"), F.lit(": "), count, F.lit(" documentos"))))
+    )
+    order = Window.partitionBy("part").orderBy("weight", "line")
+    return sets.select(F.explode(lines).alias("l")).select("l.*").select("part", F.row_number().over(order).alias("position"), "line")
+
+
+def store_totals(documents: DataFrame, chunks: DataFrame, insights: DataFrame, status: Column) -> DataFrame:
+    """measure, key, n: documents, those by status, chunks, vectors and their bytes (four a number), insights."""
+    row = lambda df, name, n: df.agg(n.cast("bigint").alias("n")).select(F.lit(name).alias("measure"), F.lit(None).cast("string").alias("key"), "n")
+    by_status = documents.groupBy(status.alias("key")).agg(F.count("*").alias("n")).select(F.lit("documents_by_status").alias("measure"), "key", "n")
+    of_chunks = chunks.agg(F.count("*").alias("chunks"), F.count("embedding").alias("vectors"), F.coalesce(F.sum(F.size("embedding").cast("bigint") * 4), F.lit(0)).alias("vector_bytes"))
+    return (
+        row(documents, "documents", F.count("*"))
+        .unionByName(by_status)
+        .unionByName(of_chunks.unpivot([], ["chunks", "vectors", "vector_bytes"], "measure", "n").select("measure", F.lit(None).cast("string").alias("key"), "n"))
+        .unionByName(row(insights, "insights", F.count("*")))
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["validation", "values", "listing", "texts", "xml", "relations", "retrieval", "profiling", "flows", "indexes", "stores"]
+MODULES = ["validation", "values", "listing", "texts", "xml", "relations", "retrieval", "profiling", "flows", "indexes", "stores", "summaries"]
 
 
 def load() -> None:
