@@ -6,8 +6,9 @@ digest collision never decides. A rule (host, path) fits its host and all subdom
 path starts with the rule's; the longest rule wins, at equal length the one with the longer host.
 
 Candidates of a url are its host suffixes at label borders, each with the path prefixes whose length
-some rule has. An index up to `max_index_bytes` is shipped to every executor through the shared
-folder; a larger rule table is joined by digest and string instead, with the same results.
+some rule has. Executors make the index out of a table of rules, as files of one digest range each. The
+files are shipped through the shared folder and probed one after the other in the same pass over the
+urls, so rule tables of any size take one way, and the driver holds one file of `shard_bytes` at a time.
 
 Defined results: a null url, or one without "://", has empty host and path and gets the default
 verdict; a rule given twice counts once, and block wins over allow; no rules leave the default
@@ -17,6 +18,7 @@ verdict everywhere; repeated urls are judged alike; other columns are kept.
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import uuid
 from collections.abc import Iterable, Iterator
@@ -30,11 +32,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_folder, table
+from .common import free_name, shared_folder, stored, table
 from .registry import query
 
 Rule = tuple[str, str, str]  # host, path, verdict
-MAX_INDEX_BYTES = 256 << 20
+SHARD_BYTES = 32 << 20  # of an index file, about
 BORDER = "\x00"  # between host and path in a key: neither part of a url can hold it
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,23 +54,70 @@ def _key(host: str, path: str) -> bytes:
     return f"{host}{BORDER}{path}".encode()
 
 
+def _index_of(strings: list[bytes], digests: np.ndarray, block: np.ndarray) -> bytes:
+    """An index file of distinct keys in the order of their digests: counts, keys, offsets, path lengths, verdicts, strings; all little-endian."""
+    lengths = sorted({len(k[k.index(BORDER.encode()) + 1 :].decode()) for k in strings})
+    parts = [
+        np.array([len(strings), len(lengths)], "<u8"),
+        digests.astype("<u8"),
+        np.cumsum([0, *map(len, strings)]).astype("<u8"),
+        np.array(lengths, "<u8"),
+        block.astype("u1"),
+    ]
+    return b"".join([p.tobytes() for p in parts] + strings)
+
+
 def index_bytes(rules: Iterable[Rule]) -> bytes:
-    """The index file: counts, keys, offsets, path lengths, verdicts, strings; all little-endian."""
+    """The index file of a handful of rules; `shards` makes those of a table."""
     chosen: dict[bytes, bool] = {}
     for host, path, verdict in rules:
         key = _key(host, path)
         chosen[key] = chosen.get(key, False) or verdict == "block"
     ordered = sorted((xxhash.xxh64_intdigest(k), k, v) for k, v in chosen.items())
-    strings = [k for _, k, _ in ordered]
-    lengths = sorted({len(k.decode().split(BORDER, 1)[1]) for k in strings})
-    parts = [
-        np.array([len(ordered), len(lengths)], "<u8"),
-        np.array([d for d, _, _ in ordered], "<u8"),
-        np.cumsum([0, *map(len, strings)]).astype("<u8"),
-        np.array(lengths, "<u8"),
-        np.array([v for _, _, v in ordered], "u1"),
-    ]
-    return b"".join(p.tobytes() for p in parts) + b"".join(strings)
+    return _index_of([k for _, k, _ in ordered], np.array([d for d, _, _ in ordered], np.uint64), np.array([v for _, _, v in ordered], bool))
+
+
+def shards(rules: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int]:
+    """Index files (shard, content) of a table of rules, each a range of digests of about `shard_bytes` at most, and their number.
+
+    Executors digest, sort and write them; a rule that comes twice is there once, and blocks if either does.
+    """
+    size = rules.agg(F.sum(F.octet_length("host") + F.octet_length("path") + F.lit(18))).first()[0] or 0
+    bits = max(0, math.ceil(math.log2(max(size, 1) / shard_bytes)))
+    once = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
+
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [_key(h, p) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist())]
+            digests = np.array([xxhash.xxh64_intdigest(k) for k in keys], np.uint64)
+            shard = (digests >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(keys), np.int32)
+            # signed numbers in the order of the unsigned ones
+            order = (digests ^ np.uint64(1 << 63)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(order), pa.array(keys, pa.binary()), batch.column("verdict")], ["shard", "digest", "key", "verdict"])
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            part = pa.Table.from_batches(parts)
+            digests = part["digest"].to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
+            content = _index_of(part["key"].to_pylist(), digests, np.array([v == "block" for v in part["verdict"].to_pylist()], bool))
+            return pa.RecordBatch.from_arrays([pa.array([held], pa.int32()), pa.array([content], pa.binary())], ["shard", "content"])
+
+        held, parts = None, []
+        for batch in batches:
+            numbers = batch.column("shard").to_numpy()
+            edges = np.flatnonzero(np.concatenate(([True], numbers[1:] != numbers[:-1], [True]))).tolist() if len(numbers) else []
+            for x, y in zip(edges, edges[1:]):
+                if parts and numbers[x] != held:
+                    yield out()
+                    parts = []
+                held = int(numbers[x])
+                parts.append(batch.slice(x, y - x))
+        if parts:
+            yield out()
+
+    each = once.mapInArrow(digested, "shard int, digest long, key binary, verdict string")
+    made = each.repartition("shard").sortWithinPartitions("shard", "digest", "key").mapInArrow(written, "shard int, content binary")
+    return stored(made, "url-shards"), 1 << bits
 
 
 class Index:
@@ -133,72 +182,66 @@ def suffixes(host: str) -> list[str]:
     return out
 
 
-FOUND = "rule_host string, rule_path string, verdict string"
+FOUND = "struct<rule_host: string, rule_path: string, verdict: string>"
+FOUND_ARROW = pa.struct([("rule_host", pa.string()), ("rule_path", pa.string()), ("verdict", pa.string())])
 
 
-def _probe(name: str, host: str, path: str, out: str, default: str):
+def _probe(name: str, host: str, path: str, out: str, first: bool, schema: T.StructType):
+    """Probes one index file; `out` holds what earlier files found, and keeps it where this one has nothing longer."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _opened(os.path.abspath(SparkFiles.get(name)))
         for batch in batches:
+            hosts, paths = batch.column(host), batch.column(path)
+            # each pair of a batch is looked up once
+            pairs = list(zip(hosts.to_pylist(), paths.to_pylist()))
+            number = {pair: i for i, pair in enumerate(dict.fromkeys(pairs))}
             candidates: list[bytes] = []
             owner: list[int] = []
-            for i, (h, p) in enumerate(zip(batch.column(host).to_pylist(), batch.column(path).to_pylist())):
-                heads = [p[:n] for n in index.path_lengths if n <= len(p)]
-                for s in suffixes(h):
-                    for head in heads:
-                        candidates.append(_key(s, head))
-                        owner.append(i)
+            for (h, p), i in number.items():
+                heads = [p[:n] for n in index.path_lengths if n <= len(p or "")] if h is not None and p is not None else []
+                for s in suffixes(h) if heads else []:
+                    candidates += [_key(s, head) for head in heads]
+                    owner += [i] * len(heads)
             found = index.find(candidates)
-            best: list[tuple[int, int, str, str, bool] | None] = [None] * batch.num_rows
+            best: list[tuple[int, int, str, str, bool] | None] = [None] * len(number)
             for c in np.flatnonzero(found >= 0).tolist():
                 h, p = candidates[c].decode().split(BORDER, 1)
                 entry = (len(h) + len(p), len(h), h, p, bool(index.block[found[c]]))
                 if best[owner[c]] is None or entry[:2] > best[owner[c]][:2]:
                     best[owner[c]] = entry
-            struct = pa.StructArray.from_arrays(
-                [
-                    pa.array([b and b[2] for b in best], pa.string()),
-                    pa.array([b and b[3] for b in best], pa.string()),
-                    pa.array([default if b is None else "block" if b[4] else "allow" for b in best], pa.string()),
-                ],
-                ["rule_host", "rule_path", "verdict"],
-            )
-            yield pa.RecordBatch.from_arrays([*batch.columns, struct], [*batch.schema.names, out])
+            rows = [best[number[pair]] for pair in pairs]
+            fresh = [b and {"rule_host": b[2], "rule_path": b[3], "verdict": "block" if b[4] else "allow"} for b in rows]
+            if not first:
+                before = batch.column(out).to_pylist()
+                size = lambda r: (-1, -1) if r is None else (len(r["rule_host"]) + len(r["rule_path"]), len(r["rule_host"]))
+                fresh = [a if size(a) >= size(b) else b for a, b in zip(before, fresh)]
+            kept = [batch.column(n) for n in schema.names if n != out]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(fresh, FOUND_ARROW)], [*[n for n in schema.names if n != out], out])
 
     return run
 
 
-def _joined(urls: DataFrame, rules: DataFrame, host: str, path: str, out: str, default: str) -> DataFrame:
-    """The same verdicts by a join: digest first, then the strings. For rule tables beyond the bound.
+def judge(urls: DataFrame, rules: DataFrame, *, host: str = "host", path: str = "path", default: str = "allow", shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, str]:
+    """Adds a struct (rule_host, rule_path, verdict), and gives its name. `rules` has host, path, verdict ("allow" or "block").
 
-    Distinct (host, path) pairs are matched, so a hot host is one row there; its urls meet the
-    verdict in the last join, whose left side Spark can split.
+    Index files of one digest range after the other are shipped and probed, in one pass over the urls; the
+    driver holds one file at a time.
     """
-    lengths = [r[0] for r in rules.select(F.char_length("path").alias("n")).distinct().orderBy("n").collect()]
-    pairs = urls.select(F.col(host).alias("h"), F.col(path).alias("p")).distinct()
-    labels = F.split("h", r"\.", -1)
-    hosts = pairs.select("h", "p", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.concat_ws(".", F.slice(labels, k, F.size(labels))))).alias("rule_host"))
-    heads = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.char_length("p"))
-    tried = hosts.select("h", "p", "rule_host", F.explode(F.transform(heads, lambda n: F.substr("p", F.lit(1), n))).alias("rule_path"))
-    digest = F.xxhash64("rule_host", "rule_path")
-    known = rules.groupBy(F.col("host").alias("rule_host"), F.col("path").alias("rule_path")).agg(F.max("verdict").alias("verdict")).withColumn("d", digest)
-    hits = tried.withColumn("d", digest).join(known, ["d", "rule_host", "rule_path"])
-    size = F.struct(F.char_length("rule_host") + F.char_length("rule_path"), F.char_length("rule_host"))
-    best = hits.groupBy("h", "p").agg(F.max_by(F.struct("rule_host", "rule_path", "verdict"), size).alias("best"))
-    matched = urls.join(best, (F.col(host) == F.col("h")) & (F.col(path) == F.col("p")), "left")
-    none = F.struct(F.lit(None).cast("string").alias("rule_host"), F.lit(None).cast("string").alias("rule_path"), F.lit(default).alias("verdict"))
-    return matched.select(*[F.col(f"`{c}`") for c in urls.columns], F.coalesce("best", none).alias(out))
-
-
-def judge(urls: DataFrame, rules: DataFrame, *, host: str = "host", path: str = "path", out: str = "judged", default: str = "allow", max_index_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
-    """Adds a struct (rule_host, rule_path, verdict). `rules` has host, path, verdict ("allow" or "block")."""
     spark = urls.sparkSession
+    out = free_name(urls, "judged")
     clean = rules.select(F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").filter(F.col("verdict").isin("allow", "block"))
-    size = clean.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + F.lit(18)), F.lit(0))).first()[0]
-    if size > max_index_bytes:
-        return _joined(urls, clean, host, path, out, default)
-    name = ship(spark, index_bytes([tuple(r) for r in clean.collect()]))
-    return urls.mapInArrow(_probe(name, host, path, out, default), T.StructType([*urls.schema.fields, T.StructField(out, T._parse_datatype_string(FOUND))]))
+    files, _ = shards(clean, shard_bytes)
+    schema = T.StructType([*urls.schema.fields, T.StructField(out, T._parse_datatype_string(FOUND))])
+    judged = urls
+    numbers = sorted(r["shard"] for r in files.select("shard").collect())
+    for k, shard in enumerate(numbers):
+        name = ship(spark, bytes(files.filter(F.col("shard") == shard).first()["content"]))
+        judged = judged.mapInArrow(_probe(name, host, path, out, k == 0, schema), schema)
+    if not numbers:
+        judged = judged.withColumn(out, F.lit(None).cast(FOUND))
+    none = F.struct(F.lit(None).cast("string").alias("rule_host"), F.lit(None).cast("string").alias("rule_path"), F.lit(default).alias("verdict"))
+    return judged.withColumn(out, F.coalesce(F.col(f"`{out}`"), none)), out
 
 
 QUERY_RULES: list[Rule] = [
@@ -234,5 +277,5 @@ def op2_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     host, path = host_and_path(F.col("url"))
     urls = table(spark, folder, "pages").select("page_id", host.alias("host"), path.alias("path"))
     rules = spark.createDataFrame(QUERY_RULES, "host string, path string, verdict string")
-    judged = judge(urls, rules)
-    return judged.select("page_id", "host", "path", F.concat("judged.rule_host", "judged.rule_path").alias("rule"), F.col("judged.verdict").alias("verdict"))
+    judged, name = judge(urls, rules)
+    return judged.select("page_id", "host", "path", F.concat(f"{name}.rule_host", f"{name}.rule_path").alias("rule"), F.col(f"{name}.verdict").alias("verdict"))

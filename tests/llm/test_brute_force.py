@@ -73,7 +73,7 @@ def test_quality_fit_without_usable_labels(spark):
     assert quality_rules.fit(docs, spark.createDataFrame([(1, None, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")) == []
 
 
-def test_url_rules_both_ways(spark):
+def test_url_rules_in_digest_ranges(spark):
     rules = [("com", "/", "allow"), ("a.com", "/x", "block"), ("b.a.com", "/x", "allow"), ("net", "", "block"), ("net", "", "allow"), ("dé.org", "/é", "block")]
     urls = [None, "", "nothing", "http://A.com/xyz", "http://b.a.com/x?q", "http://c.a.com/y", "ftp://q.net", "http://net#f", "http://xcom/", "http://z.dé.org/éa", "http://a.com", "http://com/://b/x"]
     host, path = url_rules.host_and_path(url_rules.F.col("url"))
@@ -90,10 +90,16 @@ def test_url_rules_both_ways(spark):
         _, _, a, b = max(fit)
         return (h, p, a, b, "block" if (a, b, "block") in rules else "allow")
 
-    for bound in (1 << 20, 0):
-        got = [(r["page_id"], (r["host"], r["path"], *r["judged"])) for r in url_rules.judge(given, table, max_index_bytes=bound).collect()]
+    for size in (1 << 20, 40, 1):  # one index file, a few, and more digest ranges than rules
+        judged, name = url_rules.judge(given, table, shard_bytes=size)
+        got = [(r["page_id"], (r["host"], r["path"], *r[name])) for r in judged.collect()]
         assert sorted(got, key=repr) == sorted(((i, brute(u)) for i, u in list(enumerate(urls)) * 2), key=repr)
-    assert {r["judged"]["verdict"] for r in url_rules.judge(given, table.limit(0)).collect()} == {"allow"}
+    none, name = url_rules.judge(given, table.limit(0))
+    assert {r[name]["verdict"] for r in none.collect()} == {"allow"}
+    clash = given.selectExpr("*", "1 AS judged", "2 AS h", "3 AS p", "4 AS best", "5 AS digest", "6 AS shard", "7 AS key")
+    judged, name = url_rules.judge(clash, table, shard_bytes=40)
+    assert judged.columns == [*clash.columns, "judged_"] and judged.filter("judged = 1 AND h = 2 AND p = 3 AND best = 4").count() == 2 * len(urls)
+    assert url_rules.judge(clash.limit(0), table)[0].count() == 0
 
 
 def test_colliding_digests_are_told_apart_by_string(tmp_path):
@@ -112,7 +118,6 @@ def test_chat_pieces_examples_and_reading_back(spark):
     formatted = chat_format.format_turns(spark.createDataFrame(CHATS, "conv_id long, turn long, role string, text string").repartition(3))
     back = collections.defaultdict(list)
     for r in chat_format.read_back(formatted).orderBy("conv_id", "start").collect():
-        assert r["trained"] == (r["text"] if r["role"] == "assistant" else None)
         back[r["conv_id"]].append((r["role"], r["text"]))
     want = collections.defaultdict(list)
     for c, t, role, text in sorted(CHATS, key=lambda x: (-1 if x[0] is None else x[0], -1 if x[1] is None else x[1], x[2] or "", x[3] or "")):
@@ -122,11 +127,24 @@ def test_chat_pieces_examples_and_reading_back(spark):
     for r in formatted.orderBy("conv_id", "start").collect():
         assert r["start"] == len(whole[r["conv_id"]])
         whole[r["conv_id"]] += r["piece"]
-    texts = chat_format.example_texts(formatted).collect()
-    assert len(texts) == chat_format.examples(formatted).count() == 4
-    for r in texts:
-        assert whole[r["conv_id"]].startswith(r["text"])
-        assert r["text"].endswith(chat_format.END) and r["loss_stop"] == len(r["text"]) - len(chat_format.END)
+    learnt = {(r["conv_id"], r["start"]): r["trained"] for r in chat_format.targets(formatted).collect()}
+    assert learnt == {(r["conv_id"], r["start"]): r["text"] for r in chat_format.read_back(formatted).collect() if r["role"] == "assistant"}
+    written = collections.defaultdict(list)
+    for r in chat_format.example_pieces(formatted).orderBy("start").collect():
+        written[r["conv_id"], r["stop"]].append((r["piece"], r["trained"]))
+    assert len(written) == chat_format.examples(formatted).count() == 4
+    for (c, stop), pieces in written.items():
+        assert "".join(p for p, _ in pieces) == whole[c][:stop]
+        assert [t for _, t in pieces] == [False] * (len(pieces) - 1) + [True]
+
+
+def test_a_conversation_of_a_third_of_all_rows(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(3000)] + [(2 + i // 2, i % 2, "assistant" if i % 2 else "user", "x") for i in range(6000)]
+    formatted = chat_format.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6))
+    learnt = chat_format.targets(formatted).groupBy("conv_id").count()
+    assert learnt.filter("conv_id = 1").first()["count"] == 1500 and learnt.count() == 3001
+    last = chat_format.targets(formatted).filter("conv_id = 1").orderBy("start").tail(1)[0]
+    assert last["trained"] == "t2999"
 
 
 def test_long_conversations_are_placed_across_blocks(spark):
@@ -221,7 +239,7 @@ def units(text):
 
 
 def test_line_dedup(spark):
-    passage = "Some words stand here again. And so do these. Yes. They come in many texts and stay in one."
+    passage = "Some words stand here again. And so do these. Yes. They come in many texts and stay in one. Nothing else is said of them in this place."
     texts = ODD_TEXTS + invented(4, 30, 9) + [f"début {i} é. {passage} end {i}" for i in range(6)] + ["Yes. No.", "Yes. Maybe.", passage, passage]
     docs = frame(spark, texts)
     out, name = line_dedup.dedup(docs)
@@ -244,7 +262,7 @@ def test_line_dedup(spark):
             kept = kept[:a] + kept[b:]
         assert rows[i]["text"] == kept
     assert rows[len(texts) - 1]["text"] == ""
-    clash = docs.withColumn("repeats", line_dedup.F.lit(1)).withColumn("unit", line_dedup.F.lit(2))
+    clash = docs.withColumn("repeats", line_dedup.F.lit(1)).withColumn("unit", line_dedup.F.lit(2)).withColumn("text_digest_", line_dedup.F.lit(3))
     assert set(line_dedup.dedup(clash)[0].columns) == {*clash.columns, "repeats_"}
     assert line_dedup.dedup(docs.limit(0))[0].count() == 0
     assert line_dedup.dedup(docs.union(docs))[0].count() == 2 * len(texts)
