@@ -26,7 +26,7 @@ from .arrow_text import Words, mix, slices
 from .common import free_name, stored, table
 from .registry import query
 
-MIN_WORDS = 8
+MIN_WORDS = 24  # passages worth removing have more, sentences that recur by chance fewer
 ENDS = np.zeros(256, bool)
 ENDS[list(b".!?")] = True
 
@@ -113,10 +113,10 @@ def _cut(name: str, units: str, text: str, min_words: int):
 def dedup(docs: DataFrame, *, min_words: int = MIN_WORDS) -> tuple[DataFrame, str]:
     """`docs` with repeats taken out of `text`, a struct column (n_removed, spans), and that column's name."""
     name = free_name(docs, "repeats")
-    key, units, who = free_name(docs, "text_digest"), free_name(docs, "repeated_units"), free_name(docs, "unit_doc_id")
-    marked = repeated_units(docs).groupBy(F.col("doc_id").alias(who), F.col("digest").alias(f"{key}_")).agg(F.collect_list(F.struct("unit", "start", "stop", "words")).alias(units))
+    key, units, who, other = (free_name(docs, n) for n in ("text_digest", "repeated_units", "unit_doc_id", "unit_text_digest"))
+    marked = repeated_units(docs).groupBy(F.col("doc_id").alias(who), F.col("digest").alias(other)).agg(F.collect_list(F.struct("unit", "start", "stop", "words")).alias(units))
     keyed = docs.withColumn(key, F.xxhash64("text"))
-    joined = keyed.join(marked, F.col("doc_id").eqNullSafe(F.col(who)) & (F.col(key) == F.col(f"{key}_")), "left").select(*[F.col(f"`{c}`") for c in docs.columns], units)
+    joined = keyed.join(marked, F.col("doc_id").eqNullSafe(F.col(who)) & (F.col(key) == F.col(other)), "left").select(*[F.col(f"`{c}`") for c in docs.columns], units)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T._parse_datatype_string("n_removed int, spans array<array<int>>"))])
     return joined.mapInArrow(_cut(name, units, "text", min_words), schema), name
 
