@@ -43,7 +43,7 @@ from .components import components
 from .registry import query
 
 FILTER_BITS = 27  # of the bitmap that says which documents' sets are wanted again: 16 MB
-SLICE_KEYS = 1 << 19  # that are ordered at a time
+SLICE_KEYS = 1 << 18  # that are ordered at a time
 SKETCH_CELLS, SKETCH_PARTS = 1 << 19, 64  # of shingle counts: 4 MB
 BLOCK_RATIO = 1.5  # of the largest sizes of neighbouring blocks
 
@@ -245,7 +245,7 @@ def _rarity(sets: DataFrame) -> np.ndarray:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH_CELLS, np.uint32)
-        for batch in batches:
+        for batch in _rows_of(batches, "keys", SLICE_KEYS):
             keys = pc.list_flatten(batch.column("keys")).to_numpy().view(np.uint64)
             total += np.bincount((keys % np.uint64(SKETCH_CELLS)).astype(np.int64), minlength=SKETCH_CELLS).astype(np.uint32)
         parts = total.reshape(SKETCH_PARTS, -1)
