@@ -3,12 +3,14 @@
 Known shapes are three patterns (`assign`, `access`, `hex`), leftmost and not overlapping per kind.
 
 Beyond them every run of 20 or more letters, digits and coding signs is a candidate. Its encoding is
-inferred (hex, base32, base64, base64url), and its characters, as places in that alphabet, take three
-tests: chi-squared uniformity over the alphabet, runs above and below the middle, and correlation of
-neighbours. Runs and correlation must agree with randomness. The chi-squared value is turned into the
-chance that ordinary text of that length is as even, and over all candidates of a length band the
-chances are cut by false-discovery control (Benjamini-Hochberg, on a fine histogram of their logs), so
-short strings, where the tests see little, must be more even than long ones.
+inferred (hex, base32, base64, base64url), and its characters, as places in that alphabet, take four
+tests: chi-squared uniformity over the alphabet, runs above and below the middle, correlation of
+neighbours, and runs of one kind of character (small, capital, digit, sign). The last three must agree
+with randomness: words joined by capitals or signs, as in identifiers and paths, are even enough but keep
+one kind for long. The chi-squared value is turned into the chance that ordinary text of that length is as
+even, and over all candidates of a length band the chances of those that agree are cut by false-discovery
+control (Benjamini-Hochberg, on a fine histogram of their logs), so short strings, where the tests see
+little, must be more even than long ones. UUIDs are names and no candidates.
 
 All of it is DataFrame functions. Texts are read twice: once for the histogram, which has a bounded
 number of rows, and once for the spans.
@@ -49,7 +51,9 @@ ENCODINGS: list[tuple[str, str, str, float]] = [
 ]
 BANDS = [20, 32, 64, 128]
 ALPHA = 0.05  # false discoveries among what is flagged
-AGREES = 0.001  # least p of the runs and correlation tests
+AGREES, AGREES_LOW = 3.290527, 3.090232  # largest deviation of the other tests, of p 0.001: both ways, and one way
+UUID = r"^[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}$"
+SIGNS = "+/-_"
 BIN, BINS = 0.05, 800  # of -log10 p
 
 
@@ -112,11 +116,6 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(assign, matches(text, ACCESS, "access", 0, F.contains(text, F.lit("AKIA"))), matches(text, HEX, "hex")))
 
 
-def normal(z: Column) -> Column:
-    """The normal distribution's lower tail, by a logistic curve; within 0.0002."""
-    return 1 / (1 + F.exp(-(1.5976 * z + 0.07056 * z * z * z)))
-
-
 #: Chebyshev fit of the logarithm of erfc(x) * exp(x * x) * (1 + x / 2) for x >= 0, by powers of 1 / (1 + x / 2).
 ERFC = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
 
@@ -149,8 +148,19 @@ def _evenness(body: Column, alphabet: str, excess: float) -> Column:
     return (squares * k / length - length - (k - 1) - length * excess) / F.sqrt(2 * (k - 1) + 4 * length * excess)
 
 
-def _agreement(v: Column) -> Column:
-    """Smaller p of the runs test and the test of neighbours' correlation, of numbers around zero."""
+def _few_changes(body: Column, alphabet: str) -> Column:
+    """By how many standard deviations the kind of character changes less often than it would by chance; scaled to the two-sided limit."""
+    shares = [sum(c in kind for c in alphabet) / len(alphabet) for kind in (LOWER, UPPER, DIGITS, SIGNS)]
+    p, q = 1 - sum(x * x for x in shares), sum(x * (1 - x) ** 2 for x in shares)
+    kinds = F.translate(body, LOWER + UPPER + DIGITS + SIGNS, "a" * 26 + "A" * 26 + "0" * 10 + "-" * 4)
+    changes = F.char_length(F.regexp_replace(kinds, r"(.)\1+", "$1")) - 1
+    pairs = F.char_length(body).cast("double") - 1
+    spread = F.sqrt(pairs * (p - p * p) + 2 * (pairs - 1) * (q - p * p))
+    return (pairs * p - changes) / spread * (AGREES / AGREES_LOW)
+
+
+def _disagreement(v: Column) -> Column:
+    """Larger deviation of the runs test and the test of neighbours' correlation, of numbers around zero."""
 
     def tests(n: Column, high: Column, centre: Column, pairs: Column) -> Column:
         low = n - high
@@ -159,8 +169,7 @@ def _agreement(v: Column) -> Column:
         changes = F.size(F.filter(pairs, lambda p: (p["a"] > 0) != (p["b"] > 0))).cast("double")
         square = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - centre) * (x - centre))
         joint = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["a"] - centre) * (p["b"] - centre))
-        both = F.array(F.abs((changes + 1 - mean) / spread), F.when(square > 0, F.abs(joint / square * F.sqrt(n))).otherwise(F.lit(99.0)))
-        return 2 * (1 - normal(F.least(F.array_max(both), F.lit(30.0))))
+        return F.greatest(F.abs((changes + 1 - mean) / spread), F.when(square > 0, F.abs(joint / square * F.sqrt(n))).otherwise(F.lit(99.0)))
 
     pairs = F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     high = F.size(F.filter(v, lambda x: x > 0)).cast("double")
@@ -169,12 +178,13 @@ def _agreement(v: Column) -> Column:
 
 
 def battery(value: Column) -> Column:
-    """Of a candidate: its length without padding, -log10 of the chance that text is as even, and the smaller p of runs and correlation."""
+    """Of a candidate: its length without padding, -log10 of the chance that text is as even, and the largest deviation of the other tests."""
 
     def of(body: Column) -> Column:
         places = _by_encoding(value, lambda alphabet, _: F.transform(F.split(body, ""), lambda c: (F.instr(F.lit(alphabet), c) - (len(alphabet) + 1) / 2).cast("double")))
         even = let(_by_encoding(value, lambda alphabet, excess: _evenness(body, alphabet, excess)), rarity)
-        return F.struct(F.char_length(body).alias("length"), even.alias("even"), let(places, _agreement).alias("agree"))
+        few = _by_encoding(value, lambda alphabet, _: _few_changes(body, alphabet))
+        return F.struct(F.char_length(body).alias("length"), even.alias("even"), F.greatest(let(places, _disagreement), few).alias("off"))
 
     return let(F.regexp_replace(value, "=+$", ""), of)
 
@@ -186,20 +196,23 @@ def band(length: Column) -> Column:
     return out
 
 
-TESTED = "array<struct<start:bigint,kind:int,stop:bigint,value:string,test:struct<length:int,even:double,agree:double>>>"
+TESTED = "array<struct<start:bigint,kind:int,stop:bigint,value:string,test:struct<length:int,even:double,off:double>>>"
 
 
 def candidates(text: Column) -> Column:
-    return F.transform(matches(text, CANDIDATE, "random"), lambda m: F.struct(m["start"], m["kind"], m["stop"], m["value"], battery(m["value"]).alias("test"))).cast(TESTED)
+    named = F.filter(matches(text, CANDIDATE, "random"), lambda m: ~F.regexp_like(m["value"], F.lit(UUID)))
+    return F.transform(named, lambda m: F.struct(m["start"], m["kind"], m["stop"], m["value"], battery(m["value"]).alias("test"))).cast(TESTED)
 
 
 def thresholds(docs: DataFrame, text: str = "text", alpha: float = ALPHA) -> dict[int, float]:
     """Per length band, the least -log10 p that is a discovery: Benjamini-Hochberg over all candidates of the table.
 
+    A candidate that the other tests reject counts with a p of 1.
+
     What comes to the driver is a histogram of at most BINS rows a band.
     """
     each = docs.select(F.explode(candidates(F.coalesce(F.col(text), F.lit("")))).alias("c"))
-    binned = each.groupBy(band(F.col("c.test.length")).alias("band"), F.least(F.floor(F.col("c.test.even") / BIN), F.lit(BINS)).alias("bin")).count().collect()
+    binned = each.groupBy(band(F.col("c.test.length")).alias("band"), F.when(F.col("c.test.off") <= AGREES, F.least(F.floor(F.col("c.test.even") / BIN), F.lit(BINS))).otherwise(0).alias("bin")).count().collect()
     out = {}
     for edge in BANDS:
         counts = {r["bin"]: r["count"] for r in binned if r["band"] == edge}
@@ -222,7 +235,7 @@ def all_spans(text: Column, least: dict[int, float]) -> Column:
             out = F.when(length >= edge, F.lit(least[edge])).otherwise(out)
         return out
 
-    random = F.filter(candidates(text), lambda c: (c["test"]["even"] >= wanted(c["test"]["length"])) & (c["test"]["agree"] >= AGREES))
+    random = F.filter(candidates(text), lambda c: (c["test"]["even"] >= wanted(c["test"]["length"])) & (c["test"]["off"] <= AGREES))
     plain: Callable[[Column], Column] = lambda a: F.transform(a, lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["stop"].alias("stop")))
     return F.struct(plain(base).alias("base"), plain(random).alias("random"))
 
