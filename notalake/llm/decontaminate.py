@@ -98,24 +98,31 @@ def _found(sorted_values: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, n
 
 
 def align(item: np.ndarray, words: np.ndarray) -> tuple[float, int, int]:
-    """Best local alignment: score as a share of the item's own, first and last word of it in `words`."""
+    """Best local alignment: score as a share of the item's own, first and last word of it in `words`.
+
+    Two rows of scores are held, and with each score the place where its alignment began.
+    """
     m, n = len(item), len(words)
-    table_ = np.zeros((m + 1, n + 1), np.int64)
-    step = GAP * np.arange(n + 1)
-    for i in range(1, m + 1):
-        row = np.maximum(table_[i - 1] - GAP, 0)
-        row[1:] = np.maximum(row[1:], table_[i - 1, :-1] + np.where(words == item[i - 1], MATCH, -MISMATCH))
-        table_[i] = np.maximum.accumulate(row + step) - step
-    i, j = divmod(int(table_.argmax()), n + 1)
-    best, last = int(table_[i, j]), j - 1
-    while i and j and table_[i, j] > 0:
-        if table_[i, j] == table_[i - 1, j - 1] + (MATCH if words[j - 1] == item[i - 1] else -MISMATCH):
-            i, j = i - 1, j - 1
-        elif table_[i, j] == table_[i - 1, j] - GAP:
-            i -= 1
-        else:
-            j -= 1
-    return best / (MATCH * m), j, last
+    places = np.arange(n + 1)
+    step = GAP * places
+    above, began = np.zeros(n + 1, np.int64), places.copy()
+    best, first, last = 0, 0, -1
+    for i in range(m):
+        row = np.maximum(above - GAP, 0)
+        start = np.where(row > 0, began, places)
+        diagonal = above[:-1] + np.where(words == item[i], MATCH, -MISMATCH)
+        better = (diagonal >= row[1:]) & (diagonal > 0)
+        row[1:] = np.where(better, diagonal, row[1:])
+        start[1:] = np.where(better, began[:-1], start[1:])
+        shifted = row + step
+        reach = np.maximum.accumulate(shifted)
+        source = np.maximum.accumulate(np.where(shifted == reach, places, 0))  # where the gap of each cell begins
+        row = reach - step
+        above, began = row, np.where(row > 0, start[source], places)
+        j = int(row.argmax())
+        if row[j] > best:
+            best, first, last = int(row[j]), int(began[j]), j - 1
+    return best / (MATCH * m), first, last
 
 
 def _windows(places: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
