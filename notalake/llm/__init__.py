@@ -1 +1 @@
-"""Operators for building training corpora: ten operators, each with a registered query over its whole table."""
+"""Operators for building training corpora: thirteen operators, each with a registered query over its whole table."""

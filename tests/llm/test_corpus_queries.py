@@ -33,7 +33,7 @@ def test_runs_over_the_whole_table(spark, name):
 def test_all_are_registered():
     names = entry.queries()
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
 
 
