@@ -114,6 +114,23 @@ def test_gram_search_is_contains(spark, tmp_path):
     assert found == want and len({n for n, _ in want}) >= 9
 
 
+def test_gram_lists_take_little_room(spark, tmp_path, monkeypatch):
+    """Grams that most rows hold have no list, lists are gaps in segments; repeated and missing keys and repeated searches count as in a scan."""
+    monkeypatch.setattr(gram_index, "SEGMENT", 700)
+    docs = spark.range(4000).select(F.expr("nullif(id % 3900, 17)").alias("id"), F.format_string('{"numero":"%d","emitente":"Loja %d"}', "id", F.col("id") % 97).alias("a")).repartition(3)
+    texts = ["numero", "LOJA 96", '"39', "17", "loja", "7", "17", "none"]
+    searches = spark.createDataFrame(list(enumerate(texts)) + [(0, "numero")], "search_id bigint, query string")
+    gram_index.build(docs, "id", ["a"], str(tmp_path))
+    lists = spark.read.parquet(f"{tmp_path}/postings").filter("slot >= 0")
+    grams = sum(len({t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}) for t in (r["a"].lower() for r in docs.collect()))
+    assert lists.agg(F.sum("n").alias("n")).first()["n"] == grams
+    kept = lists.agg(F.count("*").alias("rows"), F.sum(F.size(F.coalesce("gaps", F.array().cast("array<smallint>")))).alias("kept")).first()
+    assert 0 < kept["kept"] < grams / 3 and kept["rows"] < grams / 10
+    found = gram_index.search(spark, str(tmp_path), docs, "id", ["a"], searches)
+    scan = docs.join(searches, F.contains(F.lower("a"), F.lower("query"))).select("search_id", "id")
+    assert found.exceptAll(scan).isEmpty() and scan.exceptAll(found).isEmpty() and scan.count() > 8000
+
+
 def test_buckets(spark, tmp_path):
     path, schema = str(tmp_path / "t"), "k string, v bigint, note string"
     rows = lambda *r: spark.createDataFrame(list(r), schema)
