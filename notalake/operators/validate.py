@@ -318,7 +318,8 @@ def verdicts(documents: DataFrame, items: DataFrame) -> DataFrame:
         count_fired(document_rules, WARNING).alias("own_warnings"),
     )
     sums = _item_sums(items)
-    joined = narrow.join(sums, narrow["id"] == sums["document_id"], "left")
+    # one row a document on either side: never a broadcast, however small a few columns of a wide table look
+    joined = narrow.hint("merge").join(sums.hint("merge"), narrow["id"] == sums["document_id"], "left")
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     differs = ~blank("item_cfop") & ~blank("doc_cfop") & (F.col("item_cfop") != F.col("doc_cfop"))
     zero = F.lit(0).cast("bigint")

@@ -84,6 +84,7 @@ def stored_records(docs: DataFrame, key: str, file_name: str) -> DataFrame:
         money2(F.coalesce("total", F.lit(0.0))).alias("total_value"),
         "cfop",
     )
-    judged = named.join(found, "id")
+    # Of a wide table Spark takes a few columns for next to nothing, and would broadcast one row a document.
+    judged = named.hint("merge").join(found.hint("merge"), "id")
     counts = judged.select("id", "n_errors", "n_warnings", "calculated_cents")
-    return records.storage_record(judged).join(counts, "id")
+    return records.storage_record(judged).hint("merge").join(counts.hint("merge"), "id")
