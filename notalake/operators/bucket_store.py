@@ -6,7 +6,7 @@ them visible: a run that fails before leaves the table as it was, and a batch th
 its own folders and manifest and nothing else. Readers of an older state keep their folders.
 
 The number of buckets is fixed when the table is made and bounds everything that reaches the driver.
-It should be such that one bucket fits a task.
+A bucket may be larger than a task can hold.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from .relate import latest
 
+TASK_ROWS = 100_000  # of a task that finds the newest rows, about
 MANIFEST = "batch bigint, bucket int, buckets int, keys array<string>, layout string"
 
 
@@ -51,10 +52,16 @@ def upsert(changes: DataFrame, path: str, order: list[Column], batch: int) -> li
     spark = changes.sparkSession
     newest, buckets, keys, schema = _state(spark, path, before=batch)
     bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    touched = sorted(r["b"] for r in changes.select(bucket.alias("b")).distinct().collect())
+    arriving = {r["b"]: r["count"] for r in changes.groupBy(bucket.alias("b")).count().collect()}
+    touched = sorted(arriving)
     old = _read(spark, path, {b: newest[b] for b in touched if b in newest}, schema)
-    merged = latest(old.unionByName(changes.select(*schema.fieldNames())), keys, *order)
-    placed = merged.withColumn("bucket", bucket).repartition("bucket")
+    both = old.unionByName(changes.select(*schema.fieldNames()))
+    tasks = (sum(arriving.values()) + old.count()) // TASK_ROWS
+    if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        both = both.repartition(tasks, *keys)
+    merged = latest(both, keys, *order)
+    # A small bucket is one file, a large one several: no task writes more than a part of it.
+    placed = merged.withColumn("bucket", bucket).hint("rebalance", F.col("bucket"))
     placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/{batch}")
     rows = spark.createDataFrame([(batch, b, buckets, keys, None) for b in touched], MANIFEST)
     rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/{batch}")
