@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import chunking, extract_xml, profile, search, summary
+from ..operators.stages import spread
 from ..session import fresh_folder
 from ..sources import files, fiscal_view as fv, variant_store
 from ..sources.tables import table
@@ -153,7 +154,7 @@ def reference_match_all(spark: SparkSession, folder: str) -> DataFrame:
 def xml_folder_scan(spark: SparkSession, folder: str) -> DataFrame:
     """A folder tree of XML files, one document each, beside other files that are no XML."""
     path = fresh_folder(spark, "inbox")
-    suppliers = table(spark, folder, "supplier")
+    suppliers = spread(table(spark, folder, "supplier"), 10_000)  # a file a row: costly to write
     issuer = F.concat(F.lit("Fornecedor "), F.col("s_nationkey").cast("string"))
     note = F.struct(F.struct(F.col("s_suppkey").alias("nNF")).alias("ide"), F.struct(issuer.alias("xNome")).alias("emit")).alias("infNFe")
     written = suppliers.select(note, (F.col("s_suppkey") % 7).alias("day"))
