@@ -16,11 +16,14 @@ def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, task_rows: int | None = None) -> DataFrame:
     """More tasks for a costly row-by-row job whose input has fewer partitions than there are cores.
 
     A file of one row group is one task however long the work per row. On input that already has a
-    partition per core, which is every large table, this adds nothing.
+    partition per core, which is every large table, this adds nothing. With `task_rows` a larger table is
+    dealt out too, at most that many rows a task, for work that dwarfs a shuffle of them; its splits may
+    be few or empty, since a row group is read whole by one of them. That counts the rows of `df`.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    tasks = -(-df.count() // task_rows) if task_rows else 0
+    return df.repartition(max(tasks, cores)) if tasks > cores or df.rdd.getNumPartitions() < cores else df

@@ -58,7 +58,8 @@ def _ingested(spark: SparkSession, folder: str) -> str:
     """Where the documents, links and rejects of a stream over all XML documents are."""
     base = fresh_folder(spark, "ingest")
     name = F.concat(F.lit("doc_"), F.col("id").cast("string"), F.lit(".xml"))
-    xt.order_documents(spark, folder).select(name.alias("file_name"), "xml").write.parquet(f"{base}/inbox")
+    # Every batch rewrites its buckets, so the inbox has no more files than cores; a batch splits them as it reads.
+    xt.order_documents(spark, folder, task_rows=None).select(name.alias("file_name"), "xml").write.parquet(f"{base}/inbox")
     arriving = spark.readStream.schema("file_name string, xml string").option("maxFilesPerTrigger", 64).parquet(f"{base}/inbox")
     jobs.ingest_xml(arriving, f"{base}/documents", f"{base}/rejected", f"{base}/ckpt", f"{base}/links")
     return base

@@ -15,6 +15,7 @@ from ..operators.stages import spread
 from .tables import table
 
 TYPE_BY_PRIORITY = {"1-URGENT": "NFe", "2-HIGH": "NFCe", "3-MEDIUM": "CTe", "5-LOW": "MDFe"}
+TASK_ROWS = 200_000  # of a task that writes and parses a document a row
 
 
 def cnpj_of(number: Column) -> Column:
@@ -39,14 +40,15 @@ def dotted(cnpj: Column) -> Column:
     )
 
 
-def headers(spark: SparkSession, folder: str, costly: bool = False) -> DataFrame:
+def headers(spark: SparkSession, folder: str, costly: bool = False, task_rows: int | None = TASK_ROWS) -> DataFrame:
     """One row per document: identification, parties, total, operation code and taxes.
 
-    `costly` says that much work per row follows, so a small input is spread over the cores first.
+    `costly` says that much work per row follows, so the rows are dealt out first, `task_rows` to a task
+    at most, or to one task a core without.
     """
     orders = table(spark, folder, "orders")
     # The registrations are used in several branches below: a projection of their own computes them once.
-    o = (spread(orders) if costly else orders).withColumns(
+    o = (spread(orders, task_rows) if costly else orders).withColumns(
         {"issuer_full": cnpj_of(F.col("o_custkey") % 997), "recipient_full": cnpj_of(F.col("o_custkey") % 9973)}
     )
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
@@ -125,7 +127,7 @@ def headers(spark: SparkSession, folder: str, costly: bool = False) -> DataFrame
 def items(spark: SparkSession, folder: str, costly: bool = False) -> DataFrame:
     """One row per document item; money in whole cents."""
     l = table(spark, folder, "lineitem")
-    l = spread(l) if costly else l
+    l = spread(l, TASK_ROWS) if costly else l
     part = F.col("l_partkey")
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     unit = F.floor(cents / F.col("l_quantity")).cast("bigint")

@@ -59,9 +59,9 @@ def item_documents(spark: SparkSession, folder: str) -> DataFrame:
     return computed_once(i, "xml", F.when(F.col("item_no") % 3 == 0, note).otherwise(wrapped))
 
 
-def order_documents(spark: SparkSession, folder: str) -> DataFrame:
+def order_documents(spark: SparkSession, folder: str, task_rows: int | None = fv.TASK_ROWS) -> DataFrame:
     """id, xml: each order as the document type it has; a few are broken, foreign or missing."""
-    h = fv.headers(spark, folder, costly=True)
+    h = fv.headers(spark, folder, costly=True, task_rows=task_rows)
     key = F.col("id")
     total = fv.money(F.coalesce(F.col("total_cents"), F.lit(0)))
     cents = lambda c: fv.money(F.coalesce(F.col(c), F.lit(0)))

@@ -131,6 +131,21 @@ def test_gram_lists_take_little_room(spark, tmp_path, monkeypatch):
     assert found.exceptAll(scan).isEmpty() and scan.exceptAll(found).isEmpty() and scan.count() > 8000
 
 
+def test_a_large_bucket_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(bucket_store, "TASK_ROWS", 3_000)
+    path = str(tmp_path / "t")
+    rows = spark.range(0, 60_000, 1, 6).select("id", F.sha2(F.col("id").cast("string"), 512).alias("note"))
+    bucket_store.create(spark, path, rows.schema, ["id"], 2)
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "500KB")
+    try:
+        bucket_store.upsert(rows, path, [F.desc("note")], 0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    files = bucket_store.current(spark, path).groupBy(F.col("_metadata.file_name")).agg(F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in files) == 60_000 and len(files) >= 8 and max(r["n"] for r in files) < 12_000
+
+
 def test_buckets(spark, tmp_path):
     path, schema = str(tmp_path / "t"), "k string, v bigint, note string"
     rows = lambda *r: spark.createDataFrame(list(r), schema)
