@@ -26,4 +26,4 @@ def spread(df: DataFrame, task_rows: int | None = None) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     tasks = -(-df.count() // task_rows) if task_rows else 0
-    return df.repartition(max(tasks, cores)) if tasks > cores or df.rdd.getNumPartitions() < cores else df
+    return df.repartition(max(tasks, cores)) if tasks > 1 or df.rdd.getNumPartitions() < cores else df
