@@ -12,8 +12,13 @@ def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     Filters on a projected column are pushed below the projection by repeating its expression, and
     projections merge; for a parser call that multiplies the work. A generator over a one-element
     array is a stage neither passes, costs no shuffle and stays in the same task.
+
+    The array is a column of a projection, which Spark always compiles; the expressions of a generator
+    are interpreted where the stage is too long to be compiled whole. `explode_outer`, since Spark
+    filters the input of a plain `explode` by the array's size and would compute it twice.
     """
-    return df.select("*", F.explode(F.array(value)).alias(name))
+    held = f"_{name}_held"
+    return df.select("*", F.array(value).alias(held)).select("*", F.explode_outer(held).alias(name)).drop(held)
 
 
 def spread(df: DataFrame, task_rows: int | None = None) -> DataFrame:
