@@ -161,8 +161,8 @@ def matches_reference(reference: str, *fields: str) -> Column:
             tests.append(digits_only(value).contains(digits))
         return F.coalesce(reduce(or_, tests), F.lit(False))
 
-    # One lambda over the fields: each field expression appears once, however many tests there are.
-    return F.exists(F.array(*[F.lower(F.col(name).cast("string")) for name in fields]), hit)
+    # Each field is named once a test, so that all is compiled; no lambda, which Spark interprets. Costly fields are best `computed_once`.
+    return reduce(or_, [hit(F.lower(F.col(name).cast("string"))) for name in fields])
 
 
 def missing_required(emitente: Column, itens: Column, total: Column) -> Column:

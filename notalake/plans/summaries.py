@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import chunking, extract_xml, profile, search, summary
-from ..operators.stages import spread
+from ..operators.stages import computed_once, spread
 from ..session import fresh_folder
 from ..sources import files, fiscal_view as fv, variant_store
 from ..sources.tables import table
@@ -141,10 +141,13 @@ def reference_match_all(spark: SparkSession, folder: str) -> DataFrame:
     """A reference looked for in all twelve places, six of them inside the extracted record."""
     party = lambda number, name, label, n: F.struct(F.col(number).alias("cnpj"), F.col(name).alias("razao_social"), F.concat(F.lit(label), n.cast("string")).alias("nome"))
     record = F.to_json(F.struct(party("issuer_cnpj", "issuer_name", "Nome E", F.col("id")).alias("emitente"), party("recipient_cnpj", "recipient_name", "Nome D", F.col("id") + 7).alias("destinatario")))
-    docs = listing(spark, folder).withColumn("document_key", F.lpad(F.col("id").cast("string"), 44, "0")).withColumn("extracted", F.parse_json(record))
+    keyed = listing(spark, folder).withColumn("document_key", F.lpad(F.col("id").cast("string"), 44, "0"))
+    # The filter below would be pushed under these and parse the record again for every field of it.
+    docs = computed_once(keyed, "extracted", F.parse_json(record))
     inside = {f"{p}_{n}": variant_store.field("extracted", f"{p}.{n}", "string") for p in ("emitente", "destinatario") for n in ("cnpj", "razao_social", "nome")}
     fields = ("file_name", "document_number", "document_key", "id", "issuer_cnpj", "issuer_name", *inside)
-    return docs.withColumns(inside).filter(search.matches_reference("Nome D15", *fields)).select("id")
+    read = computed_once(docs, "_inside", F.struct(*[c.alias(name) for name, c in inside.items()])).select("*", "_inside.*")
+    return read.filter(search.matches_reference("Nome D15", *fields)).select("id")
 
 
 @register(
