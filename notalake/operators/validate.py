@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from .. import reference_data as ref
 from ..functions.codes import cnpj_is_valid, digits_only, normal_cfop, zero_fill
 from ..sources.fiscal_view import money
-from .stages import computed_once
 
 ERROR, WARNING = "error", "warning"
 
@@ -56,9 +55,9 @@ def issues(df: DataFrame, rules: list[Rule], *keys: str) -> DataFrame:
             for i, r in enumerate(rules)
         ]
     )
-    found = F.filter(candidates, lambda x: x.isNotNull())
-    listed = computed_once(df, "found", found)
-    return listed.select(*keys, F.explode("found").alias("issue")).select(*keys, "issue.*")
+    # No higher-order function over the rules: Spark interprets those and all that is in them.
+    listed = df.select(*keys, candidates.alias("found")).select(*keys, F.explode_outer("found").alias("issue"))
+    return listed.filter(F.col("issue").isNotNull()).select(*keys, "issue.*")
 
 
 def count_fired(rules: list[Rule], severity: str) -> Column:

@@ -305,17 +305,16 @@ SELECT document_id, seq, message, coalesce(error_category, first_category) AS ca
 def merged_issues(spark: SparkSession, folder: str) -> DataFrame:
     """Findings of two sources that differ in case, category and details, merged into one list."""
     found = v.issues(fv.headers(spark, folder, costly=True), v.header_rules(), "id")
-    first = found.select(
-        F.col("id").alias("document_id"),
-        "seq",
-        "message",
-        F.when(F.col("severity") == "error", "Erro").otherwise("Aviso").alias("category"),
-        F.lit("").alias("details"),
+    finding = lambda seq, message, category, details: F.struct(
+        seq.alias("seq"), message.alias("message"), category.alias("category"), details.alias("details")
     )
-    second = found.select(
-        "id", F.col("seq") + 100, F.upper("message"), F.lit("Erro"), F.col("rule")
+    first = finding(
+        F.col("seq"), F.col("message"), F.when(F.col("severity") == "error", "Erro").otherwise("Aviso"), F.lit("")
     )
-    return v.merged_issues(first.union(second))
+    second = finding(F.col("seq") + 100, F.upper("message"), F.lit("Erro"), F.col("rule"))
+    # Both sources tell of one pass of the rules.
+    both = found.select(F.col("id").alias("document_id"), F.explode(F.array(first, second)).alias("finding"))
+    return v.merged_issues(both.select("document_id", "finding.*"))
 
 
 @register(
