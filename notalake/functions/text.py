@@ -8,25 +8,88 @@ from pyspark.sql import functions as F
 from .. import reference_data as ref
 
 
+# Fixed value: the characters of Unicode's White_Space, which `(?U)\s` is.
+WHITE_SPACE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+# Fixed value: other characters that an ASCII letter meets when case does not count.
+OTHER_CASES = {"i": "\u0130\u0131", "k": "\u212a", "s": "\u017f"}
+
+
 def trim_space(text: Column) -> Column:
     """Trim every kind of white space, as text tools do; SQL trim only knows the blank."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))  # looks at the ends only
+
+
+def _alternatives(pattern: str) -> tuple[list[str], int]:
+    """What stands between the bars of a pattern, or of the group it is the rest of, and where that ends."""
+    parts, start, i, depth, in_class = [], 0, 0, 0, False
+    while i < len(pattern):
+        sign = pattern[i]
+        if sign == "\\":
+            i += 1
+        elif in_class:
+            in_class = sign != "]"
+        elif sign == "[":
+            in_class = True
+        elif sign == "(":
+            depth += 1
+        elif sign == ")" and depth == 0:
+            break
+        elif sign == ")":
+            depth -= 1
+        elif sign == "|" and depth == 0:
+            parts.append(pattern[start:i])
+            start = i + 1
+        i += 1
+    return [*parts, pattern[start:i]], i
+
+
+def first_letters(pattern: str) -> str | None:
+    """The ASCII letters one of which a match begins with; None where a match may begin otherwise."""
+    found = ""
+    for part in _alternatives(pattern)[0]:
+        part = part.removeprefix(r"\b")
+        if part.startswith("("):
+            inner = part[3:] if part.startswith("(?:") else part[1:]
+            end = _alternatives(inner)[1]
+            letters = None if inner.startswith("?") else first_letters(inner[:end])
+            following = inner[end + 1 : end + 2]
+        else:
+            letters, following = part[:1] if part[:1].isascii() and part[:1].isalpha() else None, part[1:2]
+        if not letters or following in ("*", "?", "{"):
+            return None
+        found += letters
+    return found
+
+
+def started(pattern: str, flags: str = "iuU") -> str:
+    """The pattern with its flags, behind a look at the next character, a cheap test that nearly every place of a text fails."""
+    letters = first_letters(pattern)
+    if letters is None:
+        return f"(?{flags}){pattern}"
+    cases = "".join(dict.fromkeys(c for a in letters.lower() for c in a + a.upper() + OTHER_CASES.get(a, "")))
+    return f"(?=[{cases}])(?{flags}){pattern}"
+
+
+def _plain(text: Column, removed: str) -> Column:
+    """One blank for each run of white space; without the ASCII signs `removed` and without what is no word character beyond ASCII.
+
+    Single blanks and characters that stay are not matched, so a text that is plain already is only read.
+    """
+    blanks = F.regexp_replace(trim_space(text), r"(?U)[\s&&[^ ]]\s*| \s+", " ")
+    return F.regexp_replace(blanks, rf"(?U)[{removed}[^\x20-\x7e\w\s]]", "")
 
 
 def clean_wide(text: Column) -> Column:
     """Collapse blanks, drop unusual signs, lower-case, normalise fiscal terms."""
-    cleaned = F.regexp_replace(trim_space(text), r"(?U)\s+", " ")
-    cleaned = F.regexp_replace(cleaned, r"(?U)[^\w\s\-.,;:()/%R$@+*<>_=\[\]]", "")
-    cleaned = F.lower(cleaned)
+    cleaned = F.lower(_plain(text, r"""!"#&'?\\^`{|}~"""))
     for pattern, replacement in ref.CLEAN_TERMS:
-        cleaned = F.regexp_replace(cleaned, "(?iuU)" + pattern, replacement)
+        cleaned = F.regexp_replace(cleaned, started(pattern), replacement)
     return trim_space(cleaned)
 
 
 def clean_narrow(text: Column) -> Column:
     """As `clean_wide` with fewer signs kept, case left alone and plain replacements."""
-    cleaned = F.regexp_replace(trim_space(text), r"(?U)\s+", " ")
-    cleaned = F.regexp_replace(cleaned, r"(?U)[^\w\s\-.,;:()/%R$]", "")
+    cleaned = _plain(text, r"""!"#&'*+<=>?@\[\\\]^`{|}~""")
     for old, new in ref.CLEAN_REPLACEMENTS:
         cleaned = F.replace(cleaned, F.lit(old), F.lit(new))
     return trim_space(cleaned)

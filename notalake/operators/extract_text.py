@@ -13,12 +13,9 @@ from .. import reference_data as ref
 from ..functions.codes import contains_any, digits_only
 from ..functions.dates import recognised_date
 from ..functions.numbers import PLAIN_NUMBER
-from ..functions.text import trim_space
+from ..functions.text import started, trim_space
 from .stages import computed_once
 
-ANY_CASE = "(?iuU)"
-
-
 def document_type(text: Column) -> Column:
     """nfe / nfce / cte / mdfe / unknown: tags, then names, then key prefixes, then the model digits of a key."""
     t = F.lower(text)
@@ -38,7 +35,7 @@ def document_type(text: Column) -> Column:
 
 
 def _found(text: Column, pattern: str) -> Column:
-    return F.nullif(trim_space(F.regexp_extract(text, ANY_CASE + pattern, 1)), F.lit(""))
+    return F.nullif(trim_space(F.regexp_extract(text, started(pattern), 1)), F.lit(""))
 
 
 def _amount(text: Column) -> Column:
@@ -78,17 +75,17 @@ def labelled_fields(df: DataFrame, text: str = "raw_text") -> DataFrame:
 
 def text_items(df: DataFrame, *keys: str, text: str = "raw_text") -> DataFrame:
     """One row per line of the item section; lines with unreadable amounts are left out."""
-    section = F.regexp_extract(F.col(text), ref.ITEM_SECTION_PATTERN, 1)
+    section = F.regexp_extract(F.col(text), started(ref.ITEM_SECTION_PATTERN.removeprefix("(?is)"), "is"), 1)
     pattern = "(?U)" + ref.ITEM_LINE_PATTERN
     names = ["codigo", "descricao", "quantidade", "unidade", "valor_unitario", "valor_total"]
-    cut = df.select(*keys, section.alias("_section")).filter("_section <> ''")
-    # one pass over the section; the groups are read from each short match
+    cut = computed_once(df.select(*keys, text), "_section", section).filter("_section <> ''")
+    # One pass over the section, then one over each short match: its groups, between signs that no group can hold.
     lines = F.regexp_extract_all("_section", F.lit(pattern), F.lit(0))
-    found = F.transform(lines, lambda m: F.struct(*[F.regexp_extract(m, pattern, i + 1).alias(n) for i, n in enumerate(names)]))
-    lists = computed_once(cut, "_lists", found)
-    rows = lists.select(*keys, F.posexplode("_lists").alias("pos", "item"))
+    rows = cut.select(*keys, F.posexplode(lines).alias("pos", "line"))
+    groups = F.split(F.regexp_replace("line", pattern, "\u0001".join(f"${i + 1}" for i in range(len(names)))), "\u0001", -1)
+    parts = computed_once(rows, "_item", groups)
     money = lambda c: _amount(F.trim(F.replace(F.col(c), F.lit("R$"), F.lit(""))))
-    read = rows.select(*keys, "pos", "item.*").select(
+    read = parts.select(*keys, "pos", *[F.get("_item", i).alias(n) for i, n in enumerate(names)]).select(
         *keys,
         (F.col("pos") + 1).alias("item_pos"),
         F.trim("codigo").alias("codigo"),
