@@ -27,6 +27,7 @@ BLOCK = 4096  # rows of a block
 QUERIES_PER_ROW = 16_384  # queries that meet a store row's copy together
 MOST_CELLS = 65_536
 HELD = 64  # query blocks a task keeps the best rows of at a time
+SLICE = 256  # queries multiplied at a time
 
 ARROW = {"bigint": pa.int64(), "string": pa.string()}
 
@@ -78,19 +79,26 @@ def _ranked(width: int, k: int, threshold: float, kinds: tuple[str, str]):
 
         for batch in batches:
             for r in range(batch.num_rows):
-                q_keys = _keys(batch.column("q_keys")[r].values)
+                q_keys = _keys(batch.column("q_keys")[r].values).copy()  # held: a view would keep its whole batch
                 s_keys = _keys(batch.column("keys")[r].values)
                 asked, rows = (np.frombuffer(batch.column(c)[r].as_buffer(), np.float64).reshape(-1, width) for c in ("q_matrix", "matrix"))
                 name = q_keys.tobytes()
                 if name not in held and len(held) == HELD:
                     yield from out()
-                found = np.round(asked @ rows.T, PLACES)
-                _, (query, score, key), floor = held.get(name, (None, (np.zeros(0, np.int64), np.zeros(0), s_keys[:0]), np.full(len(q_keys), threshold)))
-                # only what is at least as good as the k-th, here and so far
-                if found.shape[1] > k:
-                    floor = np.maximum(floor, np.partition(found, -k, axis=1)[:, -k])
-                at, column = np.nonzero(found >= floor[:, None])
-                merged = _best(np.concatenate((query, at)), np.concatenate((score, found[at, column])), np.concatenate((key, s_keys[column])), k)
+                _, (query, score, key), floor = held.get(name, (None, (np.zeros(0, np.int64), np.zeros(0), s_keys[:0].copy()), np.full(len(q_keys), threshold)))
+                queries, scores, keys = [query], [score], [key]
+                for start in range(0, len(asked), SLICE):
+                    found = asked[start : start + SLICE] @ rows.T
+                    np.round(found, PLACES, out=found)
+                    # only what is at least as good as the k-th, here and so far
+                    least = floor[start : start + SLICE]
+                    if found.shape[1] > k:
+                        least = np.maximum(least, np.partition(found, -k, axis=1)[:, -k])
+                    at, column = np.nonzero(found >= least[:, None])
+                    queries.append(at + start)
+                    scores.append(found[at, column])
+                    keys.append(s_keys[column])
+                merged = _best(np.concatenate(queries), np.concatenate(scores), np.concatenate(keys), k)
                 full = np.bincount(merged[0], minlength=len(q_keys)) == k
                 floor = np.full(len(q_keys), threshold)
                 floor[full] = merged[1][np.searchsorted(merged[0], np.flatnonzero(full), "right") - 1]  # the k-th row's
