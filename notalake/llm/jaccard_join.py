@@ -15,6 +15,10 @@ classes. The join never lists the pairs inside a group of near copies:
    what lies far from a leader lies far from everything that hangs on it: two anchors' groups are
    looked into only if the anchors' distance is at most (1 - t) plus both radii, first member by
    anchor, then what is left member by member, and only where the groups are not connected yet.
+   A member meets another anchor only if the shingles by which it differs from its own, of those that
+   any anchor nearby differs by too, can bring it near enough.
+4. Sketches. Every pair to be compared is first bounded by parities of the sets' shingles in a few
+   bits a shingle; whole sets go to the pairs that are left.
 
 No link is lost and none is made up: every link is confirmed on the full sets.
 
@@ -171,7 +175,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(docs: DataFrame, how: Similarity, bitmap, bits: int) -> DataFrame:
-    """doc_id, n, digest and whole set of the documents whose id may be wanted, by the bitmap of ids' low bits."""
+    """doc_id and whole set of the documents that have one and whose id may be wanted, by the bitmap of ids' low bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -180,11 +184,10 @@ def _sets(docs: DataFrame, how: Similarity, bitmap, bits: int) -> DataFrame:
             part = part.filter(pa.array(known & ((bitmap.value[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1)))
             if part.num_rows:
                 doc, value = shingles(Words(part.column("text"), lower=True), how.words)
-                edges = _edges(doc, part.num_rows)
-                lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(value.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(np.diff(edges)), *_halves(_digests(value, edges)), lists], ["doc_id", "n", "d1", "d2", "keys"])
+                lists = pa.ListArray.from_arrays(pa.array(_edges(doc, part.num_rows).astype(np.int32)), pa.array(value.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), lists], ["doc_id", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, keys array<long>").filter(F.size("keys") > 0)
 
 
 def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
@@ -199,8 +202,88 @@ def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) -> (a, b, na, nb, shared), on the full sets."""
+def parities(value: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches of sets of n shingles, one after the other: bytes, and where each set's begin and end.
+
+    A bit says whether an odd number of the set's shingles fell on it. A shingle that only one of two sets
+    has changes one bit, so sketches differ in no more bits than the sets in shingles. There are two to
+    four bits a shingle, a power of two.
+    """
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+    first = np.cumsum(bits) - bits
+    owner = np.repeat(np.arange(len(n)), n)
+    at = first[owner] + (mix(value) & (bits - 1).astype(np.uint64)[owner]).astype(np.int64)
+    odd = (np.bincount(at, minlength=int(bits.sum())) & 1).astype(np.uint8)
+    return np.packbits(odd), np.concatenate((first, [bits.sum()])) >> 3
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A number of shingles in which two sets differ at least, by their sketches; the longer one is folded."""
+    u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(u) < len(v):
+        u, v = v, u
+    while len(u) > len(v):
+        u = u[: len(u) // 2] ^ u[len(u) // 2 :]
+    return int(np.bitwise_count(u ^ v).sum())
+
+
+def _sketches(sets: DataFrame) -> DataFrame:
+    """rep, n and sketch of sets (rep, keys)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _rows_of(batches, "keys", SLICE_KEYS):
+            n = pc.list_value_length(batch.column("keys")).to_numpy(zero_copy_only=False).astype(np.int64)
+            data, edges = parities(pc.list_flatten(batch.column("keys")).to_numpy().view(np.uint64), n)
+            sketch = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(n), sketch], ["rep", "n", "sketch"])
+
+    return sets.select("rep", "keys").mapInArrow(run, "rep long, n long, sketch binary")
+
+
+def _near(pairs: DataFrame, sketches: DataFrame, how: Similarity) -> DataFrame:
+    """Of pairs (a, b, slack), those (a, b) whose distance may be at most that of linked sets plus the slack."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())
+            differ = np.array([least_difference(x, y) for x, y in both], np.float64)
+            size = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            close = 2 * differ / np.maximum(size + differ, 1) <= 1 - how.percent / 100 + batch.column("slack").to_numpy() + 1e-9
+            yield batch.select(["a", "b"]).filter(pa.array(close))
+
+    side = lambda x: sketches.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "slack", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def _asked_for(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sets whose rep may be one of `ids` (rep), picked where they lie."""
+    bitmap, last = sets.sparkSession.sparkContext.broadcast(_bitmap(ids, FILTER_BITS)), (1 << FILTER_BITS) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = batch.column("rep").to_numpy() & last
+            yield batch.filter(pa.array((bitmap.value[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1))
+
+    return sets.select("rep", "keys").mapInArrow(run, "rep long, keys array<long>")
+
+
+def _changes(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(g, x) -> (g, x, key): the shingles that only one of the two sets has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _rows_of(batches, "kx", SLICE_KEYS):
+            left, right = batch.column("kg"), batch.column("kx")
+            found = [np.setxor1d(left[i].values.to_numpy(), right[i].values.to_numpy(), assume_unique=True) for i in range(batch.num_rows)]
+            row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            yield pa.RecordBatch.from_arrays([batch.column("g").take(row), batch.column("x").take(row), pa.array(np.concatenate(found))], ["g", "x", "key"])
+
+    few = _asked_for(sets, pairs.select(F.col("g").alias("rep")).union(pairs.select(F.col("x").alias("rep"))))
+    left, right = few.select(F.col("rep").alias("g"), F.col("keys").alias("kg")), few.select(F.col("rep").alias("x"), F.col("keys").alias("kx"))
+    return pairs.join(left, "g").join(right, "x").select("g", "x", "kg", "kx").mapInArrow(run, "g long, x long, key long")
+
+
+def _similarities(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, how: Similarity) -> DataFrame:
+    """(a, b, slack) -> (a, b, na, nb, shared), on the full sets, of the pairs that `_near` leaves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,9 +300,15 @@ def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 [batch.column("a"), batch.column("b"), left.value_lengths().cast(pa.int64()), right.value_lengths().cast(pa.int64()), pa.array(shared)], ["a", "b", "na", "nb", "shared"]
             )
 
-    left = sets.select(F.col("rep").alias("a"), F.col("keys").alias("ka"))
-    right = sets.select(F.col("rep").alias("b"), F.col("keys").alias("kb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ka", "kb").mapInArrow(run, "a long, b long, na long, nb long, shared long")
+    near = stored(_near(pairs, sketches, how), "near-pairs")
+    few = _asked_for(sets, near.select(F.col("a").alias("rep")).union(near.select(F.col("b").alias("rep"))))
+    left = few.select(F.col("rep").alias("a"), F.col("keys").alias("ka"))
+    right = few.select(F.col("rep").alias("b"), F.col("keys").alias("kb"))
+    return near.join(left, "a").join(right, "b").select("a", "b", "ka", "kb").mapInArrow(run, "a long, b long, na long, nb long, shared long")
+
+
+def _differ() -> Column:
+    return F.col("na") + F.col("nb") - 2 * F.col("shared")
 
 
 def _distance() -> Column:
@@ -298,12 +387,14 @@ def _index(sets: DataFrame, how: Similarity) -> DataFrame:
 def links(sets: DataFrame, how: Similarity) -> DataFrame:
     """Enough confirmed links (a, b) to connect all that are linked, of sets (rep, keys), by the steps in the module text."""
     lists = _index(sets, how)
+    sketches = stored(_sketches(sets), "sketches")
     one = 1 - how.percent / 100
     leaders = lists.groupBy("key", "block").agg(F.min_by("rep", F.struct("alone", "rep")).alias("b"))
     hung = lists.join(stored(leaders, "leaders"), ["key", "block"]).filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
-    tested = stored(_similarities(hung, sets), "leader-tests")
+    tested = stored(_similarities(hung.withColumn("slack", F.lit(0.0)), sets, sketches, how), "leader-tests")
     good = tested.filter(how.linked(F.col("shared"), F.col("na"), F.col("nb")))
-    anchors = stored(good.groupBy("a").agg(F.min_by(F.struct("b", _distance().alias("d")), F.struct(_distance(), "b")).alias("x")).select(F.col("a").alias("rep"), F.col("x.b").alias("anchor"), F.col("x.d").alias("d")), "anchors")
+    own = F.struct("b", _distance().alias("d"), _differ().alias("own"), F.col("na").alias("n"))
+    anchors = stored(good.groupBy("a").agg(F.min_by(own, F.struct(_distance(), "b")).alias("x")).select(F.col("a").alias("rep"), F.col("x.b").alias("anchor"), "x.d", "x.own", "x.n"), "anchors")
     radius = anchors.groupBy("anchor").agg(F.max("d").alias("r"))
     # of each block of a list, the anchors in it, with what bounds size and overlap for any set of an anchor's group
     placed = lists.join(anchors.select("rep", "anchor"), "rep", "left").withColumn("anchor", F.coalesce("anchor", "rep"))
@@ -316,33 +407,55 @@ def links(sets: DataFrame, how: Similarity) -> DataFrame:
     fits = (100 * F.col("xhi") >= how.percent * F.col("ylo")) & (100 * F.col("yhi") >= how.percent * F.col("xlo")) & (F.least("xleft", "yleft") >= needed)
     apart_once = (F.col("a") != F.col("b")) & ((F.col("xb") < x["at"]) | (F.col("a") < F.col("b")))
     pairs = x.join(y, (x["key"] == y["key"]) & (x["at"] == y["at"]) & fits & apart_once).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = stored(_similarities(pairs, sets), "anchor-tests")
-    links_now = good.select("a", "b").union(across.filter(how.linked(F.col("shared"), F.col("na"), F.col("nb"))).select("a", "b"))
     r = lambda side: radius.select(F.col("anchor").alias(side), F.col("r").alias(f"r{side}"))
-    near = across.filter(~how.linked(F.col("shared"), F.col("na"), F.col("nb"))).join(r("a"), "a", "left").join(r("b"), "b", "left").fillna(0.0, ["ra", "rb"])
-    open_pairs = stored(near.filter((F.col("ra") + F.col("rb") > 0) & (_distance() <= one + F.col("ra") + F.col("rb") + 1e-9)).select("a", "b", "ra", "rb"), "open-groups")
+    pairs = pairs.join(r("a"), "a", "left").join(r("b"), "b", "left").fillna(0.0, ["ra", "rb"]).withColumn("slack", F.col("ra") + F.col("rb"))
+    pairs = stored(pairs, "anchor-pairs")
+    across = stored(_similarities(pairs.select("a", "b", "slack"), sets, sketches, how), "anchor-tests")
+    links_now = good.select("a", "b").union(across.filter(how.linked(F.col("shared"), F.col("na"), F.col("nb"))).select("a", "b"))
+    near = across.filter(~how.linked(F.col("shared"), F.col("na"), F.col("nb"))).withColumn("ab", _distance()).withColumn("apart", _differ()).join(pairs, ["a", "b"])
+    open_pairs = stored(near.filter((F.col("slack") > 0) & (F.col("ab") <= one + F.col("slack") + 1e-9)).select("a", "b", "ab", "apart", "na", "nb", "ra", "rb"), "open-groups")
+    if open_pairs.isEmpty():
+        return links_now
+    # member by anchor, both ways, then members that are still near; each time only between groups not connected yet
+    links_now = stored(links_now, "links")
+    open_pairs = stored(_apart(open_pairs, links_now), "open-apart")
     if open_pairs.isEmpty():
         return links_now
-    # member by anchor, both ways; then members that are still near, only between groups not connected yet
-    member = anchors.select(F.col("rep").alias("m"), F.col("anchor").alias("g"))
-    sides = open_pairs.select(F.col("a").alias("g"), F.col("b").alias("other"), F.col("rb").alias("r")).union(open_pairs.select(F.col("b").alias("g"), F.col("a").alias("other"), F.col("ra").alias("r")))
-    asked = sides.join(member, "g").select(F.col("m").alias("a"), F.col("other").alias("b"), "g", "r")
-    known = stored(_similarities(asked.select("a", "b").distinct(), sets), "member-tests")
+    side = lambda g, other: open_pairs.select(F.col(g).alias("g"), F.col(other).alias("other"), F.col(f"n{other}").alias("no"), F.col(f"r{other}").alias("r"), "ab", "apart")
+    sides = stored(side("a", "b").union(side("b", "a")), "sides")
+    member = stored(anchors.select(F.col("anchor").alias("g"), F.col("rep").alias("m"), "d", "own", "n").join(sides.select("g"), "g", "left_semi"), "members")
+    # of the shingles by which a member differs from its anchor, how many any other anchor shares: those alone bring it nearer to that one
+    others = _changes(sides.select("g", F.col("other").alias("x")), sets).select("g", "key").distinct()
+    toward = _changes(member.select("g", F.col("m").alias("x")), sets).join(others, ["g", "key"], "left_semi").groupBy("g", F.col("x").alias("m")).agg(F.count("*").alias("toward"))
+    member = member.join(toward, ["g", "m"], "left").fillna(0, ["toward"]).withColumnRenamed("g", "of")
+    limit = one + F.col("r")
+    reaches = F.col("ab") - F.col("d") <= limit + 1e-9
+    turns = F.col("own") + F.col("apart") - 2 * F.least("toward", "apart") <= limit / (2 - limit) * (F.col("n") + F.col("no")) + 1e-6
+    asked = stored(sides.join(member, (F.col("g") == F.col("of")) & reaches & turns).select(F.col("m").alias("a"), F.col("other").alias("b"), "g", "r"), "asked")
+    tests = asked.groupBy("a", "b").agg(F.max("r").alias("slack"))
+    known = stored(_similarities(tests, sets, sketches, how), "member-tests")
     linked = known.filter(how.linked(F.col("shared"), F.col("na"), F.col("nb"))).select("a", "b")
     links_now = stored(links_now.union(linked), "links")
-    group_of = stored(components(links_now), "groups-so-far")
-    of = lambda side: group_of.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-    apart = open_pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    apart = apart.select(F.col("a").alias("g"), F.col("b").alias("other")).union(apart.select(F.col("b").alias("g"), F.col("a").alias("other")))
+    apart = _apart(open_pairs.select("a", "b"), links_now)
+    apart = stored(apart.select(F.col("a").alias("g"), F.col("b").alias("other")).union(apart.select(F.col("b").alias("g"), F.col("a").alias("other"))), "apart")
+    if apart.isEmpty():
+        return links_now
     still = asked.join(known, ["a", "b"]).filter(~how.linked(F.col("shared"), F.col("na"), F.col("nb")) & (_distance() <= one + F.col("r") + 1e-9)).select(F.col("a").alias("m"), "g", F.col("b").alias("other"))
     still = still.join(apart, ["g", "other"], "left_semi")
     left = still.select(F.col("m").alias("a"), F.col("g").alias("ga"), F.col("other").alias("gb"))
     right = still.select(F.col("m").alias("b"), F.col("other").alias("ga"), F.col("g").alias("gb"))
-    rest = left.join(right, ["ga", "gb"]).filter("a < b").select("a", "b").distinct()
-    more = _similarities(rest, sets).filter(how.linked(F.col("shared"), F.col("na"), F.col("nb"))).select("a", "b")
+    rest = left.join(right, ["ga", "gb"]).filter("a < b").select("a", "b").distinct().withColumn("slack", F.lit(0.0))
+    more = _similarities(rest, sets, sketches, how).filter(how.linked(F.col("shared"), F.col("na"), F.col("nb"))).select("a", "b")
     return links_now.union(more)
 
 
+def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """Of pairs (a, b, ...) those that `links` don't connect."""
+    group_of = stored(components(links), "groups-so-far")
+    of = lambda side: group_of.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
+
+
 def _clash(heads: DataFrame) -> bool:
     """Whether some doc_id comes with several sets."""
     sets = heads.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("x"), F.max(F.struct("d1", "d2")).alias("y"))
@@ -384,11 +497,11 @@ def _grouped(docs: DataFrame, how: Similarity, heads: DataFrame) -> DataFrame:
     listed = met.join(class_of.select("doc_id", "rep"), "doc_id").select("key", "rep").distinct()
     several = listed.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x < y").select("key")
     likely = listed.join(stored(several, "several-classes"), "key", "left_semi").select("rep").distinct()
-    own = class_of.groupBy("rep").agg(F.min(F.struct("d1", "d2", "n")).alias("x")).select("rep", "x.*").join(likely, "rep", "left_semi")
-    own = stored(own, "likely")
-    wanted = spark.sparkContext.broadcast(_bitmap(own, FILTER_BITS))
+    likely = stored(likely, "likely")
+    wanted = spark.sparkContext.broadcast(_bitmap(likely, FILTER_BITS))
     again = _sets(docs, how, wanted, FILTER_BITS).withColumnRenamed("doc_id", "rep")
-    sets = stored(again.join(own, ["rep", "d1", "d2", "n"], "left_semi").dropDuplicates(["rep"]).select("rep", "keys"), "sets")
+    # a doc_id has one set, so its rows are equal, and one shuffle by it serves both steps
+    sets = stored(again.join(likely, "rep", "left_semi").dropDuplicates(["rep"]).select("rep", "keys"), "sets")
     found = components(links(sets, how))
     labelled = classes.join(found, classes["rep"] == found["node"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     rows = heads.select("doc_id", "n", "d1", "d2")
