@@ -47,6 +47,7 @@ from .components import components
 from .registry import query
 
 FILTER_BITS = 27  # of the bitmap that says which documents' sets are wanted again: 16 MB
+SLICE_TEXT = 1 << 20  # bytes of texts that are cut into shingles at a time
 SLICE_KEYS = 1 << 18  # that are ordered at a time
 SKETCH_CELLS, SKETCH_PARTS = 1 << 19, 64  # of shingle counts: 4 MB
 BLOCK_RATIO = 1.5  # of the largest sizes of neighbouring blocks
@@ -96,7 +97,7 @@ def _heads(docs: DataFrame, how: Similarity) -> DataFrame:
     """One row a row: doc_id, n and the set's digest (d1, d2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE_TEXT):
             doc, value = shingles(Words(part.column("text"), lower=True), how.words)
             edges = _edges(doc, part.num_rows)
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(np.diff(edges)), *_halves(_digests(value, edges))], ["doc_id", "n", "d1", "d2"])
@@ -141,7 +142,7 @@ def _listed(docs: DataFrame, how: Similarity) -> DataFrame:
     """(key, doc_id, n): the lists of all sets; of equal sets in one slice of a task only the first goes on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE_TEXT):
             doc, value = shingles(Words(part.column("text"), lower=True), how.words)
             edges = _edges(doc, part.num_rows)
             ids = part.column("doc_id").to_pylist()
@@ -178,7 +179,7 @@ def _sets(docs: DataFrame, how: Similarity, bitmap, bits: int) -> DataFrame:
     """doc_id and whole set of the documents that have one and whose id may be wanted, by the bitmap of ids' low bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE_TEXT):
             known = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             low = part.column("doc_id").cast(pa.int64()).fill_null(0).to_numpy() & ((1 << bits) - 1)
             part = part.filter(pa.array(known & ((bitmap.value[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1)))
@@ -260,7 +261,7 @@ def _asked_for(sets: DataFrame, ids: DataFrame) -> DataFrame:
     bitmap, last = sets.sparkSession.sparkContext.broadcast(_bitmap(ids, FILTER_BITS)), (1 << FILTER_BITS) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _rows_of(batches, "keys", SLICE_KEYS):
             low = batch.column("rep").to_numpy() & last
             yield batch.filter(pa.array((bitmap.value[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1))
 

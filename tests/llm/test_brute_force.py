@@ -487,6 +487,48 @@ def test_parts_meet_for_every_linked_pair():
             assert set(key[who == 0]) & set(key[who == 1])
 
 
+def test_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 31, 32, 33, 200, 900):
+        for _ in range(30):
+            x = np.unique(rng.integers(1, 1 << 62, n).astype(np.uint64))
+            y = np.unique(np.concatenate((x[int(rng.integers(0, n)) :], rng.integers(1, 1 << 62, int(rng.integers(0, 2 * n))).astype(np.uint64))))
+            data, edges = jaccard_join.parities(np.concatenate((x, y)), np.array([len(x), len(y)]))
+            a, b = (data[edges[k] : edges[k + 1]].tobytes() for k in (0, 1))
+            found, true = jaccard_join.least_difference(a, b), len(np.setxor1d(x, y))
+            assert found <= true and jaccard_join.least_difference(b, a) == found and jaccard_join.least_difference(a, a) == 0
+            assert found >= true * 0.2
+
+
+def test_whole_sets_go_to_near_pairs_only(spark, monkeypatch):
+    """120 near copies, some without their first words, 40 sets that share rare shingles with them but no link, and two that a member links to the group."""
+    base = [f"b{k}" for k in range(100)]
+
+    def edited(places, mark):
+        return [f"{mark}{k}" if k in places else w for k, w in enumerate(base)]
+
+    texts = [base, *(edited({10 + i % 80}, f"m{i}x")[i % 6 :] for i in range(120))]
+    texts += [edited({5 + i % 10, 25 + i % 9, 45 + i % 8, 65 + i % 7, 85 + i % 6}, f"o{i}x") for i in range(40)]
+    for i in (3, 50):  # with the edit of a member and three more
+        mark = edited({10 + i % 80}, f"m{i}x")
+        for k in (2, 48, 95):
+            mark[k] = f"s{i}x{k}"
+        texts.append(mark)
+    rows = [(7 * i + 1, " ".join(w)) for i, w in enumerate(texts)]
+    tested, kept = [], jaccard_join.stored
+
+    def stored(df, name):
+        out = kept(df, name)
+        if name.endswith("-tests"):
+            tested.extend(100 * r["shared"] >= 80 * (r["na"] + r["nb"] - r["shared"]) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", stored)
+    got = jaccard_join.grouped(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), jaccard_join.Similarity(3, 80))
+    assert {tuple(r) for r in got.collect()} == brute_groups(rows, 3, 80)
+    assert len(tested) > 100 and sum(tested) >= 0.9 * len(tested), (len(tested), sum(tested))
+
+
 def test_decontaminate(spark):
     rng = random.Random(10)
     bench = [(i, " ".join(f"b{rng.randrange(400)}" for _ in range(30))) for i in range(20)] + [(20, "too short"), (21, None), (22, "the of and " * 10)]
