@@ -138,6 +138,32 @@ def test_chat_pieces_examples_and_reading_back(spark):
         assert [t for _, t in pieces] == [False] * (len(pieces) - 1) + [True]
 
 
+@pytest.mark.parametrize("chunk", [1, 20, 1 << 16])
+def test_chat_examples_are_written_out_with_all_their_context(spark, monkeypatch, chunk):
+    monkeypatch.setattr(chat_format, "CHUNK", chunk)
+    formatted = chat_format.format_turns(spark.createDataFrame(CHATS, "conv_id long, turn long, role string, text string").repartition(3))
+    whole, written = collections.defaultdict(str), collections.defaultdict(str)
+    for r in formatted.orderBy("conv_id", "start").collect():
+        whole[r["conv_id"]] += r["piece"]
+    rows = chat_format.example_texts(formatted).orderBy("conv_id", "stop", "base").collect()
+    for r in rows:
+        assert r["base"] == len(written[r["conv_id"], r["stop"]])
+        written[r["conv_id"], r["stop"]] += r["text"]
+    assert written == {(r["conv_id"], r["stop"]): whole[r["conv_id"]][: r["stop"]] for r in chat_format.examples(formatted).collect()}
+    assert len(written) == sum(r["last"] for r in rows) == 4 and (chunk > 20 or len(rows) > 4)
+    assert all(written[r["conv_id"], r["stop"]][r["loss_start"] : r["loss_stop"]] == r["text"][r["loss_start"] - r["base"] : r["loss_stop"] - r["base"]] for r in rows if r["last"])
+    learnt = {(r["conv_id"], r["start"]): r["trained"] for r in chat_format.targets(formatted).collect()}
+    assert learnt == {(r["conv_id"], r["start"]): r["text"] for r in chat_format.read_back(formatted).collect() if r["role"] == "assistant"}
+
+
+def test_chat_examples_without_all_their_context_train_nothing(spark, monkeypatch):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(8)]
+    formatted = chat_format.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert chat_format.targets(formatted).count() == 4 and chat_format.targets(formatted.filter("turn <> 2")).count() == 0
+    monkeypatch.setattr(chat_format, "CHUNK", 1)
+    assert chat_format.targets(formatted).count() == 4 and [r["trained"] for r in chat_format.targets(formatted.filter("turn <> 2")).collect()] == ["t1"]
+
+
 def test_a_conversation_of_a_third_of_all_rows(spark):
     rows = [(1, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(3000)] + [(2 + i // 2, i % 2, "assistant" if i % 2 else "user", "x") for i in range(6000)]
     formatted = chat_format.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6))
