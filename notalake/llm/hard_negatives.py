@@ -11,6 +11,10 @@ below that floor. What was found by then is certified: no cell left can hold a b
 are searched first, then the windows below each of them. Rows of a cell lie in blocks of bounded
 size, and a visit goes to each block, so a cell that holds a third of all rows is many tasks.
 
+Where bounds are loose, most anchors visit most cells. So blocks are dealt to parts, and an anchor goes
+to a part once, with a bit for each cell there that it visits, not once for each block. A part meets
+at most `held` bytes of anchors at a time; nothing that grows with anchors or rows is broadcast.
+
 The codebooks are fitted on at most `sample` rows; every row is indexed, and results do not depend on
 the codebooks, only the number of cells visited does.
 
@@ -31,6 +35,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +55,9 @@ class Mining:
     steps: int = 8  # of k-means
     most_centroids: int = 256  # of a half
     block: int = 2048  # rows
-    queries: int = 256  # anchors that meet a block together
+    queries: int = 256  # anchors that travel, and meet a block, together
+    held: int = 1 << 25  # bytes of anchors that a task keeps, about
+    part: int = 128  # blocks of a part, at least one part a core
     first: int = 2048  # rows that the first visit covers
 
 
@@ -218,10 +225,18 @@ def build(rows: DataFrame, how: Mining) -> tuple[Index, DataFrame, DataFrame]:
 
 
 ASKED = "rid long, vec_id long, label long, vector binary, floor double, after double, windows array<long>"
+#: A part's rows: anchors first (rids, labels, tops, vectors, cells, a bit for each anchor and cell), then blocks (vec_ids, rids, labels, vectors).
+PART = "part long, held long, kind int, block long, " + ", ".join(f"b{i} binary" for i in range(6))
+
+
+def _grid(anchors: int, index: Index, cores: int, how: Mining) -> tuple[int, int]:
+    """Parts that blocks are dealt to, and the number of groups of anchors that meet a part one after another."""
+    each = 2 * index.width + 8 * (2 + how.positives)
+    return max(2 * cores, -(-int(index.first_block[-1]) // how.part)), max(1, -(-anchors * each // how.held))
 
 
-def _visiting(shared, how: Mining):
-    """Anchors (ASKED) to (block, queries): those that a block is asked for, `queries` at a time.
+def _visiting(shared, how: Mining, parts: int, groups: int):
+    """Anchors (ASKED) to the parts (PART) with blocks that they visit, `queries` at a time.
 
     `after` null: cells from the best one until they hold `first` rows. Else: the cells below those,
     down to the floor; `after` is the number of cells the first visit took.
@@ -229,34 +244,41 @@ def _visiting(shared, how: Mining):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
-        for batch in batches:
-            asked: dict[int, list[int]] = {}
-            vectors = [unpacked(v, index.width)[0] for v in batch.column("vector").to_pylist()]
-            for q, (vector, floor, after) in enumerate(zip(vectors, batch.column("floor").to_pylist(), batch.column("after").to_pylist())):
-                held = 0
-                for k, (bound, cell) in enumerate(index.visits(vector)):
-                    if after is None:
-                        if held >= how.first:
+        group = TaskContext.get().partitionId() % groups
+        for whole in batches:
+            for at in range(0, whole.num_rows, how.queries):
+                batch = whole.slice(at, how.queries)
+                asked: dict[int, list[int]] = {}
+                vectors = [unpacked(v, index.width)[0] for v in batch.column("vector").to_pylist()]
+                for q, (vector, floor, after) in enumerate(zip(vectors, batch.column("floor").to_pylist(), batch.column("after").to_pylist())):
+                    held = 0
+                    for bound, cell in index.visits(vector):
+                        if after is None:
+                            if held >= how.first:
+                                break
+                            held += int(index.rows[cell])
+                        elif floor is not None and bound < floor:
                             break
-                        held += int(index.rows[cell])
-                    elif floor is not None and bound < floor:
-                        break
-                    elif held < how.first:
-                        held += int(index.rows[cell])  # the first visit has been here
-                        continue
-                    asked.setdefault(cell, []).append(q)
-            rid, label = batch.column("rid").to_numpy(), batch.column("label").to_numpy()
-            windows = [w or [] for w in batch.column("windows").to_pylist()]
-            for cell, group in asked.items():
-                for a in range(0, len(group), how.queries):
-                    some = group[a : a + how.queries]
-                    tops = np.full((len(some), how.positives), np.iinfo(np.int64).min)
-                    for k, q in enumerate(some):
-                        tops[k, : len(windows[q])] = windows[q]
-                    parts = [rid[some].tobytes(), label[some].tobytes(), tops.tobytes(), packed(np.array([vectors[q] for q in some]))]
-                    n = int(index.first_block[cell + 1] - index.first_block[cell])
-                    numbers = pa.array(np.arange(index.first_block[cell], index.first_block[cell + 1]))
-                    yield pa.RecordBatch.from_arrays([numbers, *[pa.array([p] * n, pa.binary()) for p in parts]], ["block", "q_rids", "q_labels", "q_tops", "q_vectors"])
+                        elif held < how.first:
+                            held += int(index.rows[cell])  # the first visit has been here
+                            continue
+                        asked.setdefault(cell, []).append(q)
+                tops = np.full((len(vectors), how.positives), np.iinfo(np.int64).min)
+                for q, window in enumerate(batch.column("windows").to_pylist()):
+                    tops[q, : len(window or [])] = window or []
+                told = [batch.column(c).to_numpy().tobytes() for c in ("rid", "label")] + [tops.tobytes(), packed(np.array(vectors))]
+                cells = np.array(sorted(asked), np.int64)
+                bits = np.zeros((len(cells), how.queries), bool)
+                for k, cell in enumerate(cells.tolist()):
+                    bits[k, asked[cell]] = True
+                bits = np.packbits(bits, axis=1)
+                first, many = index.first_block[cells], index.first_block[cells + 1] - index.first_block[cells]
+                for part in range(parts):
+                    here = np.flatnonzero((part - first) % parts < many)  # a block goes to the part of its number's remainder
+                    if len(here):
+                        row = [[part], [group], [0], [0], *([x] for x in (*told, cells[here].tobytes(), bits[here].tobytes()))]
+                        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 6]
+                        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["part", "held", "kind", "block", *(f"b{i}" for i in range(6))])
 
     return run
 
@@ -274,42 +296,84 @@ def _best(scores: np.ndarray, fits: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return row[rank < k], column[rank < k]
 
 
-def _scored(width: int, how: Mining, negatives: bool):
-    """(block, queries) joined to rows: anchor, window (the positive's place), candidate and score, the best of each block."""
+class _Held:
+    """The anchors of one part and group, and which of them visit a cell."""
+
+    def __init__(self, packs: list[list[bytes]], width: int, how: Mining):
+        sizes = [len(p[0]) // 8 for p in packs]
+        first = np.cumsum([0, *sizes])
+        self.rid, self.label = (np.concatenate([np.frombuffer(p[k], np.int64) for p in packs]) for k in (0, 1))
+        self.tops = np.concatenate([np.frombuffer(p[2], np.int64).reshape(-1, how.positives) for p in packs])
+        small = all(p[3][:1] == b"s" for p in packs)
+        self.vectors = np.concatenate([np.frombuffer(p[3], np.int16, offset=1).reshape(-1, width) if small else unpacked(p[3], width) for p in packs])
+        cells = np.concatenate([np.frombuffer(p[4], np.int64) for p in packs])
+        order = np.argsort(cells, kind="stable")
+        self.cells = cells[order]
+        self.first = np.repeat(first[:-1], [len(p[4]) // 8 for p in packs])[order]
+        self.bits = np.concatenate([np.frombuffer(p[5], np.uint8).reshape(-1, -(-how.queries // 8)) for p in packs])[order]
+
+    def visitors(self, cell: int) -> np.ndarray:
+        a, b = np.searchsorted(self.cells, cell, "left"), np.searchsorted(self.cells, cell, "right")
+        pack, bit = np.nonzero(np.unpackbits(self.bits[a:b], axis=1))
+        return self.first[a:b][pack] + bit
+
+
+def _scored(shared, how: Mining, negatives: bool):
+    """Parts (PART, anchors first) to anchor, window (the positive's place), candidate and score, the best of each block."""
+
+    def meeting(held: _Held, cell: int, vec: np.ndarray, rid: np.ndarray, label: np.ndarray, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
+        visitors = held.visitors(cell)
+        for at in range(0, len(visitors), how.queries):
+            some = visitors[at : at + how.queries]
+            q_rid, tops = held.rid[some], held.tops[some]
+            scores = held.vectors[some].astype(np.float64) @ vectors.T
+            same = held.label[some][:, None] == label[None, :]
+            if negatives:
+                found = []
+                for w in range(how.positives):
+                    top = tops[:, w : w + 1]
+                    used = top > np.iinfo(np.int64).min
+                    high = np.where(used, top, 0)
+                    found.append((w, *_best(scores, used & ~same & (scores <= high) & (100 * scores >= how.percent * high), how.negatives)))
+            else:
+                found = [(0, *_best(scores, same & (q_rid[:, None] != rid[None, :]), how.positives))]
+            for w, row, column in found:
+                if len(row):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(q_rid[row]), pa.array(np.full(len(row), w, np.int32)), pa.array(vec[column]), pa.array(rid[column]), pa.array(scores[row, column].astype(np.int64))],
+                        ["anchor", "window", "vec_id", "rid", "score"],
+                    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: Index = shared.value
+        place, packs, held = None, [], None
         for batch in batches:
-            for r in range(batch.num_rows):
-                cell = {c: batch.column(c)[r].as_buffer().to_pybytes() for c in batch.schema.names if c != "block"}
-                q_rid, q_label = np.frombuffer(cell["q_rids"], np.int64), np.frombuffer(cell["q_labels"], np.int64)
-                rid, vec, label = (np.frombuffer(cell[c], np.int64) for c in ("rids", "vec_ids", "labels"))
-                scores = unpacked(cell["q_vectors"], width) @ unpacked(cell["vectors"], width).T
-                same = q_label[:, None] == label[None, :]
-                if negatives:
-                    tops = np.frombuffer(cell["q_tops"], np.int64).reshape(len(q_rid), how.positives)
-                    found = []
-                    for w in range(how.positives):
-                        top = tops[:, w : w + 1]
-                        used = top > np.iinfo(np.int64).min
-                        high = np.where(used, top, 0)
-                        found.append((w, *_best(scores, used & ~same & (scores <= high) & (100 * scores >= how.percent * high), how.negatives)))
-                else:
-                    found = [(0, *_best(scores, same & (q_rid[:, None] != rid[None, :]), how.positives))]
-                for w, row, column in found:
-                    if len(row):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(q_rid[row]), pa.array(np.full(len(row), w, np.int32)), pa.array(vec[column]), pa.array(rid[column]), pa.array(scores[row, column].astype(np.int64))],
-                            ["anchor", "window", "vec_id", "rid", "score"],
-                        )
+            at = list(zip(*(batch.column(c).to_pylist() for c in ("part", "held", "kind", "block"))))
+            for r, (part, group, kind, block) in enumerate(at):
+                if (part, group) != place:
+                    place, packs, held = (part, group), [], None
+                cells = [batch.column(f"b{i}")[r].as_buffer().to_pybytes() for i in range(4 if kind else 6)]
+                if not kind:
+                    packs.append(cells)
+                    continue
+                if packs:
+                    packs, held = [], _Held(packs, index.width, how)
+                if held is not None:
+                    cell = int(np.searchsorted(index.first_block, block, "right")) - 1
+                    yield from meeting(held, cell, *(np.frombuffer(c, np.int64) for c in cells[:3]), unpacked(cells[3], index.width))
 
     return run
 
 
-def _visit(asked: DataFrame, blocks: DataFrame, shared, index: Index, how: Mining, negatives: bool) -> DataFrame:
+def _visit(asked: DataFrame, blocks: DataFrame, shared, how: Mining, grid: tuple[int, int], negatives: bool) -> DataFrame:
     """anchor, window, vec_id, rid, score: the best rows of one visit."""
-    queries = asked.mapInArrow(_visiting(shared, how), "block long, q_rids binary, q_labels binary, q_tops binary, q_vectors binary")
-    pairs = queries.join(blocks, "block").mapInArrow(_scored(index.width, how, negatives), "anchor long, window int, vec_id long, rid long, score long")
-    return _top(pairs, how.negatives if negatives else how.positives)
+    parts, groups = grid
+    queries = asked.mapInArrow(_visiting(shared, how, parts, groups), PART)
+    group = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))
+    none = F.lit(None).cast("binary")
+    dealt = blocks.select(F.pmod("block", F.lit(parts)).alias("part"), group.alias("held"), F.lit(1).alias("kind"), "block", *(F.col(c).alias(f"b{i}") for i, c in enumerate(("vec_ids", "rids", "labels", "vectors"))), none.alias("b4"), none.alias("b5"))
+    met = queries.unionByName(dealt).repartition("part", "held").sortWithinPartitions("part", "held", "kind", "block")
+    return _top(met.mapInArrow(_scored(shared, how, negatives), "anchor long, window int, vec_id long, rid long, score long"), how.negatives if negatives else how.positives)
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -322,36 +386,38 @@ def mine(rows: DataFrame, how: Mining = Mining()) -> DataFrame:
     index, blocks, assigned = build(rows, how)
     shared = rows.sparkSession.sparkContext.broadcast(index)
     anchors = assigned.filter(F.col("vec_id") % how.every == 0).select("rid", "vec_id", "label", "vector")
-    tasks = max(1, -(-anchors.count() // (4 * how.queries)))
+    n = anchors.count()
+    tasks = max(1, -(-n // (4 * how.queries)))
+    grid = _grid(n, index, rows.sparkSession.sparkContext.defaultParallelism, how)
     anchors = stored(anchors.repartition(tasks, "rid"), "anchors")
     none = {t: F.lit(None).cast(t) for t in ("double", "array<long>")}
     asked = lambda df, floor, after, windows: df.select("rid", "vec_id", "label", "vector", floor.alias("floor"), after.alias("after"), windows.alias("windows"))
     dealt = lambda df: df.repartition(tasks, "rid")
 
     # positives: a first visit for the floor, then down to it
-    start = stored(_visit(asked(anchors, none["double"], none["double"], none["array<long>"]), blocks, shared, index, how, False), "first-positives")
+    start = stored(_visit(asked(anchors, none["double"], none["double"], none["array<long>"]), blocks, shared, how, grid, False), "first-positives")
     floors = start.filter(F.col("rank") == how.positives).select(F.col("anchor").alias("rid"), F.col("score").cast("double").alias("f"))
-    rest = asked(dealt(anchors.join(floors, "rid", "left")), F.col("f"), F.lit(0.0), none["array<long>"])
-    more = _visit(rest, blocks, shared, index, how, False)
+    rest = asked(dealt(anchors.hint("merge").join(floors, "rid", "left")), F.col("f"), F.lit(0.0), none["array<long>"])
+    more = _visit(rest, blocks, shared, how, grid, False)
     positives = stored(_top(start.drop("rank").unionByName(more.drop("rank")), how.positives), "positives")
 
     # windows below the positives, the same way; a window's floor is its last row so far, or its own lower end
     windows = positives.groupBy(F.col("anchor").alias("rid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "score"))), lambda x: x["score"]).alias("w"))
-    having = stored(anchors.join(windows, "rid"), "asked")
-    start = stored(_visit(asked(dealt(having), none["double"], none["double"], F.col("w")), blocks, shared, index, how, True), "first-negatives")
+    having = stored(anchors.hint("merge").join(windows, "rid"), "asked")
+    start = stored(_visit(asked(dealt(having), none["double"], none["double"], F.col("w")), blocks, shared, how, grid, True), "first-negatives")
     full = start.filter(F.col("rank") == how.negatives).select("anchor", "window", F.col("score").alias("last"))
-    each = having.select(F.col("rid").alias("anchor"), F.posexplode("w").alias("window", "score")).join(full, ["anchor", "window"], "left")
+    each = having.select(F.col("rid").alias("anchor"), F.posexplode("w").alias("window", "score")).hint("merge").join(full, ["anchor", "window"], "left")
     # an upside-down window (a negative positive score) is empty and asks for nothing
     lower = F.when(F.col("score") >= 0, F.coalesce(F.col("last").cast("double"), how.percent * F.col("score") / 100))
     floors = each.groupBy(F.col("anchor").alias("rid")).agg(F.min(lower).alias("f"))
-    rest = having.join(floors.filter("f IS NOT NULL"), "rid")
-    more = _visit(asked(dealt(rest), F.col("f"), F.lit(0.0), F.col("w")), blocks, shared, index, how, True)
+    rest = having.hint("merge").join(floors.filter("f IS NOT NULL"), "rid")
+    more = _visit(asked(dealt(rest), F.col("f"), F.lit(0.0), F.col("w")), blocks, shared, how, grid, True)
     negatives = _top(start.drop("rank").unionByName(more.drop("rank")), how.negatives)
 
     named = positives.select("anchor", (F.col("rank") - 1).alias("window"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
-    out = negatives.select("anchor", "window", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score")).join(named, ["anchor", "window"])
+    out = negatives.select("anchor", "window", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score")).hint("merge").join(named, ["anchor", "window"])
     ids = anchors.select(F.col("rid").alias("anchor"), F.col("vec_id").alias("anchor_id"))
-    return out.join(ids, "anchor").select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+    return out.hint("merge").join(ids, "anchor").select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
 
 OP12_SQL = """

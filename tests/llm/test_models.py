@@ -129,6 +129,21 @@ def test_hard_negatives(spark, how):
     assert collections.Counter(tuple(r) for r in got.collect()) == plain_negatives(rows, how)
 
 
+def test_hard_negatives_send_no_anchors_through_the_driver(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=6)], int(rng.integers(0, 3))) for i in range(300)]
+    how = hard_negatives.Mining(every=10, first=16, block=8, queries=3, held=300, part=2)
+    got = hard_negatives.mine(hard_negatives.clean(spark.createDataFrame([(*r, "x", 1) for r in rows], VECTORS).repartition(4)), how)
+    assert "Broadcast" not in got._jdf.queryExecution().toString()  # once, all that anchors ask for was broadcast
+    assert collections.Counter(tuple(r) for r in got.collect()) == plain_negatives(rows, how)
+
+
+def test_anchors_go_to_a_part_once_whatever_the_cells_they_visit():
+    index = hard_negatives.Index(64, (np.zeros((4, 32)), np.zeros((4, 32))), (), None, np.array([0, 30_000]))
+    parts, groups = hard_negatives._grid(10_000_000, index, 8, hard_negatives.Mining())
+    assert parts == 235 and 10_000_000 / groups * (2 * 64 + 56) <= hard_negatives.Mining().held
+
+
 def test_hard_negatives_of_nothing(spark):
     empty = spark.createDataFrame([], VECTORS)
     assert hard_negatives.mine(hard_negatives.clean(empty)).count() == 0
