@@ -11,7 +11,9 @@ A bucket may be larger than a task can hold.
 
 from __future__ import annotations
 
+import contextlib
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ from pyspark.sql import types as T
 from .relate import latest
 
 TASK_ROWS = 100_000  # of a task that finds the newest rows, about
+WAVE_ROWS = 5_000_000  # that are shuffled at a time, about; a bucket at least
 MANIFEST = "batch bigint, bucket int, buckets int, keys array<string>, layout string"
 
 
@@ -44,27 +47,60 @@ def _read(spark: SparkSession, path: str, where: dict[int, int], schema: T.Struc
     return spark.read.schema(schema).parquet(*[f"{path}/data/{batch}/bucket={bucket}" for bucket, batch in sorted(where.items())])
 
 
+def _waves(rows: dict[int, int]) -> list[list[int]]:
+    """Buckets in order, as many together as have WAVE_ROWS rows, or one that has more."""
+    waves: list[list[int]] = []
+    held = 0
+    for b in sorted(rows):
+        if not waves or held + rows[b] > WAVE_ROWS:
+            waves, held = [*waves, []], 0
+        waves[-1].append(b)
+        held += rows[b]
+    return waves
+
+
+@contextlib.contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside are deleted when it has been written, not when the driver collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def upsert(changes: DataFrame, path: str, order: list[Column], batch: int) -> list[int]:
     """Of the rows of a key, in the table or new, the first under `order` stays. Returns the buckets written.
 
-    `changes` is read twice; persist it where it is costly. Rows with a null key make a key of their own.
+    Buckets are written in waves, so the rows that are shuffled at a time are bounded, and a row is shuffled and
+    sorted once. `changes` is read for the counts, its keys only, and for every wave; store it where it is costly.
+    Rows with a null key make a key of their own.
     """
     spark = changes.sparkSession
     newest, buckets, keys, schema = _state(spark, path, before=batch)
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    arriving = {r["b"]: r["count"] for r in changes.groupBy(bucket.alias("b")).count().collect()}
+    place = lambda n: F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
+    counted = lambda df: {r["b"]: r["count"] for r in df.groupBy(place(buckets).alias("b")).count().collect()}
+    arriving = counted(changes)
     touched = sorted(arriving)
-    old = _read(spark, path, {b: newest[b] for b in touched if b in newest}, schema)
-    both = old.unionByName(changes.select(*schema.fieldNames()))
-    tasks = (sum(arriving.values()) + old.count()) // TASK_ROWS
-    if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
-        both = both.repartition(tasks, *keys)
-    merged = latest(both, keys, *order)
-    # A small bucket is one file, a large one several: no task writes more than a part of it.
-    placed = merged.withColumn("bucket", bucket).hint("rebalance", F.col("bucket"))
-    placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/{batch}")
-    rows = spark.createDataFrame([(batch, b, buckets, keys, None) for b in touched], MANIFEST)
-    rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/{batch}")
+    kept = {b: newest[b] for b in touched if b in newest}
+    there = counted(_read(spark, path, kept, schema))
+    rows = {b: arriving[b] + there.get(b, 0) for b in touched}
+    # A small bucket is one slice and one file, a large one several: no task writes more than a part of it.
+    ways = max(rows.values(), default=0) // TASK_ROWS + 1
+    for n, wave in enumerate(_waves(rows)):
+        old = _read(spark, path, {b: kept[b] for b in wave if b in kept}, schema)
+        both = old.unionByName(changes.filter(place(buckets).isin(wave)).select(*schema.fieldNames()))
+        both = both.withColumns({"bucket": place(buckets), "_slice": place(buckets * ways)})
+        tasks = ways * len(wave)
+        both = both.repartition(tasks, "_slice") if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else both.repartition("_slice")
+        # the window's order is the writer's as well
+        merged = latest(both, ["bucket", "_slice", *keys], *order).drop("_slice")
+        with _shuffles_dropped(spark):
+            merged.write.mode("append" if n else "overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/data/{batch}")
+    entries = spark.createDataFrame([(batch, b, buckets, keys, None) for b in touched], MANIFEST)
+    entries.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/{batch}")
     return touched
 
 

@@ -152,7 +152,17 @@ def documents(df: DataFrame, *keys: str) -> DataFrame:
 
 def documents_of(parsed_rows: DataFrame, *keys: str) -> DataFrame:
     """`documents` out of rows that are parsed already."""
-    p = computed_once(parsed_rows.filter(F.col("error").isNull()), "itens", _goods_items(F.col("_nf")))
+    return _shaped(parsed_rows.filter(F.col("error").isNull()), *keys)
+
+
+def outcomes_of(parsed_rows: DataFrame, *keys: str) -> DataFrame:
+    """All parsed rows in one table: `error` is NULL for documents, which have the columns of `documents`; rejects have `raw_text`."""
+    text = F.when(F.col("error").isNotNull(), F.col("xml"))
+    return _shaped(parsed_rows.withColumn("raw_text", text), *keys, "error", "raw_text")
+
+
+def _shaped(parsed_rows: DataFrame, *keys: str) -> DataFrame:
+    p = computed_once(parsed_rows, "itens", _goods_items(F.col("_nf")))
     nf, ct, md = F.col("_nf"), F.col("_ct"), F.col("_md")
     kind = F.col("tipo_documento")
     is_note = kind.isin("NFe", "NFCe")

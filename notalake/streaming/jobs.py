@@ -120,19 +120,21 @@ def ingest_xml(files: DataFrame, table: str, rejected: str, checkpoint: str, lin
     """XML job per micro-batch: documents, what manifests carry (`links`), and rejects, out of one parse.
 
     Documents go to a bucketed table, newest version of a file last. Of the others a batch owns one folder
-    and overwrites it. A replayed batch adds nothing twice; a new checkpoint needs new tables.
+    and overwrites it. A replayed batch adds nothing twice; a new checkpoint needs new tables. What a batch was
+    parsed to is kept beside the table until the next one: a parse tree takes many times the disk of its columns.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        parsed = extract_xml.parsed(batch).persist()
-        docs = extract_xml.documents_of(parsed, "file_name").persist()
+        spark, path = batch.sparkSession, f"{table}/parsed"
+        outcomes = extract_xml.outcomes_of(extract_xml.parsed(batch), "file_name")
+        outcomes.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        parsed = spark.read.schema(outcomes.schema).parquet(path)
+        docs = parsed.filter("error IS NULL").drop("error", "raw_text")
         rows = docs.drop("_unloading").withColumn("batch", F.lit(batch_id).cast("bigint"))
-        bucket_store.create(batch.sparkSession, table, rows.schema, ["file_name"], buckets)
+        bucket_store.create(spark, table, rows.schema, ["file_name"], buckets)
         bucket_store.upsert(rows, table, [F.desc("batch")], batch_id)
         extract_xml.linked_documents(docs, "file_name").withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{links}/batch_id={batch_id}")
-        extract_xml.rejects_of(parsed, "file_name").write.mode("overwrite").parquet(f"{rejected}/batch_id={batch_id}")
-        docs.unpersist()
-        parsed.unpersist()
+        parsed.filter("error IS NOT NULL").select("file_name", "error", "raw_text").write.mode("overwrite").parquet(f"{rejected}/batch_id={batch_id}")
 
     query = files.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

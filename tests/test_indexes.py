@@ -3,6 +3,7 @@
 import os
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -146,6 +147,31 @@ def test_a_large_bucket_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
     assert sum(r["n"] for r in files) == 60_000 and len(files) >= 8 and max(r["n"] for r in files) < 12_000
 
 
+def test_an_upsert_shuffles_a_few_buckets_at_a_time_and_keeps_no_shuffle(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(bucket_store, "WAVE_ROWS", 4_000)
+    path = str(tmp_path / "t")
+    rows = lambda n, v: spark.range(0, n, 1, 4).select(F.when(F.col("id") != 7, F.col("id")).alias("id"), F.lit(v).alias("v"), F.concat(*[F.sha2(F.concat_ws("-", "id", F.lit(f"{v}{k}")), 512) for k in range(8)]).alias("note"))
+    held = lambda: sum(f.stat().st_size for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString() for f in Path(d).rglob("shuffle_*.data"))
+    bucket_store.create(spark, path, rows(0, 1).schema, ["id"], 8)
+    for batch, n in ((0, 12_000), (1, 6_000), (1, 6_000)):
+        before = held()
+        assert bucket_store.upsert(rows(n, batch), path, [F.desc("v")], batch) == list(range(8))
+        assert held() - before < 1_000_000  # of some 12 MB of rows; the counts by bucket stay
+    got = {r["id"]: (r["v"], r["n"]) for r in bucket_store.current(spark, path).groupBy("id").agg(F.max("v").alias("v"), F.count("*").alias("n")).collect()}
+    assert got == {None if i == 7 else i: (int(i < 6_000), 1) for i in range(12_000)}
+    assert bucket_store._waves({0: 3_000, 1: 1_000, 2: 9_000, 5: 1}) == [[0, 1], [2], [5]]
+
+
+def test_an_upsert_sorts_and_shuffles_rows_once(spark, tmp_path, monkeypatch):
+    path, plans = str(tmp_path / "t"), []
+    rows = spark.range(1000).select("id", F.lit("x").alias("note"))
+    bucket_store.create(spark, path, rows.schema, ["id"], 4)
+    merge = bucket_store.latest
+    monkeypatch.setattr(bucket_store, "latest", lambda *a: plans.append(plan(found := merge(*a))) or found)
+    bucket_store.upsert(rows, path, [F.desc("note")], 0)
+    assert len(plans) == 1 and plans[0].count("Exchange") == 1 == plans[0].count("Sort [")
+
+
 def test_buckets(spark, tmp_path):
     path, schema = str(tmp_path / "t"), "k string, v bigint, note string"
     rows = lambda *r: spark.createDataFrame(list(r), schema)

@@ -300,6 +300,21 @@ def test_xml_ingest_stream_survives_replay(spark, tmp_path):
     assert current.count() == 2 and "Window" not in current._jdf.queryExecution().executedPlan().toString()
 
 
+def test_xml_ingest_parses_once_and_caches_no_parse_tree(spark, tmp_path, monkeypatch):
+    inbox, table, bad, links, ckpt = (str(tmp_path / n) for n in ("inbox", "table", "bad", "links", "ckpt"))
+    (tmp_path / "inbox").mkdir()
+    for name, text in (("a.xml", "<NFe><infNFe><ide><nNF>1</nNF></ide></infNFe></NFe>"), ("b.xml", "<NFe>"), ("c.xml", "<pedido/>"), ("d.xml", "no xml")):
+        (tmp_path / "inbox" / name).write_text(text)
+    calls, parse = [], jobs.extract_xml.parsed
+    monkeypatch.setattr(jobs.extract_xml, "parsed", lambda df: calls.append(df) or parse(df))
+    monkeypatch.setattr(type(spark.range(1)), "persist", lambda *_: pytest.fail("cached"))
+    jobs.ingest_xml(jobs.xml_stream(spark, inbox), table, bad, ckpt, links)
+    assert len(calls) == 1 and [r["file_name"] for r in jobs.current_documents(spark, table).collect()] == ["a.xml"]
+    rejects = {r["file_name"]: (r["error"], r["raw_text"]) for r in spark.read.parquet(bad).collect()}
+    assert rejects == {"b.xml": ("xml_parse_error", "<NFe>"), "c.xml": ("unknown_document_type", "<pedido/>"), "d.xml": ("invalid_xml", "no xml")}
+    assert spark.read.parquet(links).count() == 0
+
+
 def test_xml_ingest_keeps_what_manifests_carry(spark, tmp_path):
     inbox, table, bad, links, ckpt = (str(tmp_path / n) for n in ("inbox", "table", "bad", "links", "ckpt"))
     (tmp_path / "inbox").mkdir()
