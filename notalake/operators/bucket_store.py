@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from .relate import latest
 
 TASK_ROWS = 100_000  # of a task that finds the newest rows, about
-WAVE_ROWS = 5_000_000  # that are shuffled at a time, about; a bucket at least
+WAVE_ROWS = 15_000_000  # that are shuffled at a time, about; a bucket at least. Every wave reads all changes
 MANIFEST = "batch bigint, bucket int, buckets int, keys array<string>, layout string"
 
 
